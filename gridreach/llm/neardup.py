@@ -7,12 +7,13 @@ packed signatures, corrected for chance agreement, sort out most candidates; the
 on the full sets. Links are documents with 100 * |intersection| >= 75 * |union|.
 
 No group's pairs are listed: each bucket first compares its members with one centre (the member
-whose buckets are the fullest), links are contracted to components, and only buckets that still
-hold several components compare what isn't in their centre's component with the other components.
-Every candidate pair whose ends aren't already connected is so compared.
+whose buckets are the fullest) and links are contracted to components. In buckets that still hold
+several, what isn't in the centre's component meets a few random members, twice. Only what is left
+then is compared with every member of another component, so every candidate pair whose ends
+aren't connected anyway is compared.
 
 Constants: 32 bands of 4 minima miss a link at similarity 0.75 with probability 5e-6, fewer above;
-an estimate from 128 two-bit values lies more than 5 standard deviations below 0.75 at ``FLOOR``.
+an estimate from 512 two-bit values is 5 standard deviations below 0.75 at ``FLOOR``.
 Shingles are compared by 64-bit hashes, sets of classes by 128 bits.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; repeated rows
@@ -36,9 +37,10 @@ from ..plans.shipping import ship
 from .common import pick
 
 WORDS, SIMILARITY = 5, 75
-BANDS, ROWS = 32, 4
-MINIMA = BANDS * ROWS
-FLOOR = 0.5
+BANDS, ROWS, MINIMA = 32, 4, 512
+FLOOR = 0.63
+#: Rounds in which what isn't connected yet meets random members of its buckets, and how many.
+ROUNDS, MET = 2, 4
 #: Bytes of text that are hashed together, about.
 _CHUNK = 1 << 20
 
@@ -130,9 +132,9 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the bands, and two bits of each minimum packed into four numbers."""
+    """Keys of the bands, and two bits of each minimum packed into 64-bit numbers."""
     with np.errstate(over="ignore"):
-        rows = found.reshape(len(found), BANDS, ROWS).astype(_U)
+        rows = found[:, : BANDS * ROWS].reshape(len(found), BANDS, ROWS).astype(_U)
         keys = np.arange(1, BANDS + 1, dtype=_U)[None] * _BASE
         for i in range(ROWS):
             keys = _mix(keys + rows[:, :, i] + _U(1))
@@ -158,7 +160,7 @@ _BITS = [f"b{i}" for i in range(MINIMA // 32)]
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n (set size), same (identity of the set), bands, b0 to b3; null where n is 0."""
+    """Per document: doc_id, n (set size), same (identity of the set), bands, b0 to b15; null where n is 0."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,28 +235,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fullness = buckets.groupBy("rep").agg(F.sum("members").alias("fullness"))
     centres = buckets.join(fullness, "rep").groupBy("key").agg(F.max_by("rep", F.struct("fullness", -F.col("rep"))).alias("centre"))
 
-    a, b = light.alias("a"), light.alias("b")
-    pairs = buckets.join(centres, "key").filter("rep != centre").select(F.greatest("rep", "centre").alias("src"), F.least("rep", "centre").alias("dst")).distinct()
-    pairs = cut(pairs.join(a, F.col("src") == F.col("a.rep")).join(b, F.col("dst") == F.col("b.rep")).filter(_plausible("a", "b")).select("src", "dst").distinct())
-    links = cut(_confirmed(pairs, docs))
+    def candidates(rows: DataFrame, one: str, other: str) -> DataFrame:
+        """Distinct plausible pairs of two columns of classes."""
+        found = rows.filter(F.col(one) != F.col(other)).select(F.greatest(one, other).alias("src"), F.least(one, other).alias("dst")).distinct()
+        a, b = light.alias("a"), light.alias("b")
+        return found.join(a, F.col("src") == F.col("a.rep")).join(b, F.col("dst") == F.col("b.rep")).filter(_plausible("a", "b")).select("src", "dst")
+
+    tested = cut(candidates(buckets.join(centres, "key"), "rep", "centre"))
+    links = cut(_confirmed(tested, docs))
     component = connected_components(links)
 
-    # Buckets of several components: what isn't in the centre's is compared with the others.
     def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
         known = component.select(F.col("v").alias(column), F.col("component").alias("__c"))
         return df.join(known, column, "left").withColumn(name, F.coalesce("__c", column)).drop("__c")
 
-    mixed = labelled(buckets, "rep", "component")
-    several = mixed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
-    middle = labelled(centres.join(several, "key"), "centre", "main").select("key", "main")
-    members = cut(mixed.join(middle, "key").join(light, "rep"))
-    rest = members.filter("component != main")
-    x, y = rest.alias("x"), members.alias("y")
-    left = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _plausible("x", "y"))
-    left = left.select(F.greatest("x.rep", "y.rep").alias("src"), F.least("x.rep", "y.rep").alias("dst")).distinct().join(pairs, ["src", "dst"], "left_anti")
-    left = cut(left)
-    if not left.isEmpty():
-        component = connected_components(links.union(_confirmed(left, docs)))
+    mixed = buckets
+    for turn in range(ROUNDS + 1):
+        mixed = labelled(mixed.select("key", "rep"), "rep", "component")
+        several = mixed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+        middle = labelled(centres.join(several, "key"), "centre", "main").select("key", "main")
+        mixed = cut(mixed.join(middle, "key"))
+        rest = mixed.filter("component != main")
+        if turn < ROUNDS:
+            met = [F.max_by("rep", F.xxhash64("rep", F.lit(turn * MET + i))) for i in range(MET)]
+            chosen = mixed.groupBy("key").agg(F.array_distinct(F.array(*met)).alias("met"))
+            fresh = candidates(rest.join(chosen, "key").select("rep", F.explode("met").alias("other")), "rep", "other")
+        else:
+            whole = classes.select("rep", "n", "bands", *_BITS)
+            x, y = rest.join(whole, "rep").alias("x"), mixed.join(whole, "rep").alias("y")
+            once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")  # a pair that shares several buckets
+            apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+            fresh = x.join(y, apart & _plausible("x", "y") & once).select(F.greatest("x.rep", "y.rep").alias("src"), F.least("x.rep", "y.rep").alias("dst")).distinct()
+        fresh = cut(fresh.join(tested, ["src", "dst"], "left_anti"))
+        if fresh.isEmpty():
+            if rest.isEmpty():
+                break
+            continue
+        tested = tested.union(fresh)
+        more = cut(_confirmed(fresh, docs))
+        if not more.isEmpty():
+            links = links.union(more)
+            component = connected_components(links)
 
     reps = classes.select("same", "rep").join(component.select(F.col("v").alias("rep"), "component"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "same").join(reps, "same", "left")
