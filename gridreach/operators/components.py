@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.checkpoints import cut
+from ..plans.checkpoints import cut_compact
 
 
 def _signature(df: DataFrame) -> tuple:
@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     u, v = F.greatest(src, dst).cast("long"), F.least(src, dst).cast("long")
     both = F.col(src).isNotNull() & F.col(dst).isNotNull()
-    stars = cut(edges.filter(both & (F.col(src) != F.col(dst))).select(u.alias("u"), v.alias("v")).distinct())
+    stars = cut_compact(edges.filter(both & (F.col(src) != F.col(dst))).select(u.alias("u"), v.alias("v")).distinct())
     now = _signature(stars)
     while now[0]:
         around = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = around.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        stars = cut(small.select("e.u", "e.v").filter("u != v").distinct())
+        stars = cut_compact(small.select("e.u", "e.v").filter("u != v").distinct())
         before, now = now, _signature(stars)
         if now == before:
             break

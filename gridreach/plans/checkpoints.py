@@ -20,3 +20,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """``cut``, then read back in partitions of about ``rows`` rows: no swarm of tiny shuffle files."""
+    done = cut(df)
+    return done.coalesce(max(1, -(-done.count() // rows)))
