@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..plans.checkpoints import cut
+from ..plans.checkpoints import cut, cut_compact
 from ..plans.shipping import ship
 from .common import pick
 
@@ -211,15 +211,23 @@ def _plausible(a: str, b: str) -> Column:
     return (low * 100 >= high * SIMILARITY) & (_estimate(a, b) >= FLOOR)
 
 
+def _similar(a: str, b: str) -> Column:
+    """The rule for links, on two full sets."""
+    both = F.size(F.array_intersect(a, b))
+    return both * 100 >= (F.size(a) + F.size(b) - both) * SIMILARITY
+
+
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The hashed sets of the documents with these ids (doc_id)."""
+    return hashed_sets(pick(docs, "doc_id", "text").join(ids.distinct(), "doc_id", "left_semi"))
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (src, dst) whose full sets are similar enough."""
-    pairs = cut(pairs)
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    sets = cut(hashed_sets(pick(docs, "doc_id", "text").join(ends, "doc_id", "left_semi")))
+    sets = cut_compact(_sets_of(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")), docs), 5000)
     left = sets.select(F.col("doc_id").alias("src"), F.col("items").alias("left"))
     right = sets.select(F.col("doc_id").alias("dst"), F.col("items").alias("right"))
-    both = F.size(F.array_intersect("left", "right"))
-    return pairs.join(right, "dst").join(left, "src").filter(both * 100 >= (F.size("left") + F.size("right") - both) * SIMILARITY).select("src", "dst").distinct()
+    return pairs.join(right, "dst").join(left, "src").filter(_similar("left", "right")).select("src", "dst").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -231,7 +239,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     spread = classes.select("rep", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    buckets = cut(spread.join(shared, "key"))
+    buckets = cut_compact(spread.join(shared, "key"))
     fullness = buckets.groupBy("rep").agg(F.sum("members").alias("fullness"))
     centres = buckets.join(fullness, "rep").groupBy("key").agg(F.max_by("rep", F.struct("fullness", -F.col("rep"))).alias("centre"))
 
@@ -241,8 +249,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         a, b = light.alias("a"), light.alias("b")
         return found.join(a, F.col("src") == F.col("a.rep")).join(b, F.col("dst") == F.col("b.rep")).filter(_plausible("a", "b")).select("src", "dst")
 
-    tested = cut(candidates(buckets.join(centres, "key"), "rep", "centre"))
-    links = cut(_confirmed(tested, docs))
+    tested = cut_compact(candidates(buckets.join(centres, "key"), "rep", "centre"))
+    links = cut_compact(_confirmed(tested, docs))
     component = connected_components(links)
 
     def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -254,25 +262,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         mixed = labelled(mixed.select("key", "rep"), "rep", "component")
         several = mixed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
         middle = labelled(centres.join(several, "key"), "centre", "main").select("key", "main")
-        mixed = cut(mixed.join(middle, "key"))
+        mixed = cut_compact(mixed.join(middle, "key"))
         rest = mixed.filter("component != main")
         if turn < ROUNDS:
             met = [F.max_by("rep", F.xxhash64("rep", F.lit(turn * MET + i))) for i in range(MET)]
             chosen = mixed.groupBy("key").agg(F.array_distinct(F.array(*met)).alias("met"))
             fresh = candidates(rest.join(chosen, "key").select("rep", F.explode("met").alias("other")), "rep", "other")
         else:
-            whole = classes.select("rep", "n", "bands", *_BITS)
+            if rest.isEmpty():
+                break
+            # The sets go along and links are confirmed in the join: pairs that are none make no rows.
+            sets = _sets_of(mixed.select(F.col("rep").alias("doc_id")), docs).select(F.col("doc_id").alias("rep"), "items")
+            whole = cut_compact(classes.select("rep", "n", "bands", *_BITS).join(sets, "rep"), 5000)
             x, y = rest.join(whole, "rep").alias("x"), mixed.join(whole, "rep").alias("y")
             once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")  # a pair that shares several buckets
             apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-            fresh = x.join(y, apart & _plausible("x", "y") & once).select(F.greatest("x.rep", "y.rep").alias("src"), F.least("x.rep", "y.rep").alias("dst")).distinct()
-        fresh = cut(fresh.join(tested, ["src", "dst"], "left_anti"))
+            more = x.join(y, apart & _plausible("x", "y") & once & _similar("x.items", "y.items")).select(F.greatest("x.rep", "y.rep").alias("src"), F.least("x.rep", "y.rep").alias("dst")).distinct()
+            more = cut_compact(more)
+            if not more.isEmpty():
+                component = connected_components(links.union(more))
+            break
+        fresh = cut_compact(fresh.join(tested, ["src", "dst"], "left_anti"))
         if fresh.isEmpty():
-            if rest.isEmpty():
-                break
             continue
         tested = tested.union(fresh)
-        more = cut(_confirmed(fresh, docs))
+        more = cut_compact(_confirmed(fresh, docs))
         if not more.isEmpty():
             links = links.union(more)
             component = connected_components(links)
