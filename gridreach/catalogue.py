@@ -1,15 +1,354 @@
-"""The registered queries and their oracle SQL."""
+"""The registered queries of the graph operators, each beside its oracle SQL.
+
+Graphs: ``g1`` part grid (50 wide, part key = cell, passable unless p_size is a multiple of 4; the
+first 2000 parts), ``g2`` event successors of a user with back arcs, ``g3`` suppliers and parts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import terrain
+from .operators import components, grid, reach
+from .sources import maps
+
+W, CAP, TILE = 50, 2000, 4
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None, name: str | None = None):
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql:
+            _SQL[key] = sql
+        return f
+
+    return add
+
+
+# Fixtures ------------------------------------------------------------------------------------
+
+
+def cells(spark: SparkSession, d: str) -> DataFrame:
+    part = spark.read.parquet(f"{d}/part.parquet").filter(F.col("p_partkey") < CAP)
+    return grid.with_coordinates(part.select(F.col("p_partkey").alias("v"), (F.col("p_size") % 4 != 0).alias("passable")), W)
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    return grid.adjacent_pairs(cells(spark, d), W)
+
+
+def edges(mode: str, spark: SparkSession, d: str) -> DataFrame:
+    return grid.orient(pairs(spark, d), mode)
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "ts", "value")
+    after = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    arcs = e.withColumn("after", after).filter("after IS NOT NULL")
+    back = F.when(F.col("event_id") % 3 == 0, F.array(F.struct(F.col("event_id").alias("src"), F.col("after").alias("dst")), F.struct(F.col("after").alias("src"), F.col("event_id").alias("dst"))))
+    return arcs.select(F.explode(F.coalesce(back, F.array(F.struct(F.col("event_id").alias("src"), F.col("after").alias("dst"))))).alias("e")).select("e.src", "e.dst")
+
+
+def supplies(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers 0, 1, ... and parts from 1000000 on; the part's parity turns the arc."""
+    p, s = F.col("l_partkey") + 1000000, F.col("l_suppkey")
+    li = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_orderkey % 20 = 0").select("l_partkey", "l_suppkey").distinct()
+    return li.select(F.when(F.col("l_partkey") % 2 == 0, s).otherwise(p).alias("src"), F.when(F.col("l_partkey") % 2 == 0, p).otherwise(s).alias("dst"))
+
+
+def passable(spark: SparkSession, d: str) -> DataFrame:
+    return cells(spark, d).filter("passable").select("v")
+
+
+def closed(mode: str, spark: SparkSession, d: str) -> DataFrame:
+    return reach.reflexive(reach.closure(edges(mode, spark, d)), passable(spark, d))
+
+
+def workload(spark: SparkSession, d: str, n: int = 2000) -> DataFrame:
+    size = cells(spark, d).count()
+    spread = lambda k: (((F.col("id") * 7919 + k * 104729) % 1000003) * ((F.col("id") * 7919 + k * 104729) % 1000003) % 1000003) % size
+    return spark.range(n).select(F.col("id").alias("qid"), spread(1).alias("source"), spread(2).alias("target"))
+
+
+_CELLS = f"cells AS (SELECT p_partkey AS v, p_partkey % {W} AS x, p_partkey // {W} AS y, p_size % 4 <> 0 AS passable FROM part WHERE p_partkey < {CAP})"
+_PAIRS = f"""{_CELLS}, pairs AS (SELECT a.v AS a, b.v AS b, 0 AS dir FROM cells a JOIN cells b ON b.v = a.v + 1 AND b.y = a.y WHERE a.passable AND b.passable
+  UNION ALL SELECT a.v, b.v, 1 FROM cells a JOIN cells b ON b.v = a.v + {W} WHERE a.passable AND b.passable)"""
+
+
+def _hash(k: int) -> str:
+    u = f"((a * 7919 + b * 104729 + {k * 1299709}) % 1000003)"
+    return f"((({u} * {u}) % 1000003) % 1000)"
+
+
+_KIND = {
+    "acyclic": "1", "bidirectional": "3", "random": f"CASE WHEN {_hash(0)} < 250 THEN 3 WHEN {_hash(0)} < 400 THEN CASE WHEN {_hash(1)} < 500 THEN 1 ELSE 2 END ELSE 0 END",
+    "gradient": f"CASE WHEN {_hash(0)} < 250 THEN 3 WHEN {_hash(1)} < 50 THEN 2 ELSE 1 END",
+}
+
+
+def _edges(mode: str) -> str:
+    return f"""{_PAIRS}, kinds AS (SELECT a, b, {_KIND[mode]} AS kind FROM pairs),
+  edges AS (SELECT a AS src, b AS dst FROM kinds WHERE kind IN (1, 3) UNION ALL SELECT b, a FROM kinds WHERE kind IN (2, 3))"""
+
+
+def _reach(mode: str) -> str:
+    return f"{_edges(mode)}, reach AS (SELECT v AS src, v AS dst FROM cells WHERE passable UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src)"
+
+
+_EVENTS = """s AS (SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events),
+  edges AS (SELECT event_id AS src, after AS dst FROM s WHERE after IS NOT NULL UNION ALL SELECT after, event_id FROM s WHERE after IS NOT NULL AND event_id % 3 = 0)"""
+_SUPPLIES = """edges AS (SELECT CASE WHEN p % 2 = 0 THEN s ELSE p + 1000000 END AS src, CASE WHEN p % 2 = 0 THEN p + 1000000 ELSE s END AS dst
+  FROM (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_orderkey % 20 = 0))"""
+_WORKLOAD = f"""sized AS (SELECT count(*) AS n FROM cells), pairs_ AS (SELECT i AS qid,
+  ((((i * 7919 + 104729) % 1000003) * ((i * 7919 + 104729) % 1000003)) % 1000003) % n AS source, ((((i * 7919 + 209458) % 1000003) * ((i * 7919 + 209458) % 1000003)) % 1000003) % n AS target
+  FROM range(2000) t(i), sized)"""
+
+
+def _answers(mode: str) -> str:
+    return f"""WITH RECURSIVE {_reach(mode)}, {_WORKLOAD}
+SELECT qid, source, target, source = target OR r.src IS NOT NULL AS reachable FROM pairs_ LEFT JOIN reach r ON r.src = source AND r.dst = target"""
+
+
+# Grid and edges ------------------------------------------------------------------------------
+
+_query(f"WITH {_CELLS} SELECT * FROM cells", "grid_cells")(cells)
+_query(f"WITH {_PAIRS} SELECT * FROM pairs", "grid_adjacent_pairs")(pairs)
+for _m in ("acyclic", "bidirectional", "random", "gradient"):
+    _query(f"WITH {_edges(_m)} SELECT * FROM edges", f"edges_{_m}")(partial(edges, _m))
+
+
+@_query(f"WITH {_CELLS} SELECT count(*) AS cells, count(*) FILTER (WHERE passable) AS passable FROM cells")
+def grid_passable_count(spark, d):
+    return cells(spark, d).agg(F.count("*").alias("cells"), F.count_if("passable").alias("passable"))
+
+
+@_query(f"WITH {_edges('random')} SELECT src, count(*) AS degree FROM edges GROUP BY src")
+def out_degree(spark, d):
+    return edges("random", spark, d).groupBy("src").agg(F.count("*").alias("degree"))
+
+
+@_query(f"WITH {_edges('random')} SELECT dst AS src, src AS dst FROM edges")
+def transpose_edges(spark, d):
+    return grid.transpose(edges("random", spark, d))
+
+
+@_query(f"WITH {_edges('bidirectional')} SELECT src, dst FROM edges WHERE src % {W} BETWEEN 5 AND 20 AND dst % {W} BETWEEN 5 AND 20")
+def induced_subgraph(spark, d):
+    return grid.induced(edges("bidirectional", spark, d), cells(spark, d).filter("x BETWEEN 5 AND 20"))
+
+
+@_query("SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem")
+def edge_dedup(spark, d):
+    return spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+
+
+# Search --------------------------------------------------------------------------------------
+
+
+@_query(f"WITH RECURSIVE {_reach('acyclic')} SELECT src AS seed, count(*) AS reached FROM reach GROUP BY src")
+def reach_count(spark, d):
+    return closed("acyclic", spark, d).groupBy(F.col("src").alias("seed")).agg(F.count("*").alias("reached"))
+
+
+@_query(f"WITH RECURSIVE {_reach('random')} SELECT src AS seed, dst AS v FROM reach WHERE src % 97 = 0")
+def reach_set(spark, d):
+    return closed("random", spark, d).filter("src % 97 = 0").select(F.col("src").alias("seed"), F.col("dst").alias("v"))
+
+
+@_query(f"""WITH RECURSIVE {_SUPPLIES}, f AS (SELECT src AS seed, src AS v, 0 AS depth FROM (SELECT DISTINCT src FROM edges WHERE src < 10)
+  UNION SELECT f.seed, e.dst, f.depth + 1 FROM f JOIN edges e ON f.v = e.src WHERE f.depth < 6), m AS (SELECT seed, v, min(depth) AS depth FROM f GROUP BY seed, v)
+SELECT seed, v, depth FROM m WHERE depth <= 6""")
+def hop_depth(spark, d):
+    e = supplies(spark, d)
+    return reach.frontier(e, e.filter("src < 10").select(F.col("src").alias("seed")).distinct()).filter("depth <= 6")
+
+
+def _search(mode, spark, d):
+    """By frontier from the sources; the order of the search can't be seen in the answer."""
+    asked = workload(spark, d).filter("qid < 100")
+    sources = asked.select(F.col("source").alias("seed")).distinct()
+    found = reach.frontier(edges(mode, spark, d), sources).select(F.col("seed").alias("src"), F.col("v").alias("dst"))
+    return reach.answer(asked, found)
+
+
+for _name in ("reach_pairs_bfs", "reach_pairs_dfs"):
+    _query(f"SELECT * FROM ({_answers('random')}) WHERE qid < 100", _name)(partial(_search, "random"))
+
+
+def _by_closure(mode, spark, d):
+    return reach.answer(workload(spark, d), reach.reflexive(reach.closure(edges(mode, spark, d)), cells(spark, d).select("v")))
+
+
+_query(_answers("acyclic"), "dag_reach")(partial(_by_closure, "acyclic"))
+_query(_answers("random"), "pairs_full_closure")(partial(_by_closure, "random"))
+_query(_answers("gradient"), "pairs_full_closure_gradient")(partial(_by_closure, "gradient"))
+
+
+# Components ----------------------------------------------------------------------------------
+
+_CC = f"""WITH RECURSIVE {_EVENTS}, u AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), c AS (SELECT DISTINCT user_id, min(event_id) OVER (PARTITION BY user_id) AS component, event_id AS v,
+  count(*) OVER (PARTITION BY user_id) AS n FROM events)"""
+
+
+@_query(f"{_CC} SELECT v, component FROM c WHERE n > 1")
+def cc_labels(spark, d):
+    return components.connected_components(events(spark, d))
+
+
+@_query(f"{_CC} SELECT component, count(*) AS size FROM c WHERE n > 1 GROUP BY component")
+def cc_sizes(spark, d):
+    return cc_labels(spark, d).groupBy("component").agg(F.count("*").alias("size"))
+
+
+@_query(f"{_CC} SELECT max(size) AS largest FROM (SELECT count(*) AS size FROM c GROUP BY component)")
+def largest_cc(spark, d):
+    return cc_sizes(spark, d).agg(F.max("size").alias("largest"))
+
+
+_SCC = f"""{_reach('random')}, scc AS (SELECT a.src AS v, min(b.src) AS comp FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)"""
+
+
+def _scc(spark, d):
+    found = reach.strong_components(edges("random", spark, d))
+    return passable(spark, d).join(found, "v", "left").select("v", F.coalesce("comp", "v").alias("comp"))
+
+
+_query(f"WITH RECURSIVE {_SCC} SELECT v, comp FROM scc", "scc_labels")(_scc)
+
+
+@_query(f"WITH RECURSIVE {_SCC} SELECT size, count(*) AS comps FROM (SELECT count(*) AS size FROM scc GROUP BY comp) GROUP BY size")
+def scc_sizes(spark, d):
+    return _scc(spark, d).groupBy("comp").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("comps"))
+
+
+@_query(f"WITH RECURSIVE {_SCC} SELECT DISTINCT a.comp AS csrc, b.comp AS cdst FROM edges JOIN scc a ON a.v = src JOIN scc b ON b.v = dst WHERE a.comp <> b.comp")
+def condensation_edges(spark, d):
+    return reach.condensation(edges("random", spark, d), _scc(spark, d))
+
+
+@_query(f"""WITH RECURSIVE {_SCC} SELECT (SELECT count(*) FROM cells) AS vertices, (SELECT count(*) FROM cells WHERE passable) AS passable, (SELECT count(*) FROM edges) AS edges,
+  count(*) AS sccs, max(n) AS largest_scc FROM (SELECT count(*) AS n FROM scc GROUP BY comp)""")
+def graph_profile(spark, d):
+    e, c = edges("random", spark, d), cells(spark, d)
+    sccs = _scc(spark, d).groupBy("comp").agg(F.count("*").alias("n")).agg(F.count("*").alias("sccs"), F.max("n").alias("largest_scc"))
+    counts = c.agg(F.count("*").alias("vertices"), F.count_if("passable").alias("passable"))
+    return counts.crossJoin(e.agg(F.count("*").alias("edges"))).crossJoin(sccs)  # one row each
+
+
+# Algebra and labels --------------------------------------------------------------------------
+
+
+@_query(f"WITH {_edges('gradient')} SELECT DISTINCT a.src, b.dst FROM edges a JOIN edges b ON a.dst = b.src")
+def bool_multiply(spark, d):
+    e = edges("gradient", spark, d)
+    return reach.multiply(e, e)
+
+
+@_query(f"WITH RECURSIVE {_reach('random')} SELECT src, dst FROM reach")
+def closure_squaring(spark, d):
+    identity = passable(spark, d).select(F.col("v").alias("src"), F.col("v").alias("dst"))
+    return reach.squaring(edges("random", spark, d).union(identity))
+
+
+@_query(f"WITH RECURSIVE {_reach('gradient')} SELECT src, count(*) AS reached FROM reach GROUP BY src")
+def closure_scc_compressed(spark, d):
+    return closed("gradient", spark, d).groupBy("src").agg(F.count("*").alias("reached"))
+
+
+@_query(f"WITH RECURSIVE {_reach('random')} SELECT a.v, a.n AS n_out, b.n AS n_in FROM (SELECT src AS v, count(*) AS n FROM reach GROUP BY src) a JOIN (SELECT dst AS v, count(*) AS n FROM reach GROUP BY dst) b ON a.v = b.v")
+def two_hop_label_sizes(spark, d):
+    out, into = reach.two_hop_labels(closed("random", spark, d))
+    return out.join(into, "v").select("v", F.size("l_out").cast("long").alias("n_out"), F.size("l_in").cast("long").alias("n_in"))
+
+
+@_query(_answers("random"))
+def pairs_two_hop(spark, d):
+    out, into = reach.two_hop_labels(reach.reflexive(reach.closure(edges("random", spark, d)), cells(spark, d).select("v")))
+    asked = workload(spark, d).join(out.withColumnRenamed("v", "source"), "source").join(into.withColumnRenamed("v", "target"), "target")
+    return asked.select("qid", "source", "target", F.arrays_overlap("l_out", "l_in").alias("reachable"))
+
+
+# Density and workload -------------------------------------------------------------------------
+
+
+@_query(f"""WITH RECURSIVE {_reach('random')}, f AS (SELECT count(*) * 1.0 / (SELECT count(*) FROM cells WHERE passable) AS f FROM reach GROUP BY src) SELECT round(avg(f), 9) AS density, count(*) AS sources FROM f""")
+def density_exact(spark, d):
+    n = passable(spark, d).count()
+    return closed("random", spark, d).groupBy("src").agg((F.count("*") / n).alias("f")).agg(F.round(F.avg("f"), 9).alias("density"), F.count("*").alias("sources"))
+
+
+_query(f"WITH {_CELLS}, {_WORKLOAD} SELECT qid, source, target FROM pairs_", "pair_workload")(workload)
+
+
+@_query(f"SELECT count(*) AS asked, count(*) FILTER (WHERE reachable) AS positive, avg(CASE WHEN reachable THEN 1.0 ELSE 0 END) AS ratio FROM ({_answers('random')})")
+def answer_stats(spark, d):
+    return _by_closure("random", spark, d).agg(F.count("*").alias("asked"), F.count_if("reachable").alias("positive"), F.avg(F.when(F.col("reachable"), 1.0).otherwise(0.0)).alias("ratio"))
+
+
+# Tiles ---------------------------------------------------------------------------------------
+
+_ROWS = CAP // W
+_TILED = f"{_CELLS}, tiled AS (SELECT *, (least(y // {TILE}, {-(-_ROWS // TILE) - 1}) * {-(-W // TILE)} + least(x // {TILE}, {-(-W // TILE) - 1})) AS tile FROM cells)"
+_BOX = "box AS (SELECT tile, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM tiled GROUP BY tile)"
+
+
+def tiled(spark, d):
+    return grid.tiles_of(cells(spark, d), W, _ROWS, TILE)
+
+
+_query(f"WITH {_TILED} SELECT * FROM tiled", "tile_assign")(tiled)
+
+
+@_query(f"""WITH {_TILED}, {_BOX} SELECT v, tile, CASE WHEN y = y0 THEN 'N' WHEN x = x1 THEN 'E' WHEN y = y1 THEN 'S' WHEN x = x0 THEN 'W' END AS side
+FROM tiled JOIN box USING (tile) WHERE passable AND (y = y0 OR x = x1 OR y = y1 OR x = x0)""")
+def tile_ports(spark, d):
+    return grid.ports_of(tiled(spark, d))
+
+
+@_query(f"WITH {_edges('random')}, t AS (SELECT v, (least(y // {TILE}, {-(-_ROWS // TILE) - 1}) * {-(-W // TILE)} + least(x // {TILE}, {-(-W // TILE) - 1})) AS tile FROM cells) SELECT src, dst FROM edges JOIN t a ON a.v = src JOIN t b ON b.v = dst WHERE a.tile <> b.tile")
+def seam_edges(spark, d):
+    return grid.seams_of(edges("random", spark, d), tiled(spark, d))
+
+
+# Text of maps and pictures ---------------------------------------------------------------------
+
+
+@_query("SELECT p_partkey, CASE c WHEN '.' THEN 'ground' WHEN 'G' THEN 'ground' WHEN 'T' THEN 'tree' WHEN 'S' THEN 'swamp' WHEN 'W' THEN 'water' WHEN '@' THEN 'out_of_bounds' WHEN 'O' THEN 'out_of_bounds' ELSE CASE WHEN regexp_matches(c, '^[A-Z]$') THEN 'weighted' ELSE 'unknown' END END AS terrain FROM (SELECT p_partkey, upper(substr(p_type, 1, 1)) AS c FROM part)")
+def terrain_class(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", terrain.terrain_class(F.upper(F.substring("p_type", 1, 1))).alias("terrain"))
+
+
+@_query(f"WITH {_CELLS} SELECT y, string_agg(CASE WHEN passable THEN '222 222 214' ELSE '28 28 32' END, ' ' ORDER BY x) AS row FROM cells GROUP BY y")
+def ppm_rows(spark, d):
+    colour = F.when(F.col("passable"), "222 222 214").otherwise("28 28 32")
+    ordered = F.array_sort(F.collect_list(F.struct("x", colour.alias("c"))))
+    return cells(spark, d).groupBy("y").agg(F.array_join(F.transform(ordered, lambda s: s["c"]), " ").alias("row"))
+
+
+@_query("SELECT c_custkey, replace(replace(replace(replace(replace('<' || c_name || '> & \"' || c_mktsegment || '''', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS escaped FROM customer")
+def xml_escape(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    return c.select("c_custkey", terrain.xml_escape(F.concat(F.lit("<"), "c_name", F.lit('> & "'), "c_mktsegment", F.lit("'"))).alias("escaped"))
+
+
+@_query("SELECT * FROM (VALUES ('a', 0, 0, 0, '.'), ('a', 1, 0, 1, '@'), ('a', 0, 1, 2, 'T'), ('a', 1, 1, 3, 'G')) t(name, x, y, v, ch)")
+def movingai_parse(spark, d):
+    text = "type octile\nwidth 9\nheight 2\nwidth 2\nmap\n.@x\nTG\n"
+    return maps.parse(spark.createDataFrame([("a", text), ("short", "height 2\nwidth 2\nmap\n.@\n."), ("odd", "colour 2\nheight 1\nwidth 1\nmap\n.")], "name string, text string")).select("name", "x", "y", "v", "ch")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
