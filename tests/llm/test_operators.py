@@ -1,0 +1,181 @@
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from gridreach.llm import bpe, chat, decontaminate, neardup, quality, secrets, sharding, wordpieces
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TEXTS = [None, "", " \n\t", "It's 12 o'clock… naïve 日本語 \x00 ok", "a" * 3000, "word  two   spaces\n\n end ", "<|endoftext|> ÿ ▁x", "the " * 500]
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+
+
+def frame(spark, texts):
+    """Documents with a column that clashes with results."""
+    return spark.createDataFrame([(i, t, 7, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int, Score string")
+
+
+def test_bpe_as_tiktoken(spark):
+    import tiktoken
+
+    ranks = bpe.read_ranks(RANKS)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = frame(spark, TEXTS)
+    encoded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    got = {r["doc_id"]: r for r in encoded.collect()}
+    decoded = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode(encoded, RANKS).collect()}
+    digests = {r["doc_id"]: r for r in bpe.digests(docs, RANKS, public_tokenizers.PATTERN).collect()}
+    for i, t in enumerate(TEXTS):
+        ids = own.encode_ordinary(t or "")
+        assert got[i]["ids"] == ids and got[i]["n_tokens"] == len(ids)
+        assert decoded[i] == (t or "").encode()
+        assert digests[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert bpe.encode(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def greedy(word, pieces):
+    n = at = 0
+    while at < len(word):
+        size = next((k for k in range(len(word) - at, 0, -1) if word[at : at + k] in pieces), 0)
+        n, at = n + (1 if size else len(word[at].encode())), at + max(size, 1)
+    return n
+
+
+def test_longest_match():
+    r = random.Random(1)
+    for _ in range(300):
+        pieces = {"".join(r.choice("abcé") for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 12))}
+        automaton = wordpieces.LongestMatch(pieces)
+        for _ in range(20):
+            w = "".join(r.choice("abcéx") for _ in range(r.randint(0, 15)))
+            assert automaton.count(w) == greedy(w, pieces), (pieces, w)
+
+
+def test_token_counts(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = set(wordpieces.read_pieces(path))
+    got = {r["doc_id"]: r for r in wordpieces.token_counts(frame(spark, TEXTS), path).collect()}
+    for i, t in enumerate(TEXTS):
+        words = re.findall(r"[^ \t-\r]+", t or "")
+        assert (got[i]["n_words"], got[i]["n_tokens"]) == (len(words), sum(greedy(wordpieces.MARK + w, pieces) for w in words))
+
+
+@pytest.mark.parametrize("n", [0, 5, 1000])
+def test_sharding(spark, n):
+    docs = spark.range(n, numPartitions=3).select(F.col("id").alias("doc_id"), F.lit("old").alias("slot"))
+    rows = sharding.deal(docs, 16, block_rows=10).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(n))
+    sizes = Counter(r["shard"] for r in rows)
+    assert n == 0 or max(sizes.values()) - min(sizes.get(s, 0) for s in range(16)) <= 1
+    for s in sizes:
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sizes[s]))
+
+
+def test_hypergeometric_law():
+    rng = np.random.default_rng(3)
+    got = Counter(sharding.draw_hypergeometric(rng, 7, 5, 6) for _ in range(20000))
+    from math import comb
+
+    for k in range(1, 7):
+        assert abs(got[k] / 20000 - comb(7, k) * comb(5, 6 - k) / comb(12, 6)) < 0.02
+    big = sharding.draw_hypergeometric(rng, 10**11, 15 * 10**11, 10**7)
+    assert abs(big - 10**7 / 16) < 10**4
+    matrix = sharding.communication_matrix(rng, [5, 0, 11, 4], [7, 7, 6])
+    assert matrix.sum(axis=1).tolist() == [5, 0, 11, 4] and matrix.sum(axis=0).tolist() == [7, 7, 6]
+
+
+def test_near_duplicates(spark):
+    r = random.Random(5)
+    texts = [None, "", "one two", "One  two", "one"]
+    for _ in range(6):
+        base = [r.choice(WORDS) + str(r.randrange(40)) for _ in range(80)]
+        for k in range(8):
+            copy = list(base)
+            for _ in range(r.randint(0, 3)):
+                copy[r.randrange(len(copy))] = "edit" + str(r.random())
+            texts.append(" ".join(copy))
+    got = {x["doc_id"]: x for x in neardup.near_duplicates(frame(spark, texts)).collect()}
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^ \t-\r]+", (t or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    comp = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    for i, s in enumerate(sets):
+        assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(s), comp[i], comp[i] == i)
+
+
+@pytest.mark.parametrize("block_words", [5, 10**6])
+def test_decontamination(spark, block_words):
+    r = random.Random(2)
+    items = [(0, " ".join(r.choice(WORDS) for _ in range(14))), (1, "Alpha, beta"), (2, None), (3, " ".join(r.choice(WORDS) for _ in range(25))), (None, "zeta zeta zeta")]
+    texts = [None, "", "alpha BETA", items[0][1], "x " + items[3][1][20:] + " y"] + [" ".join(r.choice(WORDS[:4]) for _ in range(60)) for _ in range(15)] + [f"{a[1]} {a[1]}" for a in items if a[1]]
+    bench = spark.createDataFrame([(a, b, 1) for a, b in items], "item_id long, text string, doc_id int")
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    windows = {(str(i) if i is not None else "null", tuple(w[a : a + min(10, len(w))])) for i, t in items if (w := split(t)) for a in range(len(w) - min(10, len(w)) + 1)}
+    got = {x["doc_id"]: x for x in decontaminate.find_leaks(frame(spark, texts), bench, block_words=block_words).collect()}
+    for i, t in enumerate(texts):
+        w, hit, ids = split(t), set(), set()
+        for item, g in windows:
+            for a in range(len(w) - len(g) + 1):
+                if tuple(w[a : a + len(g)]) == g:
+                    hit |= set(range(a, a + len(g)))
+                    ids.add(item)
+        assert (got[i]["n_words"], {k for a, b in got[i]["spans"] for k in range(a, b)}, got[i]["items"]) == (len(w), hit, sorted(ids))
+    clean = decontaminate.remove_leaks(frame(spark, texts), bench, max_coverage=1.0, block_words=block_words)
+    assert all(not x["spans"] for x in decontaminate.find_leaks(clean, bench).collect())
+
+
+def test_chat(spark):
+    t = chat.ChatTemplate()
+    r = random.Random(4)
+    bits = [*t.controls, "\\", "<", "[", "/", " ", "x", "\n", " [/INST]", "é"]
+    rows = [(c, k, r.choice(["user", "assistant", "system", "tool", "", None, "[MSG] "]), None if r.random() < 0.05 else "".join(r.choice(bits) for _ in range(r.randint(0, 8)))) for c in range(40) for k in range(r.randint(1, 6))]
+    rows += [(None, 0, "user", "q"), (None, 1, "assistant", "a"), (None, 1, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {x["conv_id"]: x for x in chat.digest(chat.format_segments(df)).collect()}
+    for c in {x[0] for x in rows}:
+        turns = sorted((k, role or "", text or "") for i, k, role, text in rows if i == c)
+        lost = "".join(text for _, role, text in turns if role == "assistant")
+        assert got[c]["n_turns"] == len(turns)
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(lost), hashlib.sha256(lost.encode()).hexdigest())
+    assert chat.format_segments(df.limit(0)).count() == 0
+
+
+def test_field_decodes_exactly():
+    field = secrets.train()
+    right = found = wanted = 0
+    for words, labels in secrets.training_lines(300, seed=77):
+        file = secrets._line_file(words)
+        whole = field.viterbi(field.emissions(words, file))
+        assert field.decode(words, file) == {i: y for i, y in enumerate(whole) if y != secrets.O}
+        right += sum(y != secrets.O == (z != secrets.O) or (y != secrets.O and z != secrets.O) for y, z in zip(labels, whole, strict=True))
+        found += sum(z != secrets.O for z in whole)
+        wanted += sum(y != secrets.O for y in labels)
+    assert right >= 0.97 * max(found, wanted)
+
+
+def test_secret_base_spans(spark):
+    texts = [None, "", 'é password = "abcdef" token:abc api_key=1234567', "AKIA" + "A" * 16 + " AKIASHORT", "x" + "0123456789abcdef" * 2 + "g abcdef", "my ghp_abcDEF123ghiJKL456mnoPQR789stuVWX"]
+    got = {x["doc_id"]: x for x in secrets.secret_report(frame(spark, texts)).collect()}
+    assert [got[i]["spans"] for i in range(5)] == ["", "", "assign:2:20,assign:32:47", "access:0:20", "hex:1:33"]
+    assert got[5]["spans"] == "crf:3:40" and got[5]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_quality(spark):
+    good, bad = ["The cat sat on the mat number %d and slept." % i for i in range(60)], ["junk### junk### %d $$$ $$$ %%%%%% !!!" % i for i in range(60)]
+    docs = frame(spark, good + bad + [None, ""])
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)] + [(None, 1), (500, 0)], "doc_id long, quality int")
+    rows = {r["doc_id"]: r["score"] for r in quality.score(docs.select("doc_id", "text"), quality.train(docs, labels)).collect()}
+    assert all((rows[i] >= 0.5) == (i < 60) for i in range(120)) and 0 <= rows[120] <= 1
+    assert {r["score"] for r in quality.score(docs.drop("Score"), quality.train(docs, labels.limit(0))).collect()} == {1.0}
