@@ -241,7 +241,9 @@ def _accepted(found: Column, weights: dict[str, float]) -> Column:
 
 def _pattern_counts(found: DataFrame) -> dict[str, int]:
     """How many candidates have each pattern: a few thousand patterns at most."""
-    rows = found.select(F.explode("found.features").alias("f")).groupBy("f").agg(F.count("*").alias("n")).collect()
+    # Outer: for a plain explode the optimizer would add a filter on the list's size and push the
+    # list's making down to the scan with it, once more for each step.
+    rows = found.select(F.explode_outer("found.features").alias("f")).filter("f IS NOT NULL").groupBy("f").agg(F.count("*").alias("n")).collect()
     return {r["f"]: r["n"] for r in rows}
 
 
