@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import terrain
-from .operators import components, grid, reach
+from .operators import components, density, grid, reach, tiles
 from .sources import maps
 
 W, CAP, TILE = 50, 2000, 4
@@ -319,6 +319,90 @@ def seam_edges(spark, d):
     return grid.seams_of(edges("random", spark, d), tiled(spark, d))
 
 
+def _index(spark, d):
+    """Edges, tiled cells, ports, closures inside tiles, port graph."""
+    e, t = edges("random", spark, d), tiled(spark, d)
+    ports, local = grid.ports_of(t), tiles.local_closure(e, t)
+    return e, t, ports, local, tiles.port_graph(local, ports, grid.seams_of(e, t))
+
+
+def _tile_of(x: str, y: str) -> str:
+    return f"(least({y} // {TILE}, {-(-_ROWS // TILE) - 1}) * {-(-W // TILE)} + least({x} // {TILE}, {-(-W // TILE) - 1}))"
+
+
+#: Closures of the edges inside regions of ``r(v, region, x, y, passable)``.
+_INSIDE = """inner_edges AS (SELECT src, dst, a.region AS region FROM edges JOIN r a ON a.v = src JOIN r b ON b.v = dst WHERE a.region = b.region),
+  loc AS (SELECT region, v AS src, v AS dst FROM r WHERE passable UNION SELECT l.region, l.src, e.dst FROM loc l JOIN inner_edges e ON e.src = l.dst)"""
+_TILE_REGIONS = f"r AS (SELECT *, {_tile_of('x', 'y')} AS region FROM cells)"
+_PORTS = """rbox AS (SELECT region, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM r GROUP BY region),
+  ports AS (SELECT v FROM r JOIN rbox USING (region) WHERE passable AND (x IN (x0, x1) OR y IN (y0, y1)))"""
+
+
+@_query(f"WITH RECURSIVE {_edges('random')}, {_TILE_REGIONS}, {_INSIDE} SELECT region AS tile, src, dst FROM loc")
+def tile_closures(spark, d):
+    return tiles.local_closure(edges("random", spark, d), tiled(spark, d))
+
+
+@_query(f"""WITH RECURSIVE {_edges('random')}, {_TILE_REGIONS}, {_INSIDE}, {_PORTS}
+SELECT src, dst, false AS seam FROM loc WHERE src <> dst AND src IN (SELECT v FROM ports) AND dst IN (SELECT v FROM ports)
+UNION ALL SELECT src, dst, true FROM edges JOIN r a ON a.v = src JOIN r b ON b.v = dst WHERE a.region <> b.region""")
+def port_graph(spark, d):
+    return _index(spark, d)[4]
+
+
+@_query(_answers("random"))
+def pairs_tile_closure(spark, d):
+    _, _, ports, local, graph = _index(spark, d)
+    return tiles.flat_closure(workload(spark, d), local, ports, graph)
+
+
+@_query(f"SELECT * FROM ({_answers('random')}) WHERE qid < 100")
+def pairs_tile_search(spark, d):
+    _, _, ports, local, graph = _index(spark, d)
+    return tiles.flat_search(workload(spark, d).filter("qid < 100"), local, ports, graph)
+
+
+def _levels(spark, d):
+    return tiles.hierarchy(edges("random", spark, d), tiled(spark, d), tiles.tiles_across(W, TILE))
+
+
+_query(_answers("random"), "pairs_hierarchical")(lambda spark, d: tiles.hierarchical(workload(spark, d), _levels(spark, d)))
+
+
+@_query(f"""WITH RECURSIVE {_edges('random')}, r AS (SELECT *, ((least(y // {TILE}, {-(-_ROWS // TILE) - 1}) // 2) * {-(-(-(-W // TILE)) // 2)} + least(x // {TILE}, {-(-W // TILE) - 1}) // 2) AS region FROM cells), {_INSIDE}, {_PORTS}
+SELECT region, src, dst FROM loc WHERE src <> dst AND src IN (SELECT v FROM ports) AND dst IN (SELECT v FROM ports)""")
+def region_summaries(spark, d):
+    """What groups of 2 by 2 tiles hand up."""
+    e, t = edges("random", spark, d), tiled(spark, d)
+    return tiles.summary(tiles.hierarchy(e, t, tiles.tiles_across(W, TILE), max_depth=2)[1])
+
+
+@_query(f"SELECT * FROM ({_answers('random')}) WHERE qid < 500")
+def pairs_intervals(spark, d):
+    e = edges("random", spark, d)
+    return reach.answer_by_intervals(workload(spark, d).filter("qid < 500"), reach.interval_labels(e), e).drop("certified")
+
+
+_SHARES = f"""{_reach('random')}, sampled AS (SELECT v FROM cells WHERE passable ORDER BY ((v * 7919) % 1000003) * ((v * 7919) % 1000003) % 1000003, v LIMIT 512),
+  f AS (SELECT src AS v, count(*) * 1.0 / (SELECT count(*) FROM cells WHERE passable) AS f FROM reach WHERE src IN (SELECT v FROM sampled) GROUP BY src)"""
+
+
+def _sampled(spark, d):
+    return density.shares(closed("random", spark, d), density.sample(passable(spark, d), 512), passable(spark, d).count())
+
+
+@_query(f"WITH RECURSIVE {_SHARES} SELECT v, round(f, 9) AS f FROM f")
+def density_sample(spark, d):
+    return _sampled(spark, d).select("v", F.round("f", 9).alias("f"))
+
+
+@_query(f"""WITH RECURSIVE {_SHARES}, run AS (SELECT row_number() OVER o AS n, avg(f) OVER o AS mean, var_pop(f) OVER o AS var FROM f
+  WINDOW o AS (ORDER BY ((v * 7919) % 1000003) * ((v * 7919) % 1000003) % 1000003, v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT n, round(mean, 6) AS mean, round(sqrt(var / n), 6) AS error FROM run WHERE n >= 64 AND (n - 64) % 32 = 0""")
+def density_rounds(spark, d):
+    return density.rounds(_sampled(spark, d)).select(F.col("n").cast("long").alias("n"), F.round("mean", 6).alias("mean"), F.round("error", 6).alias("error"))
+
+
 # Text of maps and pictures ---------------------------------------------------------------------
 
 

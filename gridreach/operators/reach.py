@@ -94,32 +94,84 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return _by_part(edges, run, "v long, comp long")
 
 
+def closure_of(pdf: pd.DataFrame, memory_cap: int) -> pd.DataFrame:
+    """The pairs (src, dst) of different vertices with a path over these edges, by bit rows of strong components."""
+    ids, src, dst = _local(pdf)
+    n = len(ids)
+    if n * (-(-n // 64)) * 8 > memory_cap:
+        raise SkippedByPolicy(f"a part of {n} vertices needs more than {memory_cap} bytes")
+    comp, after = _strong(src, dst, n)
+    members: list[list[int]] = [[] for _ in range(max(comp) + 1)]
+    for v, c in enumerate(comp):
+        members[c].append(v)
+    rows, froms, tos = [0] * len(members), [], []
+    for c, own in enumerate(members):  # successors come first
+        bits = sum(1 << v for v in own)
+        for d in {comp[w] for v in own for w in after[v]} - {c}:
+            bits |= rows[d]
+        rows[c] = bits
+        reached = np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes(-(-n // 8), "little"), dtype=np.uint8), bitorder="little"))
+        for v in own:
+            froms.append(np.full(len(reached), v))
+            tos.append(reached)
+    out = pd.DataFrame({"src": ids[np.concatenate(froms)], "dst": ids[np.concatenate(tos)]})
+    return out[out["src"] != out["dst"]]
+
+
 def closure(edges: DataFrame, memory_cap: int = MEMORY_CAP) -> DataFrame:
-    """(src, dst): all pairs of different vertices with a path, by bit rows of strong components in each part."""
+    """(src, dst): all pairs of different vertices with a path, each weakly connected part in a task of its own."""
+    return _by_part(edges, lambda pdf: closure_of(pdf, memory_cap), "src long, dst long")
+
+
+def interval_labels(edges: DataFrame, trees: int = 5, seed: int = 0) -> DataFrame:
+    """(v, tree, part, pre, post): visits of ``trees`` depth-first forests, each in a random order of its own.
+
+    An interval inside another of the same tree and part is a descendant's: a certain path. Nothing
+    follows from intervals apart.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, src, dst = _local(pdf)
-        n = len(ids)
-        if n * (-(-n // 64)) * 8 > memory_cap:
-            raise SkippedByPolicy(f"a part of {n} vertices needs more than {memory_cap} bytes")
-        comp, after = _strong(src, dst, n)
-        members: list[list[int]] = [[] for _ in range(max(comp) + 1)]
-        for v, c in enumerate(comp):
-            members[c].append(v)
-        rows, froms, tos = [0] * len(members), [], []
-        for c, own in enumerate(members):  # successors come first
-            bits = sum(1 << v for v in own)
-            for d in {comp[w] for v in own for w in after[v]} - {c}:
-                bits |= rows[d]
-            rows[c] = bits
-            reached = np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes(-(-n // 8), "little"), dtype=np.uint8), bitorder="little"))
-            for v in own:
-                froms.append(np.full(len(reached), v))
-                tos.append(reached)
-        out = pd.DataFrame({"src": ids[np.concatenate(froms)], "dst": ids[np.concatenate(tos)]})
-        return out[out["src"] != out["dst"]]
-
-    return _by_part(edges, run, "src long, dst long")
+        n, part = len(ids), pdf["component"].iloc[0]
+        out = []
+        for tree in range(trees):
+            order = np.random.default_rng([seed, tree, int(part) & 0x7FFFFFFF]).permutation(n)
+            place = np.argsort(order)
+            after: list[list[int]] = [[] for _ in range(n)]
+            for k in np.argsort(place[dst], kind="stable"):
+                after[src[k]].append(int(dst[k]))
+            pre, post, clock = np.full(n, -1), np.zeros(n, dtype=np.int64), 0
+            for root in order.tolist():
+                if pre[root] >= 0:
+                    continue
+                pre[root], clock = clock, clock + 1
+                work = [(root, iter(after[root]))]
+                while work:
+                    v, rest = work[-1]
+                    w = next((w for w in rest if pre[w] < 0), None)
+                    if w is None:
+                        work.pop()
+                        post[v], clock = clock, clock + 1
+                    else:
+                        pre[w], clock = clock, clock + 1
+                        work.append((w, iter(after[w])))
+            out.append(pd.DataFrame({"v": ids, "tree": tree, "part": part, "pre": pre, "post": post}))
+        return pd.concat(out)
+
+    return _by_part(edges, run, "v long, tree int, part long, pre long, post long")
+
+
+def answer_by_intervals(pairs: DataFrame, labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(qid, source, target, reachable, certified): a tree's certificate, or else a search from the sources left over."""
+    s = labels.select(F.col("v").alias("source"), "tree", "part", F.col("pre").alias("s_pre"), F.col("post").alias("s_post"))
+    t = labels.select(F.col("v").alias("target"), "tree", "part", F.col("pre").alias("t_pre"), F.col("post").alias("t_post"))
+    both = pairs.join(s, "source").join(t, ["target", "tree", "part"]).filter("s_pre <= t_pre AND t_post <= s_post")
+    sure = both.select("qid").distinct().withColumn("sure", F.lit(True))
+    known = cut_compact(pairs.join(sure, "qid", "left").withColumn("certified", F.coalesce("sure", F.lit(False)) | (F.col("source") == F.col("target"))).drop("sure"))
+    left = known.filter("NOT certified")
+    found = frontier(edges, left.select(F.col("source").alias("seed")).distinct()).select(F.col("seed").alias("source"), F.col("v").alias("target"), F.lit(True).alias("hit"))
+    searched = left.join(found, ["source", "target"], "left").select("qid", "source", "target", F.coalesce("hit", F.lit(False)).alias("reachable"), "certified")
+    return known.filter("certified").select("qid", "source", "target", F.lit(True).alias("reachable"), "certified").union(searched)
 
 
 def reflexive(closed: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ GRAPHS = {
     "diamond": [(0, 1), (0, 2), (1, 3), (2, 3)],
     "cycle_and_tail": [(0, 1), (1, 2), (2, 0), (2, 3)],
     "two_cycles_in_a_chain": [e for k in range(10) for e in ((2 * k, 2 * k + 1), (2 * k + 1, 2 * k), (2 * k + 1, 2 * k + 2)) if max(e) < 20],
-    "random": [(random.Random(i).randrange(40), random.Random(-i).randrange(40)) for i in range(1, 60)],
+    "random": [(random.Random(i).randrange(40), random.Random(1000 + i).randrange(40)) for i in range(1, 60)],
     "empty": [],
 }
 
