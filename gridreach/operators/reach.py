@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,8 @@ from .components import connected_components
 
 #: A part's closure as bit rows may take so many bytes in a task.
 MEMORY_CAP = 512 << 20
+#: Pairs of a closure that leave a task at once.
+BATCH = 1 << 20
 
 
 class SkippedByPolicy(RuntimeError):
@@ -69,7 +71,7 @@ def _strong(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[list[int], list[l
     return comp, after
 
 
-def _by_part(edges: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def _by_part(edges: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``run`` on each weakly connected part's edges, every part in a task of its own."""
     ship(edges.sparkSession)
     parts = connected_components(edges).select(F.col("v").alias("src"), "component")
@@ -94,8 +96,11 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return _by_part(edges, run, "v long, comp long")
 
 
-def closure_of(pdf: pd.DataFrame, memory_cap: int) -> pd.DataFrame:
-    """The pairs (src, dst) of different vertices with a path over these edges, by bit rows of strong components."""
+def closure_of(pdf: pd.DataFrame, memory_cap: int) -> Iterator[pd.DataFrame]:
+    """The pairs (src, dst) of different vertices with a path over these edges, by bit rows of strong components.
+
+    They come in batches of about ``BATCH`` pairs or one vertex's pairs, so only the bit rows are held.
+    """
     ids, src, dst = _local(pdf)
     n = len(ids)
     if n * (-(-n // 64)) * 8 > memory_cap:
@@ -104,7 +109,7 @@ def closure_of(pdf: pd.DataFrame, memory_cap: int) -> pd.DataFrame:
     members: list[list[int]] = [[] for _ in range(max(comp) + 1)]
     for v, c in enumerate(comp):
         members[c].append(v)
-    rows, froms, tos = [0] * len(members), [], []
+    rows, froms, tos, held = [0] * len(members), [], [], 0
     for c, own in enumerate(members):  # successors come first
         bits = sum(1 << v for v in own)
         for d in {comp[w] for v in own for w in after[v]} - {c}:
@@ -112,15 +117,24 @@ def closure_of(pdf: pd.DataFrame, memory_cap: int) -> pd.DataFrame:
         rows[c] = bits
         reached = np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes(-(-n // 8), "little"), dtype=np.uint8), bitorder="little"))
         for v in own:
-            froms.append(np.full(len(reached), v))
-            tos.append(reached)
-    out = pd.DataFrame({"src": ids[np.concatenate(froms)], "dst": ids[np.concatenate(tos)]})
-    return out[out["src"] != out["dst"]]
+            others = reached[reached != v]
+            froms.append(np.full(len(others), v))
+            tos.append(others)
+            held += len(others)
+            if held >= BATCH:
+                yield pd.DataFrame({"src": ids[np.concatenate(froms)], "dst": ids[np.concatenate(tos)]})
+                froms, tos, held = [], [], 0
+    if held:
+        yield pd.DataFrame({"src": ids[np.concatenate(froms)], "dst": ids[np.concatenate(tos)]})
 
 
 def closure(edges: DataFrame, memory_cap: int = MEMORY_CAP) -> DataFrame:
     """(src, dst): all pairs of different vertices with a path, each weakly connected part in a task of its own."""
-    return _by_part(edges, lambda pdf: closure_of(pdf, memory_cap), "src long, dst long")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from closure_of(pd.concat(batches), memory_cap)
+
+    return _by_part(edges, run, "src long, dst long")
 
 
 def interval_labels(edges: DataFrame, trees: int = 5, seed: int = 0) -> DataFrame:
@@ -205,7 +219,8 @@ def two_hop_labels(reach: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def answer(pairs: DataFrame, reach: DataFrame) -> DataFrame:
     """(qid, source, target) -> with reachable, by a reflexive closure or the part of it that holds the sources."""
-    hit = reach.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit(True).alias("hit"))
+    asked = pairs.select("source", "target").distinct()
+    hit = reach.select(F.col("src").alias("source"), F.col("dst").alias("target")).join(asked, ["source", "target"], "left_semi").distinct().withColumn("hit", F.lit(True))
     return pairs.join(hit, ["source", "target"], "left").select("qid", "source", "target", F.coalesce("hit", F.lit(False)).alias("reachable"))
 
 

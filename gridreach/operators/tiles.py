@@ -12,6 +12,7 @@ given to ``flat_closure`` and ``flat_search`` if both ends of its seams are port
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -27,8 +28,10 @@ def _closed_by(edges: DataFrame, group: str, memory_cap: int) -> DataFrame:
     """(group, src, dst): pairs of different cells with a path over the group's own edges."""
     ship(edges.sparkSession)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return reach.closure_of(pdf, memory_cap).assign(**{group: pdf[group].iloc[0]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(batches)
+        for pairs in reach.closure_of(pdf, memory_cap):
+            yield pairs.assign(**{group: pdf[group].iloc[0]})
 
     return edges.select("src", "dst", group).groupBy(group).applyInPandas(run, f"src long, dst long, {group} long")
 
