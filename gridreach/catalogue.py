@@ -3,6 +3,10 @@
 Graphs: ``g1`` part grid (50 wide, part key = cell, passable unless p_size is a multiple of 4), ``g2``
 event successors of a user with back arcs, ``g3`` suppliers and parts. The queries take all parts; the
 oracles of ``g1`` stop at part key ``CAP``, so they can be compared on tables of up to ``CAP`` parts.
+
+``reach_set``, ``hop_depth``, ``reach_pairs_bfs``, ``reach_pairs_dfs``, ``pairs_tile_search`` and
+``pairs_intervals`` answer the slices that their SQL names; the same names with ``_all`` do the whole
+job (the whole table, all seeds and depths, the whole workload) and have no SQL.
 """
 
 from __future__ import annotations
@@ -59,10 +63,10 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return arcs.select(F.explode(F.coalesce(back, F.array(F.struct(F.col("event_id").alias("src"), F.col("after").alias("dst"))))).alias("e")).select("e.src", "e.dst")
 
 
-def supplies(spark: SparkSession, d: str) -> DataFrame:
+def supplies(spark: SparkSession, d: str, kept: str = "true") -> DataFrame:
     """Suppliers 0, 1, ... and parts from 1000000 on; the part's parity turns the arc."""
     p, s = F.col("l_partkey") + 1000000, F.col("l_suppkey")
-    li = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_orderkey % 20 = 0").select("l_partkey", "l_suppkey").distinct()
+    li = spark.read.parquet(f"{d}/lineitem.parquet").filter(kept).select("l_partkey", "l_suppkey").distinct()
     return li.select(F.when(F.col("l_partkey") % 2 == 0, s).otherwise(p).alias("src"), F.when(F.col("l_partkey") % 2 == 0, p).otherwise(s).alias("dst"))
 
 
@@ -162,27 +166,39 @@ def reach_count(spark, d):
 
 @_query(f"WITH RECURSIVE {_reach('random')} SELECT src AS seed, dst AS v FROM reach WHERE src % 97 = 0")
 def reach_set(spark, d):
-    return closed("random", spark, d).filter("src % 97 = 0").select(F.col("src").alias("seed"), F.col("dst").alias("v"))
+    return reach_set_all(spark, d).filter("seed % 97 = 0")
+
+
+@_query()
+def reach_set_all(spark, d):
+    return closed("random", spark, d).select(F.col("src").alias("seed"), F.col("dst").alias("v"))
 
 
 @_query(f"""WITH RECURSIVE {_SUPPLIES}, f AS (SELECT src AS seed, src AS v, 0 AS depth FROM (SELECT DISTINCT src FROM edges WHERE src < 10)
   UNION SELECT f.seed, e.dst, f.depth + 1 FROM f JOIN edges e ON f.v = e.src WHERE f.depth < 6), m AS (SELECT seed, v, min(depth) AS depth FROM f GROUP BY seed, v)
 SELECT seed, v, depth FROM m WHERE depth <= 6""")
 def hop_depth(spark, d):
-    e = supplies(spark, d)
+    e = supplies(spark, d, "l_orderkey % 20 = 0")
     return reach.frontier(e, e.filter("src < 10").select(F.col("src").alias("seed")).distinct()).filter("depth <= 6")
 
 
-def _search(mode, spark, d):
+@_query()
+def hop_depth_all(spark, d):
+    e = supplies(spark, d)
+    return reach.frontier(e, e.select(F.col("src").alias("seed")).distinct())
+
+
+def _search(mode, spark, d, kept="true"):
     """By frontier from the sources; the order of the search can't be seen in the answer."""
-    asked = workload(spark, d).filter("qid < 100")
+    asked = workload(spark, d).filter(kept)
     sources = asked.select(F.col("source").alias("seed")).distinct()
     found = reach.frontier(edges(mode, spark, d), sources).select(F.col("seed").alias("src"), F.col("v").alias("dst"))
     return reach.answer(asked, found)
 
 
 for _name in ("reach_pairs_bfs", "reach_pairs_dfs"):
-    _query(f"SELECT * FROM ({_answers('random')}) WHERE qid < 100", _name)(partial(_search, "random"))
+    _query(f"SELECT * FROM ({_answers('random')}) WHERE qid < 100", _name)(partial(_search, "random", kept="qid < 100"))
+    _query(name=f"{_name}_all")(partial(_search, "random"))
 
 
 def _by_closure(mode, spark, d):
@@ -360,8 +376,15 @@ def pairs_tile_closure(spark, d):
 
 @_query(f"SELECT * FROM ({_answers('random')}) WHERE qid < 100")
 def pairs_tile_search(spark, d):
+    return _tile_search(spark, d, "qid < 100")
+
+
+def _tile_search(spark, d, kept="true"):
     _, _, ports, local, graph = _index(spark, d)
-    return tiles.flat_search(workload(spark, d).filter("qid < 100"), local, ports, graph)
+    return tiles.flat_search(workload(spark, d).filter(kept), local, ports, graph)
+
+
+_query(name="pairs_tile_search_all")(_tile_search)
 
 
 def _levels(spark, d):
@@ -381,8 +404,15 @@ def region_summaries(spark, d):
 
 @_query(f"SELECT * FROM ({_answers('random')}) WHERE qid < 500")
 def pairs_intervals(spark, d):
+    return _by_intervals(spark, d, "qid < 500")
+
+
+def _by_intervals(spark, d, kept="true"):
     e = edges("random", spark, d)
-    return reach.answer_by_intervals(workload(spark, d).filter("qid < 500"), reach.interval_labels(e), e).drop("certified")
+    return reach.answer_by_intervals(workload(spark, d).filter(kept), reach.interval_labels(e), e).drop("certified")
+
+
+_query(name="pairs_intervals_all")(_by_intervals)
 
 
 _SHARES = f"""{_reach('random')}, sampled AS (SELECT v FROM cells WHERE passable ORDER BY ((v * 7919) % 1000003) * ((v * 7919) % 1000003) % 1000003, v LIMIT 512),

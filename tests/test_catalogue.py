@@ -51,6 +51,34 @@ def test_whole_grid(spark, parts):
         assert len(got) > 100 and all(r["reachable"] == (r["source"] == r["target"] or r["target"] in around.get(r["source"], ())) for r in got), name
 
 
+def test_whole_workload(spark, parts):
+    """All seeds of the closure and all 2000 pairs, by each search."""
+    run = lambda name: catalogue.queries()[name](spark, parts)
+    around = brute(random_edges())
+    got = {tuple(r) for r in run("reach_set_all").collect()}
+    assert got == {(v, v) for v in range(N) if passable(v)} | {(s, t) for s, ts in around.items() for t in ts}
+    asked = {tuple(r) for r in run("pair_workload").collect()}
+    right = {(q, s, t): s == t or t in around.get(s, ()) for q, s, t in asked}
+    assert len(right) == 2000 and any(v and s != t for (_, s, t), v in right.items())
+    for name in ("reach_pairs_bfs_all", "reach_pairs_dfs_all", "pairs_tile_search_all", "pairs_intervals_all"):
+        assert {(r["qid"], r["source"], r["target"]): r["reachable"] for r in run(name).collect()} == right, name
+
+
+def test_all_hops(spark, tmp_path):
+    """Every order's arcs, every seed; a part's parity turns its arc."""
+    rows = [(i, (i * 7) % 23, (i * i) % 13) for i in range(60)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    arcs = {(s, p + 1000000) if p % 2 == 0 else (p + 1000000, s) for _, p, s in rows}
+    want = set()
+    for seed in {a for a, _ in arcs}:
+        seen, front, depth = {seed}, {seed}, 0
+        while front:
+            want |= {(seed, v, depth) for v in front}
+            front, depth = {b for a, b in arcs if a in front} - seen, depth + 1
+            seen |= front
+    assert {tuple(r) for r in catalogue.queries()["hop_depth_all"](spark, str(tmp_path)).collect()} == want
+
+
 def test_closure_batches(monkeypatch):
     import pandas as pd
 
