@@ -39,10 +39,26 @@ _PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# A bank account number's length follows from its country; other letters take any length of 15 to 34.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM",
+    28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_GROUP = r"\x20?[A-Z0-9]"
+
+
+def _iban() -> str:
+    known = [rf"(?:{c})[0-9]{{2}}(?:{_GROUP}{{4}}){{{n // 4 - 1}}}" + (rf"{_GROUP}{{{n % 4}}}" if n % 4 else "") for n, c in _IBAN_LENGTHS.items()]
+    other = rf"[A-Z]{{2}}[0-9]{{2}}(?:(?:{_GROUP}{{4}}){{7}}(?:{_GROUP}{{1,2}})?|(?:{_GROUP}{{4}}){{3,6}}(?:{_GROUP}{{1,3}})?|(?:{_GROUP}{{4}}){{2}}{_GROUP}{{3}})"
+    # The trailing test is here too: an account number of its country's length comes before a longer one.
+    return rf"(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{'|'.join(known)})(?![0-9A-Za-z])|{other})"
+
+
 _FORMS = {
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "local": r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
-    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}",
+    "iban": _iban(),
     "name": r"(?:Mr|Mrs|Ms|Dr)\.\x20[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20})?",
     "spelled": r"[A-Za-z0-9_%+-]{1,40}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,40}(?:\x20?[\[(]dot[\])]\x20?[a-z]{2,10}|\.[a-z]{2,10})",
 }

@@ -56,3 +56,19 @@ def test_estimates():
     chance, reliable = pii.estimate(counts)
     assert chance[row("ssn", "1-1-", 0)[0]] > 0.9 > 0.1 > chance[row("ssn", "0-0-", 0)[0]]
     assert all(r > 0.5 for r in reliable.values())
+
+
+def test_ibans(spark):
+    """Bank account numbers of every length, compact and in groups of four, whole and without the word behind."""
+    country = {15: "NO", 16: "BE", 18: "NL", 19: "SI", 20: "AT", 21: "CH", 22: "DE", 23: "AE", 24: "ES", 25: "PT", 26: "TR", 27: "FR", 28: "PL", 29: "BR", 30: "KW", 31: "MT", 32: "LC", 33: "RU"}
+    made = [(country.get(n, "XX") + "93" + "8604A1117947B5306012C8345679051D2"[: n - 4].ljust(n - 4, "7")) for n in range(15, 35)]
+    made += ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "NL91ABNA0417164300", "SC18SSCB11010000000000001497USD"]
+    ibans = [x for m in made for x in (m, " ".join(m[i : i + 4] for i in range(0, len(m), 4)))]
+    assert {len(m) for m in made} == set(range(15, 35))
+    docs = spark.createDataFrame([(i, f"Account {x} EUR now") for i, x in enumerate(ibans)] + [(1000, f"no DE8937040044 or AB12 3456 or {'A1' * 3}9{'Z' * 40}")], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"] if s["kind"] == "iban"] for r in pii.with_candidates(docs).select("doc_id", "found").collect()}
+    for i, x in enumerate(ibans):
+        assert got[i] == [(8, 8 + len(x))], x
+    assert got[1000] == []
+    text = "IBAN: DE89 3704 0044 0532 0130 00, or GB29NWBK60161331926819."
+    assert pii.mask(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"] == "IBAN: <IBAN>, or <IBAN>."
