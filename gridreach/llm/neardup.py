@@ -298,7 +298,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, with one row of each component; rows without shingles and null ids stay."""
-    found = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    known = docs.join(found, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
-    return known.union(docs.filter("doc_id IS NULL"))
+    """``docs``, all columns, with one row of each component, of the smallest id; rows without shingles and null ids stay."""
+    known = docs.filter("doc_id IS NOT NULL")
+    row = F.col("doc_id").cast("long")
+    if known.groupBy(row).count().filter("count > 1").isEmpty():
+        found = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept"))
+        return known.join(found, row == F.col("__kept"), "left_semi").union(docs.filter("doc_id IS NULL"))
+    # Repeated ids: rows get keys of their own, written out so that they stay the same.
+    known = cut(known.withColumn("__row", F.monotonically_increasing_id()))
+    groups = near_duplicates(known.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    first = groups.join(known.select("__row", row.alias("__id")), "__row").groupBy("component_id").agg(F.min(F.struct("__id", "__row"))["__row"].alias("__row"))
+    return known.join(first, "__row", "left_semi").drop("__row").union(docs.filter("doc_id IS NULL"))

@@ -114,6 +114,18 @@ def test_near_duplicates(spark):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(s), comp[i], comp[i] == i)
 
 
+def test_drop_copies_keeps_a_row_of_each_component(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = words(1) + " end"
+    rows = [(1, words(1), "a"), (1, words(1), "b"), (2, near, "c"), (3, words(2), "d"), (1, words(3), "e"), (4, words(3), "f"), (3, words(4), "g"), (5, "", "h"), (5, "", "i"), (None, words(1), "j")]
+    got = neardup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string, tag string")).collect()
+    kept = [(r["doc_id"], r["text"]) for r in got]
+    assert sorted(kept, key=str) == sorted([(1, words(1)), (1, words(3)), (3, words(2)), (3, words(4)), (5, ""), (5, ""), (None, words(1))], key=str)
+    assert got[0].asDict().keys() == {"doc_id", "text", "tag"}
+    unique = neardup.drop_copies(spark.createDataFrame([r for r in rows if r[2] in "bcdfj"], "doc_id long, text string, tag string"))
+    assert {r["tag"] for r in unique.collect()} == set("bdfj")
+
+
 @pytest.mark.parametrize("block_words", [5, 10**6])
 def test_decontamination(spark, block_words):
     r = random.Random(2)
