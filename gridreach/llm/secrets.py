@@ -332,17 +332,22 @@ def find_spans(text: str, field: Field) -> list[tuple[int, int, str]]:
     labels = field.decode(words, file_class(text)) if words else {}
     if not labels:
         return base
+    # Words that touch a base span are left out of a decoded span; what is left on either side stays.
+    touches = lambda a, b: any(s < b and a < e for s, e, _ in base)
     added: list[list[int]] = []
+    last = -1
     for i, m in enumerate(_WORDS.finditer(text)):
         if (y := labels.get(i)) is not None:
             core = _CORE.search(m[0])
             start, end = (m.start() + core.start(), m.start() + core.end()) if core else m.span()
-            if y == I and i - 1 in labels and added:
+            if touches(start, end):
+                continue
+            if y == I and added and last == i - 1 and not touches(added[-1][0], end):
                 added[-1][1] = end
             else:
                 added.append([start, end])
-    added = [(a, b, "crf") for a, b in added if not any(s < b and a < e for s, e, _ in base)]
-    return sorted([*base, *added], key=lambda s: (s[0], KINDS.index(s[2])))
+            last = i
+    return sorted([*base, *((a, b, "crf") for a, b in added)], key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def written(spans: list[tuple[int, int, str]]) -> str:
