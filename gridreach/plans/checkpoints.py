@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; set one only where none is configured (tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, put to use.
+
+    A local session may do without the setting: it gets a folder of its own, which goes when the
+    program ends. On a cluster no other machine would see such a folder, so there it is an error.
+    """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridreach-checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="gridreach-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -26,3 +38,9 @@ def cut_compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """``cut``, then read back in partitions of about ``rows`` rows: no swarm of tiny shuffle files."""
     done = cut(df)
     return done.coalesce(max(1, -(-done.count() // rows)))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files (and, where it is set to, checkpoints) of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
