@@ -206,3 +206,53 @@ def test_decoded_words_beside_a_base_span_stay():
     found = [(a, b) for a, b, kind in spans if kind == "crf"]
     assert any("MIIEvQIBADANBgkq hkiG9w0BAQEFAASC" in text[a:b] for a, b in found)
     assert not any(s < b and a < e for a, b in found for s, e, _ in base)
+
+
+def near_duplicates_by_pairs(rows):
+    """(doc_id, text) -> what the contract says, all pairs of rows compared."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    least = [i for i, _ in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and 100 * len(a & b) >= 75 * len(a | b) and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return [(rows[i][0], len(s), min(least[j] for j in range(len(rows)) if group[j] == group[i])) for i, s in enumerate(sets)]
+
+
+def test_near_duplicates_repeated_ids_and_long_texts(spark):
+    """Texts under one id are not linked by it; copies, ties, long texts and clashing columns."""
+    words = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    long = words(9, 60_000)
+    rows = [(1, words(1)), (1, words(2)), (2, words(1)), (3, words(2)), (3, words(2)), (4, long), (5, long + " end"), (6, words(9, 50_000)), (7, None), (8, ""), (9, "a b"), (10, "A  b")]
+    docs = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], "doc_id long, text string, node int, Text int, __c int")
+    got = neardup.near_duplicates(docs)
+    assert sorted(tuple(r)[:3] for r in got.collect()) == sorted(near_duplicates_by_pairs(rows))
+    assert neardup.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_near_duplicates_hot_bucket(spark):
+    """Hundreds of texts share a long passage, so buckets are hot and many pairs fall just short of a link."""
+    r = random.Random(11)
+    shared = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(240):
+        own = [f"q{r.randrange(9)}x{j}" if i % 3 else f"o{i}x{j}" for j in range(r.choice([8, 14, 18, 24]))]
+        rows.append((i, " ".join(shared + own)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = near_duplicates_by_pairs(rows)
+    assert 1 < len({c for _, _, c in want}) < 240
+    assert sorted(tuple(x)[:3] for x in got.collect()) == sorted(want)
+
+
+def test_drop_copies_clashing_names(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, words, 1, 2, 3), (2, words, 4, 5, 6), (3, None, 7, 8, 9)], "doc_id long, text string, __kept int, __c1 int, __row int")
+    got = neardup.drop_copies(docs)
+    assert got.columns == docs.columns and {tuple(r)[2:] for r in got.collect()} == {(1, 2, 3), (7, 8, 9)}
+    twice = neardup.drop_copies(docs.union(docs))
+    assert twice.columns == docs.columns and sorted(r["doc_id"] for r in twice.collect()) == [1, 3, 3]
