@@ -23,5 +23,13 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*[F.col(f"__c{cols.index(n)}").alias(n) for n in names])
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column is called so, in whatever case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def hex_sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()

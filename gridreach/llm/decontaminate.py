@@ -5,25 +5,28 @@ all items' word sequences is walked with each document's words; it gives at ever
 length of the longest match that ends there. A match of a full window (``window`` words, or a
 whole shorter item) is a leak: its words are hit and its items known.
 
-Broadcast: the automaton of a block of items, of at most ``block_words`` words in all; a larger
-benchmark is walked block after block, so its size is no limit.
+Broadcast: the automaton of one block of items, of at most ``block_words`` words in all. A larger
+benchmark is walked in passes, a block each, and what a pass found is written out before the next
+one's automaton is made, so driver and executors hold one block's at a time.
 
 Defined results: null and empty texts have no words; an item without words matches nothing; an
 item with a null id hits words and is listed as "null"; items that share an id count as one; a
-repeated document gives its result again; without documents there are no rows, without items
-nothing is hit; other columns are ignored, or kept by ``remove_leaks``.
+repeated document gives its result again; a very long text is walked word by word, whole; without
+documents there are no rows, without items nothing is hit; other columns, whatever their names, are
+ignored, or kept by ``remove_leaks``.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import cut
 from ..plans.shipping import ship
 from .common import pick
 
@@ -152,11 +155,6 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
         yield held
 
 
-def _automata(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> list:
-    sc = docs.sparkSession.sparkContext
-    return [sc.broadcast(SuffixAutomaton(block, window)) for block in _blocks(benchmark, block_words)] or [sc.broadcast(SuffixAutomaton([], window))]
-
-
 def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -167,37 +165,50 @@ def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan_all(automata: list, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-    spans, items = automata[0].value.scan(words)
-    for more in automata[1:]:
-        s, ids = more.value.scan(words)
-        spans, items = _merged([*spans, *s]), items | ids
-    return spans, items
+_HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string())), ("text", pa.binary())])
+_HITS_DDL = "doc_id long, n_words long, spans array<array<long>>, items array<string>"
 
 
-_HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
+def _passes(df: DataFrame, benchmark: DataFrame, window: int, block_words: int, step: Callable) -> DataFrame:
+    """``step(df, automaton, last)`` for each block of items in turn; what it gives is written out in between."""
+    ship(df.sparkSession)
+    sc, blocks = df.sparkSession.sparkContext, _blocks(benchmark, block_words)
+    block = next(blocks, [])
+    while True:
+        held, block = sc.broadcast(SuffixAutomaton(block, window)), next(blocks, None)
+        df = step(df, held, block is None)
+        if block is None:
+            return df
+        df = cut(df)
+        held.destroy()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, spans of hit words (array of [start, end)), items (ids, sorted)."""
-    ship(docs.sparkSession)
-    automata = _automata(docs, benchmark, window, block_words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                n_words, all_spans, all_items = [], [], []
-                for text in b.column(1).to_pylist():
-                    words = words_of(text or b"")
-                    spans, items = _scan_all(automata, words)
-                    n_words.append(len(words))
-                    all_spans.append([[a, e] for a, e in spans])
-                    all_items.append(sorted(items))
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, f.type) for x, f in zip((n_words, all_spans, all_items), list(_HITS)[1:], strict=True))], schema=_HITS)
+
+    def step(df: DataFrame, automaton, last: bool) -> DataFrame:
+        wanted = len(_HITS) - last  # the text goes along until the last pass
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    b = whole.slice(at, 512)
+                    n_words, all_spans, all_items = [], [], []
+                    for text, spans, items in zip(*(b.column(i).to_pylist() for i in (4, 2, 3)), strict=True):
+                        words = words_of(text or b"")
+                        more, ids = automaton.value.scan(words)
+                        n_words.append(len(words))
+                        all_spans.append([list(s) for s in (_merged([*map(tuple, spans), *more]) if spans else more)])
+                        all_items.append(sorted(ids | set(items)))
+                    found = [pa.array(x, f.type) for x, f in zip((n_words, all_spans, all_items), list(_HITS)[1:4], strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column(0), *found, b.column(4)][:wanted], schema=pa.schema(list(_HITS)[:wanted]))
+
+        return df.mapInArrow(run, _HITS_DDL + ("" if last else ", text binary"))
 
     read = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return read.mapInArrow(run, "doc_id long, n_words long, spans array<array<long>>, items array<string>")
+    none = F.array().cast("array<array<long>>"), F.array().cast("array<string>")
+    read = read.select("doc_id", F.lit(0).cast("long").alias("n_words"), none[0].alias("spans"), none[1].alias("items"), "text")
+    return _passes(read, benchmark, window, block_words, step)
 
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -215,44 +226,62 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` without leaked spans; documents whose hit share of words exceeds ``max_coverage`` go.
+    """``docs`` without leaked spans; documents go of whose words more than the share ``max_coverage`` would be cut.
 
     Keeps all columns; ``text`` and, if it is there, ``n_chars`` are rewritten where a span was cut.
-    Cutting is repeated until no window is left, since what remains can join to one.
+    Cutting is repeated until no window is left, since what remains can join to one; the share counts
+    the words of all cuts. With several blocks of items, passes are repeated until none cuts.
     """
-    ship(docs.sparkSession)
-    automata = _automata(docs, benchmark, window, block_words)
-    names = docs.columns
+    names, fields = docs.columns, docs.schema.fields
     at_text, at_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                b = whole.slice(start, 512)
-                texts = b.column(at_text).to_pylist()
-                chars = b.column(at_chars).to_pylist() if at_chars >= 0 else None
-                keep, changed = [], False
-                for i, text in enumerate(texts):
-                    raw, hit = (text or "").encode(), False
-                    words = words_of(raw)
-                    spans, _ = _scan_all(automata, words)
-                    keep.append(sum(e - a for a, e in spans) <= max_coverage * len(words))
-                    while spans and keep[-1]:
-                        raw, hit = cut_spans(raw, spans), True
-                        spans, _ = _scan_all(automata, words_of(raw))
-                    if hit:
-                        texts[i], changed = raw.decode(), True
-                        if chars:
-                            chars[i] = len(texts[i])
-                if changed:
+    # By position, and with the words there were and the words cut so far.
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    flat = flat.select("*", F.lit(-1).cast("long").alias("words"), F.lit(0).cast("long").alias("gone"))
+
+    def step(df: DataFrame, automaton, last: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scan = automaton.value.scan
+            for whole in batches:
+                for start in range(0, whole.num_rows, 512):
+                    b = whole.slice(start, 512)
                     columns = list(b.columns)
-                    columns[at_text] = pa.array(texts, columns[at_text].type)
-                    if chars:
-                        columns[at_chars] = pa.array(chars, columns[at_chars].type)
-                    b = pa.RecordBatch.from_arrays(columns, schema=b.schema)
-                yield b.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+                    texts, before, gone = (columns[i].to_pylist() for i in (at_text, -2, -1))
+                    chars = columns[at_chars].to_pylist() if at_chars >= 0 else None
+                    keep, changed = [], False
+                    for i, text in enumerate(texts):
+                        raw, hit = (text or "").encode(), False
+                        words = words_of(raw)
+                        before[i] = len(words) if before[i] < 0 else before[i]
+                        spans, _ = scan(words)
+                        while spans:
+                            gone[i] += sum(e - a for a, e in spans)
+                            if gone[i] > max_coverage * before[i]:
+                                break
+                            raw, hit = cut_spans(raw, spans), True
+                            spans, _ = scan(words_of(raw))
+                        keep.append(not spans)
+                        if hit:
+                            texts[i], changed = raw.decode(), True
+                            if chars:
+                                chars[i] = len(texts[i])
+                    if changed:
+                        columns[at_text] = pa.array(texts, columns[at_text].type)
+                        if chars:
+                            columns[at_chars] = pa.array(chars, columns[at_chars].type)
+                    columns[-2:] = pa.array(before, pa.int64()), pa.array(gone, pa.int64())
+                    yield pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(pa.array(keep, pa.bool_()))
+
+        return df.mapInArrow(run, flat.schema)
+
+    blocks = _blocks(benchmark, block_words)
+    several = next(blocks, None) is not None and next(blocks, None) is not None
+    out = _passes(flat, benchmark, window, block_words, step)
+    while several:  # a later block's cut can join what an earlier one looks for
+        before = out = cut(out)
+        total = before.agg(F.sum("gone")).first()[0]
+        out = cut(_passes(before, benchmark, window, block_words, step))
+        several = out.agg(F.sum("gone"), F.count("*")).first() != (total, before.count())
+    return out.select(*[f"c{i}" for i in range(len(fields))]).toDF(*names)
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

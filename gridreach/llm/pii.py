@@ -290,7 +290,9 @@ def mask(docs: DataFrame) -> DataFrame:
     the texts: they cost less than writing the texts for a second reading.
     """
     names = docs.columns
-    texts = docs.withColumn("__raw", F.col("text")).withColumn("text", F.coalesce("text", F.lit("")))
+    flat = docs.toDF(*[f"__c{i}" for i in range(len(names))])  # by position: names may clash
+    raw = f"__c{names.index('text')}"
+    texts = flat.withColumn("text", F.coalesce(raw, F.lit("")))
     weights = train(_pattern_counts(with_candidates(texts.select("text")).select("found")))
     df = with_candidates(texts)
     df = df.withColumn("__f", _accepted(F.col("found"), weights)).drop("found")
@@ -305,8 +307,9 @@ def mask(docs: DataFrame) -> DataFrame:
     end = lambda i: F.coalesce(F.get(F.col("__j"), i - 1)["end"], F.lit(0))
     pieces = F.transform("__j", lambda s, i: F.concat(F.substring(F.col("text"), end(i) + 1, s["start"] - end(i)), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
     tail = F.substring(F.col("text"), F.get(F.col("__j"), F.size("__j") - 1)["end"] + 1, F.length("text"))
-    df = df.withColumn("__new", F.when(F.size("__j") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("__raw")))
-    out = {"text": F.col("__new")}
+    df = df.withColumn("__new", F.when(F.size("__j") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col(raw)))
+    out = {raw: F.col("__new")}
     if "n_chars" in names:
-        out["n_chars"] = F.when(F.size("__j") > 0, F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return df.select(*[out.get(c, F.col(c)).alias(c) for c in names])
+        at = names.index("n_chars")
+        out[f"__c{at}"] = F.when(F.size("__j") > 0, F.length("__new").cast(docs.schema.fields[at].dataType)).otherwise(F.col(f"__c{at}"))
+    return df.select(*[out.get(c, F.col(c)) for c in flat.columns]).toDF(*names)

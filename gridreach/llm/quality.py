@@ -10,9 +10,11 @@ rows a sampled one of its class stands for.
 Bounds: ``per_class`` sampled rows of each label; all labelled rows count for the class weights.
 
 Defined results: a null or empty text has the terms of an empty text and is scored like any other;
-a text like no neighbour gets the share of label 1; labels other than 0 and 1, null ids and labels
+a text like no neighbour gets the share of label 1; neighbours as near as the last one that votes
+vote too; a very long text is one count of its pairs, whatever its length; labels other than 0 and 1, null ids and labels
 without a document are not learnt from; a repeated document gives its result again; without learnt
-rows every score is 1 (nothing is known against a document); an empty table gives no rows.
+rows every score is 1 (nothing is known against a document); an empty table gives no rows; other
+columns are kept, and one that is called like the score is replaced.
 """
 
 from __future__ import annotations
@@ -157,10 +159,10 @@ def scores(model: Model | None, texts: list[str]) -> np.ndarray:
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     near = latent @ model.vectors.T
     k = min(model.neighbours, near.shape[1])
-    at = np.argpartition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k :]
-    weight = np.maximum(np.take_along_axis(near, at, axis=1), 0) ** 2 * model.weights[at]
+    least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+    weight = np.where(near >= np.maximum(least, 0), near, 0) ** 2 * model.weights
     total = weight.sum(axis=1)
-    return np.where(total > 0, (weight * model.labels[at]).sum(axis=1) / np.where(total > 0, total, 1), model.prior).clip(0, 1)
+    return np.where(total > 0, weight @ model.labels / np.where(total > 0, total, 1), model.prior).clip(0, 1)
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -195,13 +197,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     return fit(sample, {v: totals[v] / max(1, sizes[v]) for v in totals})
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``score`` double in place of any column of that name; all other columns stay."""
+def score(docs: DataFrame, model: Model | None, out: str = "score") -> DataFrame:
+    """``docs`` with ``out`` double in place of any column of that name; all other columns stay."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by per_class and the number of terms
-    docs = docs.select(*[c for c in docs.columns if c != "score"])
-    at = docs.columns.index("text")
+    kept = [i for i, c in enumerate(docs.columns) if c != out]
+    fields = [docs.schema.fields[i] for i in kept]
+    at = [f.name for f in fields].index("text")
+    flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).select(*[f"c{i}" for i in kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -210,4 +214,5 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 found = scores(shared.value, [t or "" for t in b.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], names=[*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in zip(kept, fields, strict=True)), T.StructField("score", T.DoubleType())])
+    return flat.mapInArrow(run, schema).toDF(*[f.name for f in fields], out)

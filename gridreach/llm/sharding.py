@@ -6,8 +6,8 @@ column sums are the shards' sizes, with the law of a uniform permutation), each
 its rows by a random permutation of those labels, rows are exchanged, and each shard is permuted
 again, block by block of a random key, so that no task holds a shard.
 
-The driver holds one row of counts per partition and one per block of a shard: numbers that grow
-with the partitions, not with the rows.
+The driver holds one row of counts per partition: numbers that grow with the partitions, not with
+the rows. Where a shard's blocks start is counted in a table.
 
 Defined results: null ids and texts are rows like any other; repeated rows each get a slot; an
 empty table gives no rows; other columns are kept or ignored as the caller selects them, except
@@ -103,14 +103,8 @@ def deal(docs: DataFrame, shards: int, seed: int = 0, block_rows: int = BLOCK_RO
     dealt = fixed.mapInArrow(run, schema)
     block = F.shiftright("__key", 31) * blocks  # keys have 62 bits: the upper 31, scaled to 0 .. blocks - 1
     dealt = dealt.withColumn("__block", F.shiftright(block, 31).cast("int"))
-    found = dealt.groupBy("shard", "__block").agg(F.count("*").alias("n")).orderBy("shard", "__block").collect()
-    starts, shard, before = [], None, 0
-    for r in found:
-        before = 0 if r["shard"] != shard else before
-        shard = r["shard"]
-        starts.append((shard, r["__block"], before))
-        before += r["n"]
-    first = spark.createDataFrame(starts, "shard int, __block int, __start long") if starts else spark.createDataFrame([], "shard int, __block int, __start long")
+    upto = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    first = dealt.groupBy("shard", "__block").agg(F.count("*").alias("n")).select("shard", "__block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("__start"))
     dealt = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("shard", "__block").orderBy("__key")))
-    placed = dealt.join(F.broadcast(first), ["shard", "__block"])  # a row per block: counted above
+    placed = dealt.join(first, ["shard", "__block"])
     return placed.select(*docs.columns, "shard", (F.col("__start") + F.col("__rank") - 1).alias("slot"))
