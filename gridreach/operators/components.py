@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.checkpoints import cut_compact
 
@@ -37,3 +38,38 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if now == before:
             break
     return stars.select(F.col("u").alias("v"), F.col("v").alias("component")).union(stars.select("v", F.col("v").alias("component")).distinct())
+
+
+def with_isolated(labels: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(v, component) of all ``vertices`` (v): one without an edge is a component of its own."""
+    return vertices.select("v").join(labels, "v", "left").select("v", F.coalesce("component", "v").alias("component"))
+
+
+def dense_labels(labels: DataFrame) -> DataFrame:
+    """(v, component, label): components numbered 0, 1, ... by their smallest vertex, without gaps.
+
+    Numbers come from counts of components before, by runs of ids, so no task holds all components.
+    """
+    run = F.floor(F.col("component") / 65536)
+    comps = labels.select("component").distinct().withColumn("r", run)
+    counts = comps.groupBy("r").agg(F.count("*").alias("n"))
+    before = counts.select("r", F.coalesce(F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("a"))
+    numbered = comps.select("component", "r", (F.row_number().over(Window.partitionBy("r").orderBy("component")) - 1).alias("b")).join(before, "r")
+    return labels.join(numbered.select("component", (F.col("a") + F.col("b")).alias("label")), "component").select("v", "component", "label")
+
+
+def members(labels: DataFrame, asked: DataFrame) -> DataFrame:
+    """(probe, v): for each asked vertex (v), all vertices of its component."""
+    mine = asked.select(F.col("v").alias("probe")).distinct().join(labels.select(F.col("v").alias("probe"), "component"), "probe")
+    return mine.join(labels.select("component", "v"), "component").select("probe", "v")
+
+
+def component_of(labels: DataFrame, asked: DataFrame, otherwise: int = 0) -> DataFrame:
+    """(v, component); a vertex without a label has the component ``otherwise``."""
+    return asked.select("v").join(labels.select("v", "component"), "v", "left").select("v", F.coalesce("component", F.lit(otherwise)).alias("component"))
+
+
+def size_histogram(labels: DataFrame, passable: DataFrame) -> DataFrame:
+    """(component, size) of the components with passable vertices (v), which alone count; the largest first."""
+    sizes = labels.join(passable.select("v"), "v", "left_semi").groupBy("component").agg(F.count("*").alias("size"))
+    return sizes.orderBy(F.desc("size"), F.desc("component"))

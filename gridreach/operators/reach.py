@@ -15,6 +15,8 @@ from .components import connected_components
 
 #: A part's closure as bit rows may take so many bytes in a task.
 MEMORY_CAP = 512 << 20
+#: Levels of a search that are merged into one table.
+MERGE = 8
 #: Pairs of a closure that leave a task at once.
 BATCH = 1 << 20
 
@@ -32,6 +34,8 @@ def frontier(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         step = front.join(edges.withColumnRenamed("src", "v"), "v").select("seed", F.col("dst").alias("v")).distinct()
         front = cut_compact(step.join(found, ["seed", "v"], "left_anti").withColumn("depth", F.lit(depth)))
         found = found.union(front)
+        if depth % MERGE == 0:  # many levels would make a long plan over many files
+            found = cut_compact(found, 200_000)
     return found
 
 
@@ -71,10 +75,10 @@ def _strong(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[list[int], list[l
     return comp, after
 
 
-def _by_part(edges: DataFrame, run: Callable, schema: str) -> DataFrame:
+def _by_part(edges: DataFrame, run: Callable, schema: str, parts: DataFrame | None = None) -> DataFrame:
     """``run`` on each weakly connected part's edges, every part in a task of its own."""
     ship(edges.sparkSession)
-    parts = connected_components(edges).select(F.col("v").alias("src"), "component")
+    parts = (parts or connected_components(edges)).select(F.col("v").alias("src"), "component")
     return edges.filter("src <> dst").join(parts, "src").groupBy("component").applyInPandas(run, schema)
 
 
@@ -103,7 +107,7 @@ def closure_of(pdf: pd.DataFrame, memory_cap: int) -> Iterator[pd.DataFrame]:
     """
     ids, src, dst = _local(pdf)
     n = len(ids)
-    if n * (-(-n // 64)) * 8 > memory_cap:
+    if bit_rows(n) > memory_cap:
         raise SkippedByPolicy(f"a part of {n} vertices needs more than {memory_cap} bytes")
     comp, after = _strong(src, dst, n)
     members: list[list[int]] = [[] for _ in range(max(comp) + 1)]
@@ -128,13 +132,26 @@ def closure_of(pdf: pd.DataFrame, memory_cap: int) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"src": ids[np.concatenate(froms)], "dst": ids[np.concatenate(tos)]})
 
 
+def bit_rows(n: int) -> int:
+    """Bytes of the bit rows of ``n`` vertices."""
+    return n * -(-n // 64) * 8
+
+
 def closure(edges: DataFrame, memory_cap: int = MEMORY_CAP) -> DataFrame:
-    """(src, dst): all pairs of different vertices with a path, each weakly connected part in a task of its own."""
+    """(src, dst): all pairs of different vertices with a path, each weakly connected part in a task of its own.
+
+    Before anything is closed, the largest part is counted; ``SkippedByPolicy`` if its bit rows don't fit.
+    """
+    edges = cut_compact(edges.select("src", "dst").filter("src <> dst"), 200_000)
+    parts = connected_components(edges)
+    largest = parts.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    if bit_rows(largest) > memory_cap:
+        raise SkippedByPolicy(f"a part of {largest} vertices needs more than {memory_cap} bytes")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from closure_of(pd.concat(batches), memory_cap)
 
-    return _by_part(edges, run, "src long, dst long")
+    return _by_part(edges, run, "src long, dst long", parts)
 
 
 def interval_labels(edges: DataFrame, trees: int = 5, seed: int = 0) -> DataFrame:
@@ -228,3 +245,41 @@ def condensation(edges: DataFrame, comps: DataFrame) -> DataFrame:
     """Distinct arcs (csrc, cdst) between different components."""
     ends = edges.join(comps.toDF("src", "csrc"), "src").join(comps.toDF("dst", "cdst"), "dst")
     return ends.filter("csrc <> cdst").select("csrc", "cdst").distinct()
+
+
+def _componentwise(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """``pairs`` with the components of their ends (a, b); a vertex without one is its own."""
+    ends = pairs.join(comps.toDF("source", "a"), "source", "left").join(comps.toDF("target", "b"), "target", "left")
+    return ends.select("qid", "source", "target", F.coalesce("a", "source").alias("a"), F.coalesce("b", "target").alias("b"))
+
+
+def answer_by_components(pairs: DataFrame, edges: DataFrame, comps: DataFrame, closed: bool = False, memory_cap: int = MEMORY_CAP) -> DataFrame:
+    """(qid, source, target, reachable) over the graph of strong components: by a search from the sources' components, or by its closure."""
+    arcs = condensation(edges, comps).toDF("src", "dst")
+    asked = cut_compact(_componentwise(pairs, comps))
+    if closed:
+        found = closure(arcs, memory_cap).toDF("a", "b")
+    else:
+        found = frontier(arcs, asked.filter("a <> b").select(F.col("a").alias("seed")).distinct()).select(F.col("seed").alias("a"), F.col("v").alias("b"))
+    hit = found.join(asked.select("a", "b").distinct(), ["a", "b"], "left_semi").distinct().withColumn("hit", F.lit(True))
+    known = asked.join(hit, ["a", "b"], "left")
+    return known.select("qid", "source", "target", ((F.col("a") == F.col("b")) | F.coalesce("hit", F.lit(False))).alias("reachable"))
+
+
+def squarings(n: int) -> int:
+    """How many squarings close a reflexive relation whose largest part has ``n`` vertices, at most."""
+    return max(0, n - 1).bit_length()
+
+
+def squaring_bounds(edges: DataFrame) -> DataFrame:
+    """One row: largest_part, strong_components, largest_strong, squarings (by the largest part) and by_structure.
+
+    ``by_structure`` is the estimate from strong components; paths may need more rounds, so it is for
+    comparison only and ``squaring`` stops where nothing is added.
+    """
+    parts = connected_components(edges).groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n").alias("largest_part"))
+    strong = strong_components(edges).groupBy("comp").agg(F.count("*").alias("n")).agg(F.count("*").alias("strong_components"), F.max("n").alias("largest_strong"))
+    one = parts.crossJoin(strong)  # one row each
+    rounds = lambda n: F.when(n > 1, F.length(F.bin(n - 1))).otherwise(0)
+    size, scale = F.coalesce("largest_part", F.lit(0)), F.coalesce(F.col("strong_components") + F.col("largest_strong"), F.lit(0))
+    return one.select(size.alias("largest_part"), "strong_components", F.coalesce("largest_strong", F.lit(0)).alias("largest_strong"), rounds(size).alias("squarings"), F.least(rounds(size), rounds(scale)).alias("by_structure"))

@@ -141,11 +141,11 @@ def summary(level: Level) -> DataFrame:
     return level.closed.filter("src <> dst").join(edge.toDF("src"), "src", "left_semi").join(edge.toDF("dst"), "dst", "left_semi").select("region", "src", "dst")
 
 
-def hierarchical(pairs: DataFrame, levels: list[Level]) -> DataFrame:
+def hierarchical(pairs: DataFrame, levels: list[Level], flat: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """Pairs by the hierarchy: at each level whose region holds both ends, a path over that region's ports.
 
-    Exact with a single region on top; with fewer levels, pairs without a hit are open and have to be
-    asked of ``flat_search``.
+    Exact with a single region on top. With fewer levels, pairs without a hit are open: they are asked of
+    ``flat_search`` over ``flat`` (closures inside tiles, ports, port graph), or null without it.
     """
     up = pairs.select("qid", F.col("source").alias("p"))
     down = pairs.select("qid", F.col("target").alias("q"))
@@ -157,7 +157,91 @@ def hierarchical(pairs: DataFrame, levels: list[Level]) -> DataFrame:
         edge = level.exterior.select("v")
         up = cut_compact(up.join(closed, "p").select("qid", F.col("q").alias("p")).join(edge.toDF("p"), "p", "left_semi").distinct())
         down = cut_compact(down.join(closed, "q").select("qid", F.col("p").alias("q")).join(edge.toDF("q"), "q", "left_semi").distinct())
-    return _answered(pairs, hits)
+    known = _answered(pairs, hits)
+    if levels[-1].cells.select("region").distinct().limit(2).count() < 2:
+        return known
+    known = cut_compact(known)
+    sure, left = known.filter("reachable"), known.filter("NOT reachable").select("qid", "source", "target")
+    rest = left.withColumn("reachable", F.lit(None).cast("boolean")) if flat is None else flat_search(left, *flat)
+    return sure.union(rest)
+
+
+def region_tree(levels: list[Level]) -> DataFrame:
+    """(level, region, parent): the hierarchy's regions from the tiles (level 0) up; the top's parent is null."""
+    out = None
+    for k, level in enumerate(levels):
+        own = level.cells.select("v", "region").distinct()
+        if k + 1 < len(levels):
+            up = own.join(levels[k + 1].cells.select("v", F.col("region").alias("parent")), "v").select("region", "parent").distinct()
+        else:
+            up = own.select("region", F.lit(None).cast("long").alias("parent")).distinct()
+        part = up.select(F.lit(k).alias("level"), "region", "parent")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def level_statistics(levels: list[Level]) -> DataFrame:
+    """(level, regions, ports, pairs, bytes): regions of a level, ports on their edges, pairs of their closures, and what these take as bit rows over each region's cells."""
+    out = None
+    for k, level in enumerate(levels):
+        regions = level.cells.agg(F.count_distinct("region").alias("regions"))
+        ports = level.exterior.agg(F.count("*").alias("ports"))
+        size = F.count_distinct("src")
+        closed = level.closed.groupBy("region").agg(F.count("*").alias("pairs"), (size * F.ceil(size / 64) * 8).alias("bytes")).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+        part = regions.crossJoin(ports).crossJoin(closed).select(F.lit(k).alias("level"), "*")  # one row each
+        out = part if out is None else out.union(part)
+    return out
+
+
+def differences(level: Level, edges: DataFrame) -> DataFrame:
+    """(region, src, dst): pairs of exterior ports on which a level's summary and the closure of its regions' own cells differ; none if it is right."""
+    tiled = level.cells.select("v", F.col("region").alias("tile"), F.lit(True).alias("passable"))
+    edge = level.exterior.select("v")
+    both = local_closure(edges, tiled).filter("src <> dst").join(edge.toDF("src"), "src", "left_semi").join(edge.toDF("dst"), "dst", "left_semi").select(F.col("tile").alias("region"), "src", "dst")
+    mine = summary(level)
+    return mine.exceptAll(both).union(both.exceptAll(mine))
+
+
+class Ledger:
+    """Bytes charged against a cap; ``cap`` None: no limit."""
+
+    def __init__(self, cap: int | None = None):
+        self.cap, self.charged = cap, 0
+
+    def charge(self, n: int) -> bool:
+        """Charge ``n`` bytes; false, and nothing charged, where they don't fit."""
+        if self.cap is not None and self.charged + n > self.cap:
+            return False
+        self.charged += n
+        return True
+
+    def release(self, n: int) -> None:
+        if n > self.charged:
+            raise ValueError("more released than charged")
+        self.charged -= n
+
+
+@dataclass(frozen=True)
+class Index:
+    """A built tile index: what ``flat_search`` and ``flat_closure`` take, and the levels of ``hierarchical`` (none without)."""
+
+    local: DataFrame
+    ports: DataFrame
+    graph: DataFrame
+    levels: list[Level]
+    ledger: Ledger
+
+
+def build(edges: DataFrame, tiled: DataFrame, width: int, tile: int, group: tuple[int, int] | None = (2, 2), max_depth: int = 64, memory_cap: int | None = None) -> Index:
+    """Build the index, each part written out. The cap is held against the bit rows of all tiles' closures, before they are made; ``SkippedByPolicy`` if they don't fit."""
+    ledger = Ledger(memory_cap)
+    sizes = tiled.filter("passable").groupBy("tile").agg(F.count("*").alias("n"))
+    if not ledger.charge(sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / 64) * 8)).first()[0] or 0):
+        raise reach.SkippedByPolicy(f"the tiles' closures need more than {memory_cap} bytes")
+    ports, local = cut_compact(grid.ports_of(tiled)), cut_compact(local_closure(edges, tiled), 200_000)
+    graph = cut_compact(port_graph(local, ports, grid.seams_of(edges, tiled)), 200_000)
+    levels = hierarchy(edges, tiled, tiles_across(width, tile), group, max_depth) if group else []
+    return Index(local, ports, graph, levels, ledger)
 
 
 def tiles_across(size: int, tile: int) -> int:
