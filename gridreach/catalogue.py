@@ -1,12 +1,9 @@
 """The registered queries of the graph operators, each beside its oracle SQL.
 
 Graphs: ``g1`` part grid (50 wide, part key = cell, passable unless p_size is a multiple of 4), ``g2``
-event successors of a user with back arcs, ``g3`` suppliers and parts. The queries take all parts; the
-oracles of ``g1`` stop at part key ``CAP``, so they can be compared on tables of up to ``CAP`` parts.
-
-``reach_set``, ``hop_depth``, ``reach_pairs_bfs``, ``reach_pairs_dfs``, ``pairs_tile_search`` and
-``pairs_intervals`` answer the slices that their SQL names; the same names with ``_all`` do the whole
-job (the whole table, all seeds and depths, the whole workload) and have no SQL.
+event successors of a user with back arcs, ``g3`` suppliers and parts. Queries and oracles take whole
+tables, all seeds and depths and the whole workload of 2000 pairs. Where SQL would be too slow on whole
+tables, or where there is nothing to compute it from, a query has none and is tested by brute force.
 """
 
 from __future__ import annotations
@@ -18,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .functions import terrain
-from .operators import components, density, grid, reach, tiles
-from .sources import maps
+from . import campaign
+from .functions import terrain, text
+from .operators import bits, components, density, generators, grid, measures, reach, tiles
+from .plans.checkpoints import cut_compact
+from .sources import maps, pictures
 
-W, CAP, TILE = 50, 2000, 4
+W, TILE = 50, 4
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -63,10 +62,10 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return arcs.select(F.explode(F.coalesce(back, F.array(F.struct(F.col("event_id").alias("src"), F.col("after").alias("dst"))))).alias("e")).select("e.src", "e.dst")
 
 
-def supplies(spark: SparkSession, d: str, kept: str = "true") -> DataFrame:
+def supplies(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers 0, 1, ... and parts from 1000000 on; the part's parity turns the arc."""
     p, s = F.col("l_partkey") + 1000000, F.col("l_suppkey")
-    li = spark.read.parquet(f"{d}/lineitem.parquet").filter(kept).select("l_partkey", "l_suppkey").distinct()
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct()
     return li.select(F.when(F.col("l_partkey") % 2 == 0, s).otherwise(p).alias("src"), F.when(F.col("l_partkey") % 2 == 0, p).otherwise(s).alias("dst"))
 
 
@@ -84,7 +83,7 @@ def workload(spark: SparkSession, d: str, n: int = 2000) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("qid"), spread(1).alias("source"), spread(2).alias("target"))
 
 
-_CELLS = f"cells AS (SELECT p_partkey AS v, p_partkey % {W} AS x, p_partkey // {W} AS y, p_size % 4 <> 0 AS passable FROM part WHERE p_partkey < {CAP})"
+_CELLS = f"cells AS (SELECT p_partkey AS v, p_partkey % {W} AS x, p_partkey // {W} AS y, p_size % 4 <> 0 AS passable FROM part)"
 _PAIRS = f"""{_CELLS}, pairs AS (SELECT a.v AS a, b.v AS b, 0 AS dir FROM cells a JOIN cells b ON b.v = a.v + 1 AND b.y = a.y WHERE a.passable AND b.passable
   UNION ALL SELECT a.v, b.v, 1 FROM cells a JOIN cells b ON b.v = a.v + {W} WHERE a.passable AND b.passable)"""
 
@@ -111,8 +110,6 @@ def _reach(mode: str) -> str:
 
 _EVENTS = """s AS (SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events),
   edges AS (SELECT event_id AS src, after AS dst FROM s WHERE after IS NOT NULL UNION ALL SELECT after, event_id FROM s WHERE after IS NOT NULL AND event_id % 3 = 0)"""
-_SUPPLIES = """edges AS (SELECT CASE WHEN p % 2 = 0 THEN s ELSE p + 1000000 END AS src, CASE WHEN p % 2 = 0 THEN p + 1000000 ELSE s END AS dst
-  FROM (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_orderkey % 20 = 0))"""
 _WORKLOAD = f"""sized AS (SELECT count(*) AS n FROM cells), pairs_ AS (SELECT i AS qid,
   ((((i * 7919 + 104729) % 1000003) * ((i * 7919 + 104729) % 1000003)) % 1000003) % n AS source, ((((i * 7919 + 209458) % 1000003) * ((i * 7919 + 209458) % 1000003)) % 1000003) % n AS target
   FROM range(2000) t(i), sized)"""
@@ -153,7 +150,76 @@ def induced_subgraph(spark, d):
 
 @_query("SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem")
 def edge_dedup(spark, d):
-    return spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    arcs = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return grid.checked_edges(arcs, 1 << 32)
+
+
+_ALONG = f"CASE WHEN {_hash(0)} < 250 THEN 3 WHEN ({_hash(1)} < 50) = (dir = 1) THEN 2 ELSE 1 END"
+
+
+@_query(f"""WITH {_PAIRS}, kinds AS (SELECT a, b, {_ALONG} AS kind FROM pairs)
+SELECT a AS src, b AS dst FROM kinds WHERE kind IN (1, 3) UNION ALL SELECT b, a FROM kinds WHERE kind IN (2, 3)""")
+def edges_gradient_135(spark, d):
+    """The gradient points west and south."""
+    return grid.orient(pairs(spark, d), "gradient", angle=135)
+
+
+@_query(f"WITH {_CELLS} SELECT v, x, y, CASE WHEN v % 10 = 0 THEN true ELSE passable END AS passable FROM cells")
+def grid_changed(spark, d):
+    c = cells(spark, d)
+    return grid.set_passable(c, c.filter("v % 10 = 0").select("v", F.lit(True).alias("passable")))
+
+
+@_query(f"""WITH {_CELLS} SELECT a.v, CAST(a.v % 4 AS INTEGER) AS dir, b.v AS next FROM cells a LEFT JOIN cells b ON b.passable
+  AND b.x = a.x + CASE a.v % 4 WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AND b.y = a.y + CASE a.v % 4 WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END""")
+def grid_neighbors(spark, d):
+    c = cells(spark, d)
+    return grid.neighbors(c, c.select("v", (F.col("v") % 4).cast("int").alias("dir")))
+
+
+# Generators ----------------------------------------------------------------------------------
+
+
+def _coin(a: str, b: str) -> str:
+    u = f"(({a} * 7919 + {b} * 104729) % 1000003)"
+    return f"((({u} * {u}) % 1000003) % 1000)"
+
+
+def _suppliers(spark, d) -> int:
+    return spark.read.parquet(f"{d}/supplier.parquet").count()
+
+
+_WEST = f"(x // 2 > 0 AND (y // 2 = 0 OR {_coin('(x // 2)', '(y // 2)')} < 500))"
+
+
+@_query(f"""WITH n AS (SELECT count(*) AS n FROM supplier), c AS (SELECT i AS v, i % (2 * n + 1) AS x, i // (2 * n + 1) AS y, n FROM n, range(61 * (SELECT 2 * count(*) + 1 FROM supplier)) t(i))
+SELECT v, x, y, x BETWEEN 1 AND 2 * n - 1 AND y BETWEEN 1 AND 59 AND (x % 2 = 1 AND y % 2 = 1 OR x % 2 = 0 AND y % 2 = 1 AND {_WEST} OR x % 2 = 1 AND y % 2 = 0 AND NOT {_WEST} AND y // 2 > 0) AS passable FROM c""")
+def maze_perfect(spark, d):
+    """As many rooms wide as there are suppliers, 30 high."""
+    return generators.perfect_maze(spark, _suppliers(spark, d), 30)
+
+
+@_query()
+def maze_opened(spark, d):
+    """The maze with 100 further openings."""
+    return generators.open_walls(maze_perfect(spark, d), 100)
+
+
+@_query(f"WITH n AS (SELECT count(*) AS n FROM supplier) SELECT a.i AS src, b.i AS dst FROM n, range((SELECT count(*) FROM supplier)) a(i), range((SELECT count(*) FROM supplier)) b(i) WHERE a.i <> b.i AND {_coin('a.i', 'b.i')} < 50")
+def graph_random(spark, d):
+    return generators.random_graph(spark, _suppliers(spark, d), 0.05)
+
+
+@_query(f"WITH n AS (SELECT count(*) AS n FROM supplier) SELECT a.i AS src, b.i AS dst FROM n, range((SELECT count(*) FROM supplier)) a(i), range((SELECT count(*) FROM supplier)) b(i) WHERE a.i < n // 2 AND b.i >= n // 2 AND {_coin('a.i', 'b.i')} < 50")
+def graph_bipartite(spark, d):
+    return generators.bipartite(spark, _suppliers(spark, d), 0.05)
+
+
+_query("WITH n AS (SELECT count(*) AS n FROM supplier) SELECT s_suppkey - m AS src, s_suppkey - m + 1 AS dst FROM supplier, n, (SELECT min(s_suppkey) AS m FROM supplier) WHERE s_suppkey - m < n - 1", "graph_chain")(lambda spark, d: generators.chain(spark, _suppliers(spark, d)))
+_query("WITH n AS (SELECT count(*) AS n FROM supplier) SELECT s_suppkey - m AS src, (s_suppkey - m + 1) % n AS dst FROM supplier, n, (SELECT min(s_suppkey) AS m FROM supplier)", "graph_cycle")(lambda spark, d: generators.cycle(spark, _suppliers(spark, d)))
+_query("SELECT CAST(0 AS BIGINT) AS src, i AS dst FROM range((SELECT count(*) FROM supplier)) t(i) WHERE i > 0", "graph_star")(lambda spark, d: generators.star(spark, _suppliers(spark, d)))
+_query("SELECT a.i AS src, b.i AS dst FROM range((SELECT count(*) FROM supplier)) a(i), range((SELECT count(*) FROM supplier)) b(i) WHERE a.i <> b.i", "graph_complete")(lambda spark, d: generators.complete(spark, _suppliers(spark, d)))
+_query(name="graph_separate")(lambda spark, d: generators.separate_random_graphs(spark, _suppliers(spark, d), 8, 0.2))
 
 
 # Search --------------------------------------------------------------------------------------
@@ -164,52 +230,49 @@ def reach_count(spark, d):
     return closed("acyclic", spark, d).groupBy(F.col("src").alias("seed")).agg(F.count("*").alias("reached"))
 
 
-@_query(f"WITH RECURSIVE {_reach('random')} SELECT src AS seed, dst AS v FROM reach WHERE src % 97 = 0")
+@_query(f"WITH RECURSIVE {_reach('random')} SELECT src AS seed, dst AS v FROM reach")
 def reach_set(spark, d):
-    return reach_set_all(spark, d).filter("seed % 97 = 0")
-
-
-@_query()
-def reach_set_all(spark, d):
     return closed("random", spark, d).select(F.col("src").alias("seed"), F.col("dst").alias("v"))
 
 
-@_query(f"""WITH RECURSIVE {_SUPPLIES}, f AS (SELECT src AS seed, src AS v, 0 AS depth FROM (SELECT DISTINCT src FROM edges WHERE src < 10)
-  UNION SELECT f.seed, e.dst, f.depth + 1 FROM f JOIN edges e ON f.v = e.src WHERE f.depth < 6), m AS (SELECT seed, v, min(depth) AS depth FROM f GROUP BY seed, v)
-SELECT seed, v, depth FROM m WHERE depth <= 6""")
-def hop_depth(spark, d):
-    e = supplies(spark, d, "l_orderkey % 20 = 0")
-    return reach.frontier(e, e.filter("src < 10").select(F.col("src").alias("seed")).distinct()).filter("depth <= 6")
-
-
 @_query()
-def hop_depth_all(spark, d):
+def hop_depth(spark, d):
+    """Hops from every vertex with arcs. SQL would keep every depth of a cyclic graph."""
     e = supplies(spark, d)
     return reach.frontier(e, e.select(F.col("src").alias("seed")).distinct())
 
 
-def _search(mode, spark, d, kept="true"):
+def _search(mode, spark, d):
     """By frontier from the sources; the order of the search can't be seen in the answer."""
-    asked = workload(spark, d).filter(kept)
+    asked = workload(spark, d)
     sources = asked.select(F.col("source").alias("seed")).distinct()
     found = reach.frontier(edges(mode, spark, d), sources).select(F.col("seed").alias("src"), F.col("v").alias("dst"))
     return reach.answer(asked, found)
 
 
 for _name in ("reach_pairs_bfs", "reach_pairs_dfs"):
-    _query(f"SELECT * FROM ({_answers('random')}) WHERE qid < 100", _name)(partial(_search, "random", kept="qid < 100"))
-    _query(name=f"{_name}_all")(partial(_search, "random"))
+    _query(_answers("random"), _name)(partial(_search, "random"))
 
 
 def _by_closure(mode, spark, d):
     return reach.answer(workload(spark, d), reach.reflexive(reach.closure(edges(mode, spark, d)), cells(spark, d).select("v")))
 
 
+# By closure: a grid's east and south arcs make a level for each step of its diagonal, too many for a search.
 _query(_answers("acyclic"), "dag_reach")(partial(_by_closure, "acyclic"))
 _query(_answers("random"), "pairs_full_closure")(partial(_by_closure, "random"))
 _query(_answers("gradient"), "pairs_full_closure_gradient")(partial(_by_closure, "gradient"))
 
 
+def _by_components(closure, spark, d):
+    e = cut_compact(edges("random", spark, d))
+    return reach.answer_by_components(workload(spark, d), e, cut_compact(reach.strong_components(e)), closure)
+
+
+_query(_answers("random"), "pairs_scc_search")(partial(_by_components, False))
+_query(_answers("random"), "pairs_scc_closure")(partial(_by_components, True))
+
+
 # Components ----------------------------------------------------------------------------------
 
 _CC = f"""WITH RECURSIVE {_EVENTS}, u AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), c AS (SELECT DISTINCT user_id, min(event_id) OVER (PARTITION BY user_id) AS component, event_id AS v,
@@ -231,6 +294,25 @@ def largest_cc(spark, d):
     return cc_sizes(spark, d).agg(F.max("size").alias("largest"))
 
 
+@_query(f"{_CC} SELECT v, component, dense_rank() OVER (ORDER BY component) - 1 AS label FROM c WHERE n > 1")
+def cc_dense(spark, d):
+    return components.dense_labels(cc_labels(spark, d))
+
+
+@_query(f"{_CC}, asked AS (SELECT v, component FROM c WHERE n > 1 AND v % 100 < 3) SELECT a.v AS probe, c.v FROM asked a JOIN c USING (component)")
+def cc_members(spark, d):
+    """The components of some probes, which are the query's question."""
+    labels = cut_compact(cc_labels(spark, d))
+    return components.members(labels, labels.filter("v % 100 < 3"))
+
+
+@_query(f"WITH RECURSIVE {_reach('bidirectional')}, c AS (SELECT src, min(dst) AS component FROM reach GROUP BY src) SELECT count(*) AS components, max(n) AS largest FROM (SELECT count(*) AS n FROM c GROUP BY component)")
+def cc_passable(spark, d):
+    """Connected passable areas, single cells among them."""
+    labels = components.with_isolated(components.connected_components(pairs(spark, d), "a", "b"), passable(spark, d))
+    return labels.groupBy("component").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.max("n").alias("largest"))
+
+
 _SCC = f"""{_reach('random')}, scc AS (SELECT a.src AS v, min(b.src) AS comp FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)"""
 
 
@@ -261,6 +343,28 @@ def graph_profile(spark, d):
     return counts.crossJoin(e.agg(F.count("*").alias("edges"))).crossJoin(sccs)  # one row each
 
 
+@_query(f"WITH RECURSIVE {_SCC} SELECT comp AS component, count(*) AS size FROM scc GROUP BY comp")
+def scc_histogram(spark, d):
+    return components.size_histogram(_scc(spark, d).withColumnRenamed("comp", "component"), passable(spark, d))
+
+
+@_query()
+def map_profile(spark, d):
+    """A manifest's row of the part grid."""
+    c = cells(spark, d)
+    high = (c.agg(F.max("y")).first()[0] or 0) + 1
+    return campaign.profile(campaign.Map("parts", c, edges("random", spark, d), W, high))
+
+
+@_query(f"""WITH RECURSIVE {_edges('random')}, s AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), u AS (SELECT src, dst FROM s UNION SELECT u.src, s.dst FROM u JOIN s ON u.dst = s.src),
+  r AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM r JOIN edges e ON r.dst = e.src),
+  m AS (SELECT src AS v FROM s UNION SELECT dst FROM s), scc AS (SELECT m.v, least(m.v, coalesce(min(a.dst), m.v)) AS comp FROM m LEFT JOIN r a ON a.src = m.v AND EXISTS (SELECT 1 FROM r b WHERE b.src = a.dst AND b.dst = m.v) GROUP BY m.v),
+  k AS (SELECT (SELECT max(n) FROM (SELECT count(*) AS n FROM u GROUP BY src)) AS p, (SELECT count(DISTINCT comp) FROM scc) AS c, (SELECT max(n) FROM (SELECT count(*) AS n FROM scc GROUP BY comp)) AS l)
+SELECT p AS largest_part, c AS strong_components, l AS largest_strong, CAST(ceil(log2(p)) AS INTEGER) AS squarings, CAST(least(ceil(log2(p)), ceil(log2(c + l))) AS INTEGER) AS by_structure FROM k""")
+def squaring_bounds(spark, d):
+    return reach.squaring_bounds(edges("random", spark, d))
+
+
 # Algebra and labels --------------------------------------------------------------------------
 
 
@@ -294,6 +398,25 @@ def pairs_two_hop(spark, d):
     return asked.select("qid", "source", "target", F.arrays_overlap("l_out", "l_in").alias("reachable"))
 
 
+_RELATION = "m AS (SELECT DISTINCT l_suppkey AS i, l_linenumber AS j FROM lineitem)"
+
+
+def _relation(spark, d):
+    return spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("i"), F.col("l_linenumber").alias("j")).distinct()
+
+
+_query("SELECT l_suppkey AS i, count(DISTINCT l_partkey) AS bits FROM lineitem GROUP BY l_suppkey", "bit_row_counts")(lambda spark, d: bits.row_counts(edge_dedup(spark, d).toDF("i", "j")))
+_query("SELECT l_partkey AS j, count(DISTINCT l_suppkey) AS bits FROM lineitem GROUP BY l_partkey", "bit_column_counts")(lambda spark, d: bits.column_counts(edge_dedup(spark, d).toDF("i", "j")))
+
+
+@_query(f"WITH {_RELATION} SELECT i, j FROM m WHERE i % 3 <> 0 UNION SELECT i + 1, j FROM m WHERE (i + 1) % 3 <> 0 AND i + 1 < 100000")
+def bit_rows_merged(spark, d):
+    """Each row's bits are added to the next row; then every third row is cleared."""
+    m = _relation(spark, d)
+    more = bits.or_rows(m, m.select(F.col("i").alias("source"), (F.col("i") + 1).alias("target")).distinct())
+    return bits.reset_bits(bits.set_bits(m, more, i=100000, j=100), more.filter("i % 3 = 0").select("i").distinct())
+
+
 # Density and workload -------------------------------------------------------------------------
 
 
@@ -308,13 +431,97 @@ _query(f"WITH {_CELLS}, {_WORKLOAD} SELECT qid, source, target FROM pairs_", "pa
 
 @_query(f"SELECT count(*) AS asked, count(*) FILTER (WHERE reachable) AS positive, avg(CASE WHEN reachable THEN 1.0 ELSE 0 END) AS ratio FROM ({_answers('random')})")
 def answer_stats(spark, d):
-    return _by_closure("random", spark, d).agg(F.count("*").alias("asked"), F.count_if("reachable").alias("positive"), F.avg(F.when(F.col("reachable"), 1.0).otherwise(0.0)).alias("ratio"))
+    return measures.answer_counts(_by_closure("random", spark, d), []).select("asked", "positive", F.col("reachable_ratio").alias("ratio"))
+
+
+@_query(f"SELECT count(*) AS checks, count(*) FILTER (WHERE a.reachable <> b.reachable) AS mismatches FROM ({_answers('random')}) a JOIN ({_answers('gradient')}) b USING (qid)")
+def answer_mismatches(spark, d):
+    """Two graphs' answers to one workload."""
+    return measures.mismatches(_by_closure("random", spark, d), _by_closure("gradient", spark, d))
+
+
+@_query()
+def workload_hash(spark, d):
+    return spark.createDataFrame([(f"{measures.workload_hash(workload(spark, d)):016x}",)], "hash string")
+
+
+# Statistics of runs ----------------------------------------------------------------------------
+
+
+def _samples(spark, d):
+    return spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_returnflag").alias("method"), (F.col("l_extendedprice") * 100).cast("long").alias("ns"))
+
+
+_SAMPLES = "s AS (SELECT l_returnflag AS method, CAST(trunc(l_extendedprice * 100) AS BIGINT) AS ns FROM lineitem), g AS (SELECT method, list_sort(list(ns)) AS x, sum(ns) AS total FROM s GROUP BY method)"
+
+
+@_query(f"""WITH {_SAMPLES} SELECT method, len(x) AS count, CAST(total AS BIGINT) AS total_ns, round(total / len(x), 3) AS mean_ns, x[len(x) // 2 + 1] AS median_ns, x[least(len(x) - 1, CAST(floor(len(x) * 0.95) AS BIGINT)) + 1] AS p95_ns,
+  x[1] AS min_ns, x[len(x)] AS max_ns, round(len(x) / (total / 1e9), 3) AS queries_per_second FROM g""")
+def timing_statistics(spark, d):
+    found = measures.timing_statistics(_samples(spark, d), ["method"])
+    return found.withColumn("mean_ns", F.round("mean_ns", 3)).withColumn("queries_per_second", F.round("queries_per_second", 3))
+
+
+@_query(f"WITH {_SAMPLES} SELECT method, x[CAST(floor(0.1 * (len(x) - 1)) AS BIGINT) + 1] AS p10, x[CAST(floor(0.5 * (len(x) - 1)) AS BIGINT) + 1] AS p50, x[CAST(floor(0.9 * (len(x) - 1)) AS BIGINT) + 1] AS p90 FROM g")
+def order_statistics(spark, d):
+    return measures.order_statistics(_samples(spark, d), ["method"], "ns", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+
+
+_RUNS = """runs AS (SELECT l_linestatus AS map_id, l_returnflag AS method, 'Completed' AS status, count(*) AS count, CAST(max(l_partkey) AS BIGINT) AS preprocess_ns, CAST(min(l_suppkey) AS BIGINT) AS warmup_ns,
+  CAST(sum(l_suppkey) AS BIGINT) AS query_ns, CAST(sum(l_suppkey) AS DOUBLE) / count(*) AS mean_ns FROM lineitem GROUP BY 1, 2)"""
+
+
+@_query(f"""WITH {_RUNS}, t AS (SELECT *, preprocess_ns + warmup_ns + query_ns AS total_ns FROM runs)
+SELECT map_id, method, total_ns, round(coalesce(max(CASE WHEN method = 'A' THEN mean_ns END) OVER w / mean_ns, 0), 9) AS speedup, round(coalesce(CAST(max(CASE WHEN method = 'A' THEN total_ns END) OVER w AS DOUBLE) / total_ns, 0), 9) AS total_speedup
+FROM t WINDOW w AS (PARTITION BY map_id)""")
+def run_speedups(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_linestatus").alias("map_id"), F.col("l_returnflag").alias("method"))
+    runs = li.agg(F.count("*").alias("count"), F.max("l_partkey").alias("preprocess_ns"), F.min("l_suppkey").alias("warmup_ns"), F.sum("l_suppkey").alias("query_ns"), F.avg("l_suppkey").alias("mean_ns")).withColumn("status", F.lit("Completed"))
+    return measures.speedups(runs, ["map_id"], reference="A").select("map_id", "method", "total_ns", F.round("speedup", 9).alias("speedup"), F.round("total_speedup", 9).alias("total_speedup"))
+
+
+_RESULTS = """results AS (SELECT o_custkey AS map_id, o_orderpriority AS method, o_orderkey % 3 AS config_id, CASE o_orderstatus WHEN 'F' THEN 'Completed' ELSE 'Failed' END AS status, o_orderkey % 2 AS correctness_mismatches,
+  CASE WHEN o_custkey % 7 = 0 THEN '' ELSE 'c' || (o_custkey % 7) END AS map_class, o_totalprice AS queries_per_second FROM orders)"""
+
+
+def _results(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.select(F.col("o_custkey").alias("map_id"), F.col("o_orderpriority").alias("method"), (F.col("o_orderkey") % 3).alias("config_id"), F.when(F.col("o_orderstatus") == "F", "Completed").otherwise("Failed").alias("status"),
+        (F.col("o_orderkey") % 2).alias("correctness_mismatches"), F.when(F.col("o_custkey") % 7 == 0, "").otherwise(F.concat(F.lit("c"), (F.col("o_custkey") % 7).cast("string"))).alias("map_class"), F.col("o_totalprice").alias("queries_per_second"))
+
+
+@_query(f"WITH {_RESULTS}, j AS (SELECT DISTINCT map_id, method, config_id FROM results) SELECT * FROM j WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.status = 'Completed' AND r.map_id = j.map_id AND r.method = j.method AND r.config_id = j.config_id)")
+def runs_remaining(spark, d):
+    found = _results(spark, d)
+    return measures.remaining(found.select("map_id", "method", "config_id").distinct(), found)
+
+
+@_query(f"""WITH {_RESULTS}, k AS (SELECT * REPLACE (CASE map_class WHEN '' THEN 'unknown' ELSE map_class END AS map_class) FROM results WHERE status = 'Completed' AND correctness_mismatches = 0)
+SELECT map_class, map_id, method, config_id, queries_per_second FROM k QUALIFY row_number() OVER (PARTITION BY map_class ORDER BY queries_per_second DESC, map_id, method, config_id) = 1""")
+def best_by_class(spark, d):
+    return measures.best_by_class(_results(spark, d))
+
+
+@_query("""WITH p AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'movingai' WHEN 1 THEN 'procedural_maze' WHEN 2 THEN 'smoke_grid' WHEN 3 THEN 'other' ELSE '' END AS g, p_partkey % 3 AS n, CASE WHEN p_partkey % 2 = 0 THEN 'mode' ELSE '' END AS o FROM part)
+SELECT p_partkey, CASE WHEN g = 'movingai' THEN g WHEN g = 'procedural_maze' AND n = 0 THEN 'perfect_maze' WHEN g = 'procedural_maze' THEN 'cyclic_maze' WHEN g = 'smoke_grid' THEN g WHEN o <> '' THEN o WHEN g = '' THEN 'unknown' ELSE g END AS map_class FROM p""")
+def map_classes(spark, d):
+    p, size = spark.read.parquet(f"{d}/part.parquet"), F.col("p_size") % 5
+    generator = F.when(size == 0, "movingai").when(size == 1, "procedural_maze").when(size == 2, "smoke_grid").when(size == 3, "other").otherwise("")
+    return p.select("p_partkey", measures.map_class(generator, F.col("p_partkey") % 3, F.when(F.col("p_partkey") % 2 == 0, "mode").otherwise("")).alias("map_class"))
 
 
 # Tiles ---------------------------------------------------------------------------------------
 
-_ROWS = CAP // W
-_TILED = f"{_CELLS}, tiled AS (SELECT *, (least(y // {TILE}, {-(-_ROWS // TILE) - 1}) * {-(-W // TILE)} + least(x // {TILE}, {-(-W // TILE) - 1})) AS tile FROM cells)"
+#: Tiles up and down, less one: a last remainder of one row belongs to the tile before.
+_LAST = f"(SELECT (max(y) + {TILE}) // {TILE} - 1 - CASE WHEN (max(y) + 1) % {TILE} = 1 AND max(y) + 1 > {TILE} THEN 1 ELSE 0 END FROM cells)"
+_ACROSS = -(-W // TILE)
+
+
+def _tile_of(x: str, y: str) -> str:
+    return f"(least({y} // {TILE}, {_LAST}) * {_ACROSS} + least({x} // {TILE}, {_ACROSS - 1}))"
+
+
+_TILED = f"{_CELLS}, tiled AS (SELECT *, {_tile_of('x', 'y')} AS tile FROM cells)"
 _BOX = "box AS (SELECT tile, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM tiled GROUP BY tile)"
 
 
@@ -332,7 +539,7 @@ def tile_ports(spark, d):
     return grid.ports_of(tiled(spark, d))
 
 
-@_query(f"WITH {_edges('random')}, t AS (SELECT v, (least(y // {TILE}, {-(-_ROWS // TILE) - 1}) * {-(-W // TILE)} + least(x // {TILE}, {-(-W // TILE) - 1})) AS tile FROM cells) SELECT src, dst FROM edges JOIN t a ON a.v = src JOIN t b ON b.v = dst WHERE a.tile <> b.tile")
+@_query(f"WITH {_edges('random')}, t AS (SELECT v, {_tile_of('x', 'y')} AS tile FROM cells) SELECT src, dst FROM edges JOIN t a ON a.v = src JOIN t b ON b.v = dst WHERE a.tile <> b.tile")
 def seam_edges(spark, d):
     return grid.seams_of(edges("random", spark, d), tiled(spark, d))
 
@@ -344,10 +551,6 @@ def _index(spark, d):
     return e, t, ports, local, tiles.port_graph(local, ports, grid.seams_of(e, t))
 
 
-def _tile_of(x: str, y: str) -> str:
-    return f"(least({y} // {TILE}, {-(-_ROWS // TILE) - 1}) * {-(-W // TILE)} + least({x} // {TILE}, {-(-W // TILE) - 1}))"
-
-
 #: Closures of the edges inside regions of ``r(v, region, x, y, passable)``.
 _INSIDE = """inner_edges AS (SELECT src, dst, a.region AS region FROM edges JOIN r a ON a.v = src JOIN r b ON b.v = dst WHERE a.region = b.region),
   loc AS (SELECT region, v AS src, v AS dst FROM r WHERE passable UNION SELECT l.region, l.src, e.dst FROM loc l JOIN inner_edges e ON e.src = l.dst)"""
@@ -374,17 +577,24 @@ def pairs_tile_closure(spark, d):
     return tiles.flat_closure(workload(spark, d), local, ports, graph)
 
 
-@_query(f"SELECT * FROM ({_answers('random')}) WHERE qid < 100")
+@_query(_answers("random"))
 def pairs_tile_search(spark, d):
-    return _tile_search(spark, d, "qid < 100")
+    _, _, ports, local, graph = _index(spark, d)
+    return tiles.flat_search(workload(spark, d), local, ports, graph)
 
 
-def _tile_search(spark, d, kept="true"):
-    _, _, ports, local, graph = _index(spark, d)
-    return tiles.flat_search(workload(spark, d).filter(kept), local, ports, graph)
+_PLACES = f"""{_TILED}, {_BOX}, edge AS (SELECT tile, v, x, y, passable, CASE WHEN y = y0 THEN 0 WHEN x = x1 THEN 1 WHEN y = y1 THEN 2 ELSE 3 END AS s FROM tiled JOIN box USING (tile) WHERE y IN (y0, y1) OR x IN (x0, x1)),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY s, CASE WHEN s IN (0, 2) THEN x ELSE y END) - 1 AS place FROM edge)"""
+
 
+@_query(f"WITH {_PLACES} SELECT tile, v, substr('NESW', s + 1, 1) AS side, place FROM placed")
+def tile_boundary(spark, d):
+    return grid.boundary(tiled(spark, d))
 
-_query(name="pairs_tile_search_all")(_tile_search)
+
+@_query(f"WITH {_PLACES} SELECT row_number() OVER (ORDER BY tile, place) - 1 AS port, tile, row_number() OVER (PARTITION BY tile ORDER BY place) - 1 AS place, v FROM placed WHERE passable")
+def port_index(spark, d):
+    return grid.port_index(tiled(spark, d))
 
 
 def _levels(spark, d):
@@ -394,7 +604,7 @@ def _levels(spark, d):
 _query(_answers("random"), "pairs_hierarchical")(lambda spark, d: tiles.hierarchical(workload(spark, d), _levels(spark, d)))
 
 
-@_query(f"""WITH RECURSIVE {_edges('random')}, r AS (SELECT *, ((least(y // {TILE}, {-(-_ROWS // TILE) - 1}) // 2) * {-(-(-(-W // TILE)) // 2)} + least(x // {TILE}, {-(-W // TILE) - 1}) // 2) AS region FROM cells), {_INSIDE}, {_PORTS}
+@_query(f"""WITH RECURSIVE {_edges('random')}, r AS (SELECT *, ((least(y // {TILE}, {_LAST}) // 2) * {-(-_ACROSS // 2)} + least(x // {TILE}, {_ACROSS - 1}) // 2) AS region FROM cells), {_INSIDE}, {_PORTS}
 SELECT region, src, dst FROM loc WHERE src <> dst AND src IN (SELECT v FROM ports) AND dst IN (SELECT v FROM ports)""")
 def region_summaries(spark, d):
     """What groups of 2 by 2 tiles hand up."""
@@ -402,17 +612,30 @@ def region_summaries(spark, d):
     return tiles.summary(tiles.hierarchy(e, t, tiles.tiles_across(W, TILE), max_depth=2)[1])
 
 
-@_query(f"SELECT * FROM ({_answers('random')}) WHERE qid < 500")
-def pairs_intervals(spark, d):
-    return _by_intervals(spark, d, "qid < 500")
+@_query(_answers("random"))
+def pairs_hierarchical_shallow(spark, d):
+    """Tiles and one level above; the search answers what they leave open."""
+    e, t, ports, local, graph = _index(spark, d)
+    levels = tiles.hierarchy(e, t, tiles.tiles_across(W, TILE), max_depth=2)
+    return tiles.hierarchical(workload(spark, d), levels, (local, ports, graph))
 
 
-def _by_intervals(spark, d, kept="true"):
-    e = edges("random", spark, d)
-    return reach.answer_by_intervals(workload(spark, d).filter(kept), reach.interval_labels(e), e).drop("certified")
+@_query(f"""WITH RECURSIVE {_TILED}, t AS (SELECT DISTINCT 0 AS level, tile % {_ACROSS} AS i, tile // {_ACROSS} AS j, {_ACROSS} AS wide, {_LAST} + 1 AS high FROM tiled
+  UNION SELECT level + 1, i // 2, j // 2, (wide + 1) // 2, (high + 1) // 2 FROM t WHERE wide * high > 1)
+SELECT level, j * wide + i AS region, CASE WHEN wide * high > 1 THEN (j // 2) * ((wide + 1) // 2) + i // 2 END AS parent FROM t""")
+def region_tree(spark, d):
+    return tiles.region_tree(_levels(spark, d))
 
 
-_query(name="pairs_intervals_all")(_by_intervals)
+@_query()
+def level_statistics(spark, d):
+    return tiles.level_statistics(_levels(spark, d))
+
+
+@_query(_answers("random"))
+def pairs_intervals(spark, d):
+    e = edges("random", spark, d)
+    return reach.answer_by_intervals(workload(spark, d), reach.interval_labels(e), e).drop("certified")
 
 
 _SHARES = f"""{_reach('random')}, sampled AS (SELECT v FROM cells WHERE passable ORDER BY ((v * 7919) % 1000003) * ((v * 7919) % 1000003) % 1000003, v LIMIT 512),
@@ -420,7 +643,10 @@ _SHARES = f"""{_reach('random')}, sampled AS (SELECT v FROM cells WHERE passable
 
 
 def _sampled(spark, d):
-    return density.shares(closed("random", spark, d), density.sample(passable(spark, d), 512), passable(spark, d).count())
+    """By a search from the sampled cells alone."""
+    sources = cut_compact(density.sample(passable(spark, d), 512))
+    found = reach.frontier(edges("random", spark, d), sources.select(F.col("v").alias("seed"))).select(F.col("seed").alias("src"), F.col("v").alias("dst"))
+    return density.shares(found, sources, passable(spark, d).count())
 
 
 @_query(f"WITH RECURSIVE {_SHARES} SELECT v, round(f, 9) AS f FROM f")
@@ -443,11 +669,69 @@ def terrain_class(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", terrain.terrain_class(F.upper(F.substring("p_type", 1, 1))).alias("terrain"))
 
 
-@_query(f"WITH {_CELLS} SELECT y, string_agg(CASE WHEN passable THEN '222 222 214' ELSE '28 28 32' END, ' ' ORDER BY x) AS row FROM cells GROUP BY y")
-def ppm_rows(spark, d):
-    colour = F.when(F.col("passable"), "222 222 214").otherwise("28 28 32")
-    ordered = F.array_sort(F.collect_list(F.struct("x", colour.alias("c"))))
-    return cells(spark, d).groupBy("y").agg(F.array_join(F.transform(ordered, lambda s: s["c"]), " ").alias("row"))
+_LETTERS = "GTSW@OX.q"
+_LETTER = f"substr('{_LETTERS}', CAST(p_size % {len(_LETTERS)} AS INTEGER) + 1, 1)"
+
+
+def _letters(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.substring(F.lit(_LETTERS), (F.col("p_size") % len(_LETTERS) + 1).cast("int"), F.lit(1)).alias("ch"))
+
+
+@_query(f"""WITH p AS (SELECT p_partkey, {_LETTER} AS ch FROM part) SELECT p_partkey, ch IN ('.', 'G') AS ground_only, ch IN ('.', 'G', 'S') AS ground_and_swamp, ch IN ('.', 'G', 'S', 'W') AS ground_swamp_water,
+  ch IN ('.', 'G', 'S', 'W', 'X') AS any_terrain_letter FROM p""")
+def terrain_policies(spark, d):
+    names = ("ground_only", "ground_and_swamp", "ground_swamp_water", "any_terrain_letter")
+    return _letters(spark, d).select("p_partkey", *[terrain.is_passable(F.col("ch"), policy).alias(name) for policy, name in zip(terrain.POLICIES, names, strict=True)])
+
+
+def _row_maps(spark, d):
+    """A map file for each row of the part grid: its name is the row's number."""
+    rows = _letters(spark, d).select(F.floor(F.col("p_partkey") / W).alias("y"), (F.col("p_partkey") % W).alias("x"), "ch")
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "ch"))), lambda s: s["ch"]), "")
+    return rows.groupBy("y").agg(line.alias("line")).select(F.col("y").cast("string").alias("name"), F.concat(F.lit("type octile\nheight 1\nwidth "), F.length("line").cast("string"), F.lit("\nmap\n"), "line", F.lit("\n")).alias("text"))
+
+
+@_query(f"SELECT CAST(p_partkey // {W} AS VARCHAR) AS name, p_partkey % {W} AS v, CAST(p_partkey % {W} AS INTEGER) AS x, 0 AS y, {_LETTER} IN ('.', 'G', 'S') AS passable FROM part")
+def map_layout(spark, d):
+    return maps.layout(maps.parse(_row_maps(spark, d)), "GroundAndSwamp")
+
+
+@_query(f"""WITH p AS (SELECT CAST(p_partkey // {W} AS VARCHAR) AS name, p_partkey % {W} AS x, {_LETTER} AS ch FROM part), n AS (SELECT DISTINCT name FROM p), a AS (SELECT name, x FROM n, (VALUES (-1), (0), (7), ({W})) t(x)),
+  f AS (SELECT a.name, CAST(a.x AS INTEGER) AS x, 0 AS y, coalesce(p.ch, '@') AS ch FROM a LEFT JOIN p ON p.name = a.name AND p.x = a.x)
+SELECT *, CASE WHEN ch IN ('.', 'G') THEN 'ground' WHEN ch = 'T' THEN 'tree' WHEN ch = 'S' THEN 'swamp' WHEN ch = 'W' THEN 'water' WHEN ch IN ('@', 'O') THEN 'out_of_bounds' WHEN ch = 'X' THEN 'weighted' ELSE 'unknown' END AS terrain FROM f""")
+def map_points(spark, d):
+    """Cells of each map, some of them off it."""
+    texts = _row_maps(spark, d)
+    asked = texts.select("name", F.explode(F.array(*map(F.lit, (-1, 0, 7, W)))).alias("x"), F.lit(0).alias("y"))
+    return maps.cells_at(maps.parse(texts), asked)
+
+
+@_query(f"""WITH p AS (SELECT p_brand AS "set", CAST(p_partkey AS VARCHAR) AS map, CAST(p_retailprice AS BIGINT) * 10 AS cells FROM part)
+SELECT "set", map, cells FROM p QUALIFY row_number() OVER (PARTITION BY "set" ORDER BY cells, map) = 1 AND cells <= 10000""")
+def maps_smallest(spark, d):
+    sized = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("set"), F.col("p_partkey").cast("string").alias("map"), (F.rint("p_retailprice").cast("long") * 10).alias("cells"))
+    return maps.smallest_per_set(sized)
+
+
+@_query("SELECT p_partkey, lower(p_name) LIKE '%a_e%' AS globbed, contains(lower(p_name), 'ar') AS found FROM part")
+def name_filter(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", text.matches(F.col("p_name"), "*A?e*").alias("globbed"), text.matches(F.col("p_name"), "aR").alias("found"))
+
+
+_query(f"WITH {_CELLS} SELECT y, string_agg(CASE WHEN passable THEN '222 222 214 ' ELSE '28 28 32 ' END, '' ORDER BY x) AS row FROM cells GROUP BY y", "ppm_rows")(lambda spark, d: pictures.ppm_rows(cells(spark, d)))
+
+
+@_query(f"""WITH {_edges('random')} SELECT '<rect x="' || x * 8 || '" y="' || y * 8 || '" width="8" height="8" fill="' || CASE WHEN passable THEN '#ffffff' ELSE '#cccccc' END || '" stroke="#666666"/>' AS line FROM cells
+UNION ALL SELECT '<line x1="' || (a.x * 8 + 4) || '" y1="' || (a.y * 8 + 4) || '" x2="' || (b.x * 8 + 4) || '" y2="' || (b.y * 8 + 4) || '" stroke="#3366cc"/>' FROM edges JOIN cells a ON a.v = src JOIN cells b ON b.v = dst
+UNION ALL SELECT '<text x="4" y="6">grid graph</text>'""")
+def svg_lines(spark, d):
+    return pictures.svg_lines(cells(spark, d), edges("random", spark, d), 8).select("line")
+
+
+@_query(f"""WITH {_CELLS}, b AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM cells), n AS (SELECT w, h, greatest(CAST(floor(w * least(1.0, 20.0 / greatest(w, h))) AS BIGINT), 1) AS nw, greatest(CAST(floor(h * least(1.0, 20.0 / greatest(w, h))) AS BIGINT), 1) AS nh FROM b)
+SELECT ((x + 1) * nw - 1) // w AS x, ((y + 1) * nh - 1) // h AS y, round(avg(CASE WHEN passable THEN 1.0 ELSE 0.0 END), 9) AS share FROM cells, n GROUP BY 1, 2""")
+def grid_shrunk(spark, d):
+    return pictures.shrunk(cells(spark, d), 20).withColumn("share", F.round("share", 9))
 
 
 @_query("SELECT c_custkey, replace(replace(replace(replace(replace('<' || c_name || '> & \"' || c_mktsegment || '''', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS escaped FROM customer")

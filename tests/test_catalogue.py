@@ -14,7 +14,7 @@ def passable(v):
 
 @pytest.fixture(scope="module")
 def parts(spark, tmp_path_factory):
-    """More parts than the oracles' cap."""
+    """A grid with a rest of a tile."""
     folder = str(tmp_path_factory.mktemp("parts"))
     rows = [(v, 1 if passable(v) else 4) for v in range(N)]
     spark.createDataFrame(rows, "p_partkey long, p_size int").write.parquet(f"{folder}/part.parquet")
@@ -55,12 +55,12 @@ def test_whole_workload(spark, parts):
     """All seeds of the closure and all 2000 pairs, by each search."""
     run = lambda name: catalogue.queries()[name](spark, parts)
     around = brute(random_edges())
-    got = {tuple(r) for r in run("reach_set_all").collect()}
+    got = {tuple(r) for r in run("reach_set").collect()}
     assert got == {(v, v) for v in range(N) if passable(v)} | {(s, t) for s, ts in around.items() for t in ts}
     asked = {tuple(r) for r in run("pair_workload").collect()}
     right = {(q, s, t): s == t or t in around.get(s, ()) for q, s, t in asked}
     assert len(right) == 2000 and any(v and s != t for (_, s, t), v in right.items())
-    for name in ("reach_pairs_bfs_all", "reach_pairs_dfs_all", "pairs_tile_search_all", "pairs_intervals_all"):
+    for name in ("reach_pairs_bfs", "reach_pairs_dfs", "pairs_tile_search", "pairs_intervals"):
         assert {(r["qid"], r["source"], r["target"]): r["reachable"] for r in run(name).collect()} == right, name
 
 
@@ -76,7 +76,7 @@ def test_all_hops(spark, tmp_path):
             want |= {(seed, v, depth) for v in front}
             front, depth = {b for a, b in arcs if a in front} - seen, depth + 1
             seen |= front
-    assert {tuple(r) for r in catalogue.queries()["hop_depth_all"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in catalogue.queries()["hop_depth"](spark, str(tmp_path)).collect()} == want
 
 
 def test_closure_batches(monkeypatch):
