@@ -1,17 +1,26 @@
 """Document fingerprints by Order MinHash, in DataFrame functions only.
 
-A text's tokens are its runs without ASCII white space, in pieces of 12 characters at most; its
-k-mers are three tokens in a row (all tokens, with fewer). Each k-mer is numbered by its occurrence,
-and (k-mer, number) is hashed. The hash deals it to one of 64 sketches (one permutation in bins
-stands for 64 permutations); each sketch selects its two minimal ones, puts them in text order
-and hashes the pair. Two fingerprints are alike in the share of sketches with equal hashes among
-those that either text fills; since pairs keep the order, moved passages count as edits.
+A text is cut into tokens that cover it whole, white space included; its k-mers are three tokens in a
+row (all tokens, with fewer). A token's ends depend on the characters around them, not on the
+distance from the text's start, so an edit changes the k-mers near it only, with or without blanks.
+Each k-mer is numbered by its occurrence. Under each of 64 permutations of (k-mer, number) the
+minimal one of the whole text is selected; a sketch takes the ones of two permutations, itself and the
+next, puts them in text order and hashes the tuple. Two fingerprints are alike in the share of equal
+sketches; since tuples keep the order, moved passages count as edits.
+
+K-mers are rows: one aggregation makes the 64 minima of a text as they stream by, so a text's k-mers
+are held once, as an array of numbers, and only its minima beyond.
+
+Bounds: k-mers are compared by 32 bits of hash within a text (of 2000 k-mers two different ones are
+taken for equal with probability 5e-4, which changes their numbers only); places have 31 bits, more
+than a text can have tokens. A run of more than 15 letters without any of ``_ENDS`` is one token to
+its end.
 
 Defined results: a null text is an empty one, whose fingerprint is empty; two empty fingerprints
 are alike (1), an empty and another one are not (0). ``with_next``: documents follow each other in
 descending doc_id, null ids last, equal ids by text; the first follows the last, so a document that
-is alone follows itself; repeated rows follow each other; an empty table gives no rows. Other
-columns are ignored.
+is alone follows itself; repeated rows follow each other; an empty table gives no rows. A very long
+text is one row and its tokens one array. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,70 +30,86 @@ from pyspark.sql import functions as F
 
 from .common import pick
 
-K, TAKEN, PIECE = 3, 2, 12
-#: Bits: of a sketch's number, and of a k-mer's place in the text.
-SKETCH_BITS, PLACE_BITS = 6, 24
+K, PERMUTATIONS = 3, 64
+#: Characters that end a token: marks, and all from U+0590 on, whose scripts go without blanks or are dense.
+_MARKS = r"!-/:-@\[-`{-~\u0590-\U0010ffff"
+#: Characters that end a token of more than 15 characters.
+_ENDS = "aeiouAEIOU0-9\u0430\u0435\u0438\u043e\u0443\u03b1\u03b5\u03b9\u03bf"
+_BLANK = r" \t\n\x0b\f\r"
+TOKEN = rf"[{_BLANK}]++|[{_MARKS}][{_BLANK}]*+|[^{_BLANK}{_MARKS}]{{1,15}}+[^{_BLANK}{_MARKS}{_ENDS}]*+[{_MARKS}{_ENDS}]?[{_BLANK}]*+"
 #: Documents that one group puts in order, about.
 GROUP_ROWS = 500
 _FAN = 64
 
-_PLACE = (1 << PLACE_BITS) - 1
-_REST = 64 - SKETCH_BITS - PLACE_BITS  # bits of a hash beside the sketch's number
+_LOW = (1 << 32) - 1
 
 
-def _sketch(x: Column) -> Column:
-    return F.shiftrightunsigned(x, 64 - SKETCH_BITS)
+def _long(x: int) -> Column:
+    return F.lit(x).cast("long")
 
 
-def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with ``out`` array<long>: for each filled sketch, its number above 42 bits of its hash.
+def _packed(hashed: Column, place: Column) -> Column:
+    """32 bits of hash above a place."""
+    return hashed.bitwiseAND(_long(~_LOW)).bitwiseOR(place)
 
-    One step a column: each array is made once and then read by place.
+
+def _kmers(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with ``out`` array<long> in place of ``text``: the numbered k-mers, each above its place.
+
+    One step a column: each array is made once and then read by place, at least twice in its step;
+    else the optimizer would make it anew for each element.
     """
-    kept = df.columns
-    long = lambda x: F.lit(x).cast("long")
-    df = df.withColumn("__t", F.regexp_extract_all(F.col(text), F.lit(r"\S{1,%d}" % PIECE), F.lit(0)))
+    kept = [c for c in df.columns if c != text]
+    java = TOKEN.replace("\\U0010ffff", r"\x{10ffff}")
+    df = df.select(*kept, F.regexp_extract_all(F.col(text), F.lit(java), F.lit(0)).alias("__t"))
     df = df.withColumn("__n", F.size("__t"))
     token = lambda i: F.get(F.col("__t"), i)
-    # k-mers: 40 bits of hash above the place, in order of hash, then place
-    pack = lambda h, i: F.shiftleft(h, PLACE_BITS).bitwiseOR(i.cast("long").bitwiseAND(long(_PLACE)))
-    found = F.when(F.col("__n") >= K, F.transform(F.sequence(F.lit(0), F.greatest(F.col("__n") - K, F.lit(0))), lambda i: pack(F.xxhash64(*[token(i + j) for j in range(K)]), i)))
-    found = found.when(F.col("__n") > 0, F.array(pack(F.xxhash64(F.array_join("__t", " ")), F.lit(0)))).otherwise(F.array().cast("array<long>"))
-    df = df.select(*kept, found.alias("__s")).select(*kept, F.sort_array("__s").alias("__s"))
-    # where a run of equal k-mers starts; in a run, the place in it is the occurrence's number
-    df = df.withColumn("__n", F.size("__s"))
-    kmer = lambda i: F.shiftright(F.get(F.col("__s"), i), PLACE_BITS)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.col("__n") - 1, F.lit(0))), lambda i: (F.col("__n") > 0) & ((i == 0) | (kmer(i) != kmer(i - 1))))
-    df = df.withColumn("__r", starts)
-    numbered = lambda x, o: F.xxhash64(F.shiftright(x, PLACE_BITS), o).bitwiseAND(long(~_PLACE)).bitwiseOR(x.bitwiseAND(long(_PLACE)))
-    first = F.transform("__r", lambda i: numbered(F.get(F.col("__s"), i), F.lit(0)))
-    length = lambda i, j: F.coalesce(F.get(F.col("__r"), j + 1), F.col("__n")) - i
-    # runs of several, as start and length in one number: a few in ordinary texts
-    several = F.filter(F.transform("__r", lambda i, j: F.shiftleft(i.cast("long"), 32).bitwiseOR(length(i, j).cast("long"))), lambda x: x.bitwiseAND(long((1 << 32) - 1)) > 1)
-    df = df.withColumn("__m", several)
-    again = F.flatten(F.transform("__m", lambda x: F.transform(F.slice(F.col("__s"), F.shiftright(x, 32).cast("int") + 2, x.bitwiseAND(long((1 << 32) - 1)).cast("int") - 1), lambda y, o: numbered(y, o + 1))))
-    df = df.select(*kept, F.concat(first, again).alias("__v")).select(*kept, F.sort_array("__v").alias("__v"))
-    # the minimal ones of each sketch, then those in text order
-    least = F.filter("__v", lambda x, i: (i < TAKEN) | (_sketch(F.get(F.col("__v"), i - TAKEN)) != _sketch(x)))
-    df = df.select(*kept, least.alias("__v"))
-    turned = F.transform("__v", lambda x: F.shiftleft(_sketch(x), 64 - SKETCH_BITS).bitwiseOR(F.shiftleft(x.bitwiseAND(long(_PLACE)), _REST)).bitwiseOR(F.shiftrightunsigned(x, PLACE_BITS).bitwiseAND(long((1 << _REST) - 1))))
-    df = df.select(*kept, turned.alias("__v")).select(*kept, F.sort_array("__v").alias("__v"))
-    at = lambda i: F.get(F.col("__v"), i)
-    value = lambda x: x.bitwiseAND(long((1 << _REST) - 1))
-    members = lambda x, i: [F.when(_sketch(at(i + j)) == _sketch(x), value(at(i + j))) for j in range(1, TAKEN)]
-    tuples = F.transform("__v", lambda x, i: F.when((i == 0) | (_sketch(at(i - 1)) != _sketch(x)), F.shiftleft(_sketch(x), 42).bitwiseOR(F.shiftrightunsigned(F.xxhash64(value(x), *members(x, i)), 22))))
-    return df.select(*kept, tuples.alias("__v")).select(*[c for c in kept if c != out], F.array_compact("__v").alias(out))
+    found = F.when(F.col("__n") >= K, F.transform(F.sequence(F.lit(0), F.greatest(F.col("__n") - K, F.lit(0))), lambda i: _packed(F.xxhash64(*[token(i + j) for j in range(K)]), i.cast("long"))))
+    found = found.when(F.col("__n") > 0, F.array(_packed(F.xxhash64(F.array_join("__t", "")), _long(0)))).otherwise(F.array().cast("array<long>"))
+    df = df.select(*kept, found.alias("__p"))
+    kmer = lambda x: F.shiftright(x, 32)
+    # Most texts repeat no k-mer: all numbers are 0. In others equal ones are neighbours once sorted.
+    df = df.select(*kept, "__p", (F.size(F.array_distinct(F.transform("__p", kmer))) < F.size("__p")).alias("__again"))
+    df = df.select(*kept, "__p", F.when(F.col("__again"), F.sort_array("__p")).alias("__s"))
+    same = lambda x, i: (i > 0) & (kmer(F.get(F.col("__s"), i - 1)) == kmer(x))
+    df = df.select(*kept, "__p", "__s", F.filter("__s", same).alias("__r"), F.filter("__s", lambda x, i: ~same(x, i)).alias("__f"))
+    # Runs of equal ones among the repeats, by where they start.
+    starts = F.filter(F.sequence(F.lit(0), F.size("__r") - 1), lambda i: (i == 0) | (kmer(F.get(F.col("__r"), i)) != kmer(F.get(F.col("__r"), i - 1))))
+    df = df.select(*kept, "__p", "__r", "__f", F.when(F.size("__r") > 0, starts).alias("__b"))
+    run = lambda b, j: F.slice(F.col("__r"), b + 1, F.coalesce(F.get(F.col("__b"), j + 1), F.size("__r")) - b)
+    numbered = lambda x, o: _packed(F.xxhash64(kmer(x), o + 1), x.bitwiseAND(_long(_LOW)))
+    again = F.flatten(F.transform("__b", lambda b, j: F.transform(run(b, j), numbered)))
+    return df.select(*kept, F.when(F.size("__r") > 0, F.concat("__f", again)).otherwise(F.col("__p")).alias(out))
+
+
+def fingerprints(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, fp array<int>): a row for each value of the keys, which must tell different texts apart.
+
+    Where ``df`` is dealt out by some of the keys, nothing is sent.
+    """
+    kmers = _kmers(df.select(*keys, F.coalesce(text, F.lit("")).alias("__text")), "__text", "__k").select(*keys, F.explode_outer("__k").alias("__x"))
+    x = F.col("__x")
+    least = [F.min(_packed(F.xxhash64(F.shiftright(x, 32), F.lit(j)), x.bitwiseAND(_long(_LOW)))).alias(f"__m{j}") for j in range(PERMUTATIONS)]
+    found = kmers.groupBy(*keys).agg(*least)
+
+    def sketch(j: int) -> Column:
+        a, b = F.col(f"__m{j}"), F.col(f"__m{(j + 1) % PERMUTATIONS}")
+        place, value = (lambda m: m.bitwiseAND(_long(_LOW))), (lambda m: F.shiftright(m, 32))
+        forth = place(a) <= place(b)
+        return F.shiftright(F.xxhash64(forth, F.when(forth, value(a)).otherwise(value(b)), F.when(forth, value(b)).otherwise(value(a))), 32).cast("int")
+
+    return found.select(*keys, F.when(F.col("__m0").isNotNull(), F.array(*map(sketch, range(PERMUTATIONS)))).otherwise(F.array().cast("array<int>")).alias("fp"))
 
 
 def written(fp: str) -> Column:
-    """A fingerprint as text: twelve hexadecimal digits for each filled sketch."""
-    return F.array_join(F.transform(fp, lambda x: F.lower(F.lpad(F.hex(x), 12, "0"))), "")
+    """A fingerprint as text: eight hexadecimal digits for each sketch."""
+    return F.array_join(F.transform(fp, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(_long(_LOW))), 8, "0"))), "")
 
 
 def likeness(a: str, b: str) -> Column:
     """The share of equal sketches, 0 to 1."""
-    filled = F.size(F.array_union(F.transform(a, lambda x: F.shiftright(x, 42)), F.transform(b, lambda x: F.shiftright(x, 42))))
-    return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled)
+    equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(equal / PERMUTATIONS)
 
 
 def _levels(bounds: list[float]) -> list[list[float]]:
@@ -105,11 +130,11 @@ def _group(doc_id: Column, bounds: list[float]) -> Column:
     return F.when(doc_id.isNull(), F.lit(len(bounds))).otherwise(F.lit(len(bounds)) - at)
 
 
-def with_next(docs: DataFrame, extra: list[str], group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``docs`` (doc_id, text, extra) with ``next_``-columns of the following document.
+def _in_order(docs: DataFrame, group_rows: int) -> DataFrame:
+    """(doc_id, text, __g, __ghost, __pos, next_text): ``docs`` in groups that each hold a run of the order.
 
     Ids are cut at quantiles into groups of bounded size, of which a window puts each in order; the
-    first document of a group is also sent to the group before it, where it stands after the last.
+    first document of a group is also sent to the group before it, where it stands last, as a ghost.
     """
     spark = docs.sparkSession
     ids = docs.select("doc_id")
@@ -123,24 +148,33 @@ def with_next(docs: DataFrame, extra: list[str], group_rows: int = GROUP_ROWS) -
     own = F.struct(F.col("__g").alias("group"), F.lit(False).alias("ghost"))
     guest = F.struct(F.col("__before").alias("group"), F.lit(True).alias("ghost"))
     rows = rows.withColumn("__p", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("__head")), F.array(own, guest)).otherwise(F.array(own))))
-    rows = rows.select("doc_id", "text", *extra, F.col("__p.group").alias("__g"), F.col("__p.ghost").alias("__ghost"))
+    rows = rows.select("doc_id", "text", F.col("__p.group").alias("__g"), F.col("__p.ghost").alias("__ghost"))
     order = Window.partitionBy("__g").orderBy("__ghost", F.col("doc_id").desc_nulls_last(), "text")
-    names = ["text", *extra]
-    rows = rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in names])
-    return rows.filter(~F.col("__ghost")).select("doc_id", *names, *[f"next_{c}" for c in names])
+    return rows.select("*", F.row_number().over(order).alias("__pos"), F.lead("text").over(order).alias("next_text"))
+
+
+def with_next(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``docs`` (doc_id, text) with ``next_text``, the following document's."""
+    return _in_order(docs, group_rows).filter(~F.col("__ghost")).select("doc_id", "text", "next_text")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, and likenesses.
 
     The edited text: the last floor(n_chars / 2) code points are replaced by the first as many
-    (or all) of the following document.
+    (or all) of the following document. All is done where the order was made: texts are sent once.
     """
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(fingerprint(docs, "text", "fp"), ["fp"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "edited", "fp", "next_fp")
-    rows = fingerprint(rows, "edited", "edited_fp")
-    return rows.select("doc_id", "n_chars", "edited_sha256", written("fp").alias("fingerprint"), written("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
+    rows = _in_order(docs, GROUP_ROWS).select("__g", "__pos", "__ghost", "doc_id", "text", F.when(~F.col("__ghost"), edited).alias("edited"))
+    rows = rows.select("*", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    both = F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))
+    keys = ["__g", "__pos", "__ghost", "doc_id", "n_chars", "edited_sha256", "v"]
+    texts = rows.select(*keys[:-1], F.explode(both).alias("b")).select(*keys[:-1], "b.v", "b.t")
+    # In order: a document, its edited text, the next document; a ghost's edited text is none and not read.
+    order = Window.partitionBy("__g").orderBy("__pos", "v")
+    found = fingerprints(texts, keys, "t").select("*", F.lead("fp", 1).over(order).alias("edited_fp"), F.lead("fp", 2).over(order).alias("next_fp"))
+    found = found.filter("v = 0 AND NOT __ghost")
+    return found.select("doc_id", "n_chars", "edited_sha256", written("fp").alias("fingerprint"), written("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -32,45 +33,62 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
+def tokens(text):
+    return re.findall(fp.TOKEN, text)
+
+
 def brute(text):
-    """Order MinHash of a text in plain Python: the sets of (sketch, hash of its ordered pair)."""
-    tokens = re.findall(r"[^ \t\n\x0b\f\r]{1,%d}" % fp.PIECE, text)
-    kmers = [tokens[i : i + fp.K] for i in range(len(tokens) - fp.K + 1)] if len(tokens) >= fp.K else [[" ".join(tokens)]] if tokens else []
+    """Order MinHash of a text in plain Python."""
+    parts = tokens(text)
+    assert "".join(parts) == text
+    kmers = [parts[i : i + fp.K] for i in range(len(parts) - fp.K + 1)] if len(parts) >= fp.K else [[text]] if parts else []
     seen, items = {}, []
     for place, k in enumerate(kmers):
-        key = signed(h64(*k) << fp.PLACE_BITS) >> fp.PLACE_BITS  # 40 bits
+        key = signed(h64(*k)) >> 32
         number = seen[key] = seen.get(key, -1) + 1
-        items.append((h64(key, Int(number)) >> fp.PLACE_BITS, place))
-    rest = 64 - fp.PLACE_BITS - fp.SKETCH_BITS
+        items.append((signed(h64(key, Int(number))) >> 32 if number else key, place))
+    if not items:
+        return []
+    least = [min((signed(h64(x, Int(j))) >> 32, place) for x, place in items) for j in range(fp.PERMUTATIONS)]
     out = []
-    for sketch in range(1 << fp.SKETCH_BITS):
-        least = sorted(x for x in items if x[0] >> rest == sketch)[: fp.TAKEN]
-        if least:
-            ordered = [h & (1 << rest) - 1 for h, _ in sorted(least, key=lambda x: x[1])]
-            out.append(sketch << 42 | h64(*ordered) >> 22)
+    for (a, p), (b, q) in zip(least, least[1:] + least[:1]):
+        forth = p <= q
+        value = h64(Int(int(forth)), *((a, b) if forth else (b, a))) >> 32
+        out.append(value - (1 << 32) if value >> 31 else value)
     return out
 
 
-TEXTS = ["", " \n", "one", "one two", "a b c", "the cat sat on the mat and the cat sat on the mat again", "x " * 700, "x" * 500, "é ü 日本語 \x1f b", " ".join(f"w{i % 37}" for i in range(900)), None]
+TEXTS = ["", " \n", "one", "one two", "a b c", "the cat sat on the mat and the cat sat on the mat again", "x " * 700, "x" * 500, "é ü 日本語 \x1f b", "日本語の文章" * 40, "ab" * 300 + " x", "line one\nline two\n" * 30 + "\t end.  ", "a" * 100, " ".join(f"w{i % 37}" for i in range(900)), None]
 
 
 def test_matches_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit("")))
-    got = {r["doc_id"]: r["fp"] for r in fp.fingerprint(docs, "text", "fp").collect()}
+    got = {r["doc_id"]: r["fp"] for r in fp.fingerprints(docs, ["doc_id"], "text").collect()}
     for i, t in enumerate(TEXTS):
-        assert sorted(got[i]) == sorted(brute(t or "")), t
+        assert got[i] == brute(t or ""), t
 
 
 def likeness(a, b):
-    filled = {x >> 42 for x in a} | {x >> 42 for x in b}
-    return len({*a} & {*b}) / len(filled) if filled else 1.0
+    return 1.0 if not a and not b else sum(x == y for x, y in zip(a, b)) / fp.PERMUTATIONS
+
+
+def test_edits_are_local():
+    """One inserted character, at the front or amid, with blanks or without; a moved half; doubled blanks."""
+    r = random.Random(1)
+    for letters in ("".join(chr(0x4E00 + i) for i in range(3000)), "abcdefghijklmnopqrstuvwxyz", "ACGT", "abcde fghi jklm no", "\u0431\u0430\u0442\u0435\u043b\u0438"):
+        text = "".join(r.choice(letters) for _ in range(3000))
+        for at in (0, 1500):
+            assert likeness(brute(text), brute(text[:at] + r.choice(letters.strip()) + text[at:])) > 0.9, (letters[:5], at)
+        assert likeness(brute(text), brute(text[1500:] + text[:1500])) < 0.75
+        assert likeness(brute(text), brute("".join(r.choice(letters) for _ in range(3000)))) < 0.2
+    assert likeness(brute(text := "abc def " * 3 + "ghi jkl mno"), brute(text.replace(" ", "  "))) < 0.2
 
 
 @pytest.mark.parametrize("group_rows", [1, 3, 500])
 def test_next_documents(spark, group_rows):
     rows = [(i * 7 % 23, f"t{i}") for i in range(23)] + [(5, "tie"), (5, "tie"), (None, "n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = fp.with_next(docs, [], group_rows).collect()
+    got = fp.with_next(docs, group_rows).collect()
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     want = sorted(((str(a), b, c[1]) for (a, b), c in zip(order, order[1:] + order[:1])))
     assert sorted((str(r["doc_id"]), r["text"], r["next_text"]) for r in got) == want
