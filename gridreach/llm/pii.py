@@ -2,22 +2,25 @@
 
 Regular expressions propose candidate spans: the four base kinds (email, ip, card, phone) and wider
 ones (local phone numbers, social security numbers, bank account numbers, names after a title,
-spelled-out addresses). Four labelers vote on each candidate, for, against or not at all: the strict
-form, a gazetteer, the words before it, and the variety of its characters. Expectation-maximisation
-over the counts of all vote patterns estimates each labeler's reliability and each candidate's
-probability; a logistic span classifier is trained on these and decides which wider candidates are
+spelled-out addresses). Four labelers vote on each candidate, for, against or not at all: a form
+stricter than the pattern, a gazetteer, the words before it, and the variety of its characters.
+Expectation-maximisation over the counts of all vote patterns estimates each labeler's reliability
+on each kind and each candidate's probability; a logistic span classifier is trained on these and decides which wider candidates are
 added. Base spans always stay; an added span overlaps none of them. Offsets are code points.
 
 The driver gets the counts of distinct patterns: a number bounded by kinds, votes and buckets, not
 by the rows. They cover all rows.
 
 Defined results: a null text is an empty one, which has no spans; repeated rows give their result
-again and count again; an empty table gives no rows; other columns are ignored, or kept by ``mask``.
+again and count again; of spans that start together the kind listed first comes first; very long texts
+are searched whole, in time that grows with their length; an empty table gives no rows; other columns,
+whatever their names, are ignored, or kept by ``mask``.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +76,14 @@ _FOR = {
     "phone": r"phone|call|tel|mobile|fax|contact|whatsapp", "local": r"phone|call|tel|mobile|fax|contact", "ssn": r"ssn|social|security",
     "iban": r"iban|account|bank", "name": r"name|dear|patient|signed|contact", "spelled": r"mail|contact|write|address",
 }
+#: Frequent family and given names; words that follow a title without being a name.
+_NAMES = (
+    "Adams|Allen|Anderson|Baker|Becker|Bell|Bernard|Brown|Campbell|Carter|Clark|Collins|Cook|Cooper|Davis|Dubois|Edwards|Evans|Fischer|Garcia|Gonzalez|Green|Hall|Harris|Hernandez|Hill|Hoffmann|Hughes|"
+    "Jackson|James|Johnson|Jones|Kelly|King|Koch|Lee|Lewis|Lopez|Martin|Martinez|Meyer|Miller|Mitchell|Moore|Morgan|Morris|Murphy|Nelson|Nguyen|Parker|Patel|Perez|Phillips|Ramirez|Richardson|Roberts|"
+    "Robinson|Rodriguez|Rossi|Sanchez|Schmidt|Schneider|Schulz|Scott|Singh|Smith|Stewart|Taylor|Thomas|Thompson|Torres|Turner|Wagner|Walker|Watson|Weber|White|Williams|Wilson|Wright|Young|"
+    "Anna|Daniel|David|Elizabeth|Emma|Hans|James|John|Jean|Laura|Maria|Mary|Michael|Peter|Pierre|Robert|Sarah|Susan|William"
+)
+_NO_NAMES = "Bean|Bones|Fix|Fox|Hyde|Incredible|Right|Robot|Speaker|President|Chairman|Chair|Secretary|The|This|That|Who|What|And|But|In|On|Of|It"
 _AGAINST = r"version|isbn|order|invoice|page|copyright|doi|serial|model|part no"
 
 
@@ -80,6 +91,9 @@ def _total(part: Column) -> Column:
     return F.aggregate(part, F.lit(0), lambda a, x: a + x)
 
 
+#: How often a labeler's vote is right, before any is counted: as if ``_PRIOR_VOTES`` votes had been seen.
+_PRIOR_VOTES = 20
+_PRIOR = {"form": 0.65, "gazetteer": 0.65, "context": 0.85, "variety": 0.55} | {("gazetteer", "name"): 0.85, ("gazetteer", "spelled"): 0.85}
 _EMPTY = "array<struct<start: int, match: string, before: string>>"
 
 
@@ -113,7 +127,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def _valid(kind: str, match: Column) -> Column:
-    """What the base rules ask of a match beside its pattern; the strict form of a wider kind."""
+    """What the base rules ask of a match beside its pattern; of a wider kind, what tells impossible ones."""
     if kind == "ip":
         return F.forall(F.split(match, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.concat(F.lit("0"), F.substring(F.regexp_replace(p, "^0+", ""), 1, 3)).cast("int") <= 255))
     if kind == "card":
@@ -129,6 +143,27 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _strict(kind: str, match: Column) -> Column:
+    """Whether a match has the form that its kind is mostly written in, beyond what makes it a candidate."""
+    if kind == "email":
+        return match.rlike(r"^[A-Za-z0-9](?:[A-Za-z0-9_%+-]|\.(?!\.))*@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}$")
+    if kind == "ip":
+        return ~match.rlike(r"(?:^|\.)0[0-9]|^0\.")
+    if kind == "card":
+        return _digits(match).rlike("^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|6[0-9]{15,18})$")
+    if kind == "phone":
+        return match.rlike(r"^\+[1-9][0-9]{0,2}[\x20.-]?\(?[0-9]") & (F.length(F.regexp_replace(match, r"[^(]", "")) == F.length(F.regexp_replace(match, r"[^)]", "")))
+    if kind == "local":
+        return match.rlike(r"^(?:\([2-9][0-9]{2}\)\x20[2-9][0-9]{2}-|([2-9][0-9]{2})([.\x20-])[2-9][0-9]{2}\2)[0-9]{4}$")
+    if kind == "iban":
+        return match.rlike("^(?:" + "|".join(c for cs in _IBAN_LENGTHS.values() for c in cs.split("|")) + ")")
+    if kind == "name":
+        return match.rlike(r"^[A-Z][a-z]+\.\x20(?=[A-Z][a-z]*[aeiouy])[A-Z][a-z]{2,}")
+    if kind == "spelled":
+        return match.rlike(r"(?i)[\[(]at[\])].*[\[(]dot[\])]")
+    return _valid(kind, match)
+
+
 def _gazetteer(kind: str, match: Column) -> Column:
     """1 for, 0 against, null for no vote."""
     if kind == "email":
@@ -141,8 +176,14 @@ def _gazetteer(kind: str, match: Column) -> Column:
         return match.rlike(_COUNTRIES).cast("int")
     if kind == "iban":
         return match.rlike("^(?:DE|FR|ES|GB|IT|NL|CH|AT|BE|PL|PT|IE|SE|NO|DK|FI)").cast("int")
-    if kind in ("name", "spelled"):
-        return F.lit(1)
+    if kind == "name":
+        return F.when(match.rlike(rf"\x20(?:{_NAMES})(?:\x20|$)"), 1).when(match.rlike(rf"\x20(?:{_NO_NAMES})(?:\x20|$)"), 0)
+    if kind == "spelled":
+        return F.concat(F.lit("."), F.lower(F.regexp_extract(match, "([A-Za-z]+)$", 1))).rlike(_DOMAINS).cast("int")
+    if kind == "local":  # area codes have no 9 amid, and no 11 behind
+        return F.substring(_digits(match), 2, 2).rlike("^(?:[0-8][02-9]|[02-8]1)$").cast("int")
+    if kind == "ssn":  # areas that were given out
+        return (F.substring(match, 1, 3).cast("int") <= 772).cast("int")
     return F.lit(None).cast("int")
 
 
@@ -150,9 +191,9 @@ def _candidate(kind: str, x: Column, base: bool, valid: Column) -> Column:
     """start, rank of the kind, end, kind, base, and the features that votes and buckets make up."""
     match, before = x["match"], x["before"]
     votes = {
-        "form": valid.cast("int"), "gazetteer": _gazetteer(kind, match),
+        "form": (valid & _strict(kind, match)).cast("int"), "gazetteer": _gazetteer(kind, match),
         "context": F.when(before.rlike(_FOR[kind]), 1).when(before.rlike(_AGAINST), 0),
-        "variety": F.when(F.size(F.array_distinct(F.split(match, ""))) <= 4, 0).when(F.size(F.array_distinct(F.split(match, ""))) >= 7, 1),
+        "variety": F.lit(None).cast("int") if kind in ("name", "spelled") else F.when(F.size(F.array_distinct(F.split(match, ""))) <= 4, 0).when(F.size(F.array_distinct(F.split(match, ""))) >= 7, 1),
     }
     features = [F.lit(f"kind={kind}")] + [F.concat(F.lit(f"{name}="), F.coalesce(v.cast("string"), F.lit("-"))) for name, v in votes.items()]
     features.append(F.concat(F.lit("size="), F.least(F.floor(F.length(match) / 8), F.lit(4)).cast("string")))
@@ -192,13 +233,14 @@ def _votes(features: str) -> tuple[str, list[int | None]]:
     return parts["kind"], [None if parts[name] == "-" else int(parts[name]) for name in LABELERS]
 
 
-def estimate(counts: dict[str, int], rounds: int = 40) -> tuple[dict[str, float], dict[tuple[str, int], float]]:
+def estimate(counts: dict[str, int], rounds: int = 40) -> tuple[dict[str, float], dict[tuple[str, str, int], float]]:
     """Expectation-maximisation over vote patterns: each pattern's probability, each labeler's reliability.
 
-    A reliability is the probability that a labeler's vote is right, given that it votes on a kind
-    and the truth; 4 prior votes, three of them right, keep it off 0 and 1.
+    A reliability is the probability that a labeler's vote is right, given the kind that it votes on
+    and the truth; prior votes keep it off 0 and 1, and steady where few are counted.
     """
-    reliable = {(name, truth): 0.75 for name in LABELERS for truth in (0, 1)}
+    before = {(name, kind, truth): _PRIOR.get((name, kind), _PRIOR[name]) for name in LABELERS for kind in KINDS for truth in (0, 1)}
+    reliable = dict(before)
     prior = dict.fromkeys(KINDS, 0.5)
     known = {f: _votes(f) for f in counts}
     chance: dict[str, float] = {}
@@ -207,16 +249,22 @@ def estimate(counts: dict[str, int], rounds: int = 40) -> tuple[dict[str, float]
             odds = math.log(prior[kind] / (1 - prior[kind]))
             for name, v in zip(LABELERS, votes, strict=True):
                 if v is not None:
-                    right, wrong = reliable[name, 1], reliable[name, 0]
+                    right, wrong = reliable[name, kind, 1], reliable[name, kind, 0]
                     odds += math.log(right / (1 - wrong)) if v else math.log((1 - right) / wrong)
             chance[f] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
         for kind in KINDS:
             mine = [(chance[f], n) for f, n in counts.items() if known[f][0] == kind]
             prior[kind] = (sum(p * n for p, n in mine) + 1) / (sum(n for _, n in mine) + 2)
-        for i, name in enumerate(LABELERS):
-            for truth in (0, 1):
-                weight = [((p if truth else 1 - p) * counts[f], known[f][1][i]) for f, p in chance.items() if known[f][1][i] is not None]
-                reliable[name, truth] = (sum(w for w, v in weight if v == truth) + 3) / (sum(w for w, _ in weight) + 4)
+        right_votes, votes_cast = Counter(), Counter()
+        for f, p in chance.items():
+            kind, votes = known[f]
+            for name, v in zip(LABELERS, votes, strict=True):
+                if v is not None:
+                    for truth in (0, 1):
+                        weight = (p if truth else 1 - p) * counts[f]
+                        votes_cast[name, kind, truth] += weight
+                        right_votes[name, kind, truth] += weight * (v == truth)
+        reliable = {k: (right_votes[k] + _PRIOR_VOTES * p) / (votes_cast[k] + _PRIOR_VOTES) for k, p in before.items()}
     return chance, reliable
 
 

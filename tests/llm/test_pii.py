@@ -72,3 +72,70 @@ def test_ibans(spark):
     assert got[1000] == []
     text = "IBAN: DE89 3704 0044 0532 0130 00, or GB29NWBK60161331926819."
     assert pii.mask(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"] == "IBAN: <IBAN>, or <IBAN>."
+
+
+# Written by hand: what is marked with { } is personal data of a wider kind.
+MARKED = """
+You can reach the front desk at {(212) 664-7665} on weekdays.
+Please call {415-555-2671} before noon.
+fax: {312.644.3210}, ask for the office
+Her mobile is {646 301 9000} and she answers late.
+Tel {(503) 228-1367}
+contact {206-682-3000} or the shop
+My social security number is {219-09-9999}.
+SSN {078-05-1120} was printed on the card
+Employee {457-55-5462} social security on file
+security no. {123-45-6789}
+Wire it to IBAN {DE89 3704 0044 0532 0130 00} today.
+account {GB29NWBK60161331926819} at the bank
+bank account: {FR1420041010050500013M02606}
+IBAN {NL91ABNA0417164300}
+Signed, {Mr. James Wilson}
+Dear {Mrs. Garcia}, thank you for your letter
+The patient {Ms. Anna Schmidt} was seen at nine
+according to {Dr. Robert Miller}, the dose was right
+Dear {Dr. Watson}, come at once
+we asked {Mr. Patel} to sign the form
+contact {jane [at] example [dot] com} for rooms
+write to {bob.k (at) mail (dot) org} please
+e-mail {info [at] school.edu}
+address: {k_berger [at] uni-trier [dot] de}
+""".strip().splitlines()
+PLAIN = """
+version 212.664.7665 of the tool is out
+order 111-222-3333 shipped on Monday
+part no 999-911-1000 is out of stock
+isbn 012-345-6789 in the list
+serial 199-111-0000 on the back
+invoice 900-11-2222 was paid
+model 000-12-3456 is new
+page 666-12-1234 of the archive
+Dr. Who was on again last night
+He laughed like Mr. Bean at the show
+the case of Dr. Jekyll and Mr. Hyde
+Mr. President, the floor is yours
+Thank you Mr. Speaker for the time
+Mr. Right never came
+meet me (at) noon.then we eat
+the ratio is 12 (at) most.or less
+temperatures of 20 to 30 degrees in 1999
+code AB12 XYZ is not known
+the years 1914-1918 and 1939-1945
+""".strip().splitlines()
+
+
+def test_wider_spans_of_other_text(spark):
+    """Precision and recall of the added spans on text that nothing was made to fit."""
+    import re
+
+    texts, want = [], []
+    for line in MARKED:
+        m = re.search(r"\\{(.*)\\}", line) or re.search(r"[{](.*)[}]", line)
+        texts.append(line.replace("{", "").replace("}", ""))
+        want.append((m.start(), m.end() - 2))
+    texts, want = texts + PLAIN, want + [None] * len(PLAIN)
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"] if not s["base"]] for r in pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    right = sum(w in got[i] for i, w in enumerate(want) if w)
+    added = sum(map(len, got.values()))
+    print("added", added, "right", right, "of", len(MARKED), [texts[i] for i, w in enumerate(want) if (w and w not in got[i]) or (not w and got[i])])
+    assert right >= 0.85 * len(MARKED) and right >= 0.8 * added
