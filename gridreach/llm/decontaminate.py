@@ -64,6 +64,8 @@ class SuffixAutomaton:
                 state = self.link[state]
             marks = self.short[state] = self.short[state] or {}
             marks.setdefault(n, set()).add(item)
+        #: Words of the shortest window.
+        self.least = min((n for marks in self.short if marks for n in marks), default=1)
         # The nearest state with windows on the way to the root, itself included.
         self.near = array("i", [0]) * len(self.next)
         for v in sorted(range(1, len(self.next)), key=self.length.__getitem__):
@@ -108,7 +110,7 @@ class SuffixAutomaton:
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans of hit words (start, end), merged, and the ids of the items met."""
         step, link, lengths, near = self.next, self.link, self.length, self.near
-        least = min((n for marks in self.short if marks for n in marks), default=1)
+        least = self.least
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
         state = length = 0
