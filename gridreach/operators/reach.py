@@ -15,6 +15,8 @@ from .components import connected_components
 
 #: A part's closure as bit rows may take so many bytes in a task.
 MEMORY_CAP = 512 << 20
+#: Edges of a weakly connected part that a task may hold, with their lists some 0.5 GB at most.
+TASK_EDGES = 2_000_000
 #: Levels of a search that are merged into one table.
 MERGE = 8
 #: Pairs of a closure that leave a task at once.
@@ -87,8 +89,23 @@ def _local(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, places[: len(pdf)], places[len(pdf) :]
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(v, comp): the smallest vertex of the strong component, for vertices with an edge to another."""
+def _large_parts(arcs: DataFrame, parts: DataFrame, task_edges: int) -> DataFrame:
+    """(component, count): the parts with more than ``task_edges`` arcs."""
+    if arcs.count() <= task_edges:
+        return parts.select("component", F.lit(0).alias("count")).filter("false")
+    sizes = arcs.join(parts.toDF("src", "component"), "src").groupBy("component").count()
+    return cut_compact(sizes.filter(F.col("count") > task_edges))
+
+
+def strong_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """(v, comp): the smallest vertex of the strong component, for vertices with an edge to another.
+
+    A weakly connected part of at most ``task_edges`` arcs is one task's; the arcs are counted first,
+    and larger parts are coloured by all executors.
+    """
+    arcs = cut_compact(edges.select("src", "dst").filter("src <> dst").distinct(), 200_000)
+    parts = connected_components(arcs)
+    large = _large_parts(arcs, parts, task_edges)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, src, dst = _local(pdf)
@@ -97,7 +114,44 @@ def strong_components(edges: DataFrame) -> DataFrame:
         np.minimum.at(least, comp, ids)
         return pd.DataFrame({"v": ids, "comp": least[comp]})
 
-    return _by_part(edges, run, "v long, comp long")
+    if large.isEmpty():
+        return _by_part(arcs, run, "v long, comp long", parts)
+    mine = parts.join(large, "component", "left_semi").select(F.col("v").alias("src"))
+    here = _by_part(arcs, run, "v long, comp long", parts.join(large, "component", "left_anti"))
+    return here.union(coloured_components(arcs.join(mine, "src", "left_semi")))
+
+
+def coloured_components(arcs: DataFrame) -> DataFrame:
+    """(v, comp) as by ``strong_components``, for parts of any size: colours forward, searches backward.
+
+    A vertex takes the first colour, in a random order of all vertices, that reaches it; what
+    reaches a colour's own vertex under that colour is that vertex's strong component. It goes, as
+    do the arcs between colours, and the rest is coloured anew. The random order makes the rounds
+    few; the joins of a round are as many as its longest shortest path, and no task holds a part.
+    """
+    left = cut_compact(arcs.select("src", "dst").filter("src <> dst").distinct(), 200_000)
+    vertices = cut_compact(left.select(F.explode(F.array("src", "dst")).alias("v")).distinct(), 200_000)
+    found = vertices.filter("false").select(F.col("v").alias("root"), "v")
+    for turn in range(1 << 30):
+        # no cycle passes a vertex without an arc to it or from it
+        left = cut_compact(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"), 200_000)
+        if left.isEmpty():
+            break
+        colours = left.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
+        colours = cut_compact(colours.select("v", F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v").alias("c"), F.lit(True).alias("fresh")), 200_000)
+        while not colours.filter("fresh").isEmpty():
+            offers = left.join(colours.filter("fresh").select(F.col("v").alias("src"), "c"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("c").alias("offer"))
+            colours = colours.join(offers, "v", "left").select("v", F.least("c", "offer").alias("c"), F.coalesce(F.col("offer") < F.col("c"), F.lit(False)).alias("fresh"))
+            colours = cut_compact(colours, 200_000)
+        of = colours.select("v", F.col("c.v").alias("root"))
+        inner = cut_compact(left.join(of.toDF("src", "root"), "src").join(of.toDF("dst", "root"), ["dst", "root"]).select("src", "dst"), 200_000)
+        reached = frontier(inner.toDF("dst", "src"), of.filter("v = root").select(F.col("v").alias("seed"))).select(F.col("seed").alias("root"), "v")
+        found = cut_compact(found.union(reached), 200_000)
+        done = reached.select("v")
+        left = inner.join(done.toDF("src"), "src", "left_anti").join(done.toDF("dst"), "dst", "left_anti")
+    least = found.groupBy("root").agg(F.min("v").alias("comp"))
+    known = found.join(least, "root").select("v", "comp")
+    return vertices.join(known, "v", "left").select("v", F.coalesce("comp", "v").alias("comp"))
 
 
 def closure_of(pdf: pd.DataFrame, memory_cap: int) -> Iterator[pd.DataFrame]:
@@ -154,12 +208,18 @@ def closure(edges: DataFrame, memory_cap: int = MEMORY_CAP) -> DataFrame:
     return _by_part(edges, run, "src long, dst long", parts)
 
 
-def interval_labels(edges: DataFrame, trees: int = 5, seed: int = 0) -> DataFrame:
+def interval_labels(edges: DataFrame, trees: int = 5, seed: int = 0, task_edges: int = TASK_EDGES) -> DataFrame:
     """(v, tree, part, pre, post): visits of ``trees`` depth-first forests, each in a random order of its own.
 
     An interval inside another of the same tree and part is a descendant's: a certain path. Nothing
-    follows from intervals apart.
+    follows from intervals apart. A depth-first visit is one task's for a weakly connected part, so
+    the largest part's edges are counted first; ``SkippedByPolicy`` if they are more than ``task_edges``.
     """
+    edges = cut_compact(edges.select("src", "dst").filter("src <> dst"), 200_000)
+    parts = connected_components(edges)
+    largest = _large_parts(edges, parts, task_edges).agg(F.max("count")).first()[0]
+    if largest:
+        raise SkippedByPolicy(f"a part of {largest} edges, above {task_edges}")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, src, dst = _local(pdf)
@@ -189,7 +249,7 @@ def interval_labels(edges: DataFrame, trees: int = 5, seed: int = 0) -> DataFram
             out.append(pd.DataFrame({"v": ids, "tree": tree, "part": part, "pre": pre, "post": post}))
         return pd.concat(out)
 
-    return _by_part(edges, run, "v long, tree int, part long, pre long, post long")
+    return _by_part(edges, run, "v long, tree int, part long, pre long, post long", parts)
 
 
 def answer_by_intervals(pairs: DataFrame, labels: DataFrame, edges: DataFrame) -> DataFrame:

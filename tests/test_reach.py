@@ -52,6 +52,16 @@ def test_memory_cap(spark):
         reach.closure(df, memory_cap=100).count()
 
 
+def test_large_parts(spark):
+    """Coloured by all executors beside parts that tasks hold; loops and repeated edges change nothing; intervals are refused."""
+    edges = [(1, 2), (2, 1), (2, 2), (5, 6), (6, 7), (7, 8), (8, 5), (8, 9), (9, 10), (10, 9), (4, 5), (4, 5)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    got = {r["v"]: r["comp"] for r in reach.strong_components(df, task_edges=4).collect()}
+    assert got == {1: 1, 2: 1, 4: 4, 5: 5, 6: 5, 7: 5, 8: 5, 9: 9, 10: 9}
+    with pytest.raises(reach.SkippedByPolicy):
+        reach.interval_labels(df, task_edges=4)
+
+
 @pytest.mark.parametrize(("size", "tile", "want"), [(8, 4, 2), (9, 4, 2), (10, 4, 3), (5, 4, 1), (3, 4, 1)])
 def test_tile_remainders(spark, size, tile, want):
     cells = grid.with_coordinates(spark.range(size * size).select(F.col("id").alias("v"), F.lit(True).alias("passable")), size)
