@@ -139,3 +139,46 @@ def test_wider_spans_of_other_text(spark):
     added = sum(map(len, got.values()))
     print("added", added, "right", right, "of", len(MARKED), [texts[i] for i, w in enumerate(want) if (w and w not in got[i]) or (not w and got[i])])
     assert right >= 0.85 * len(MARKED) and right >= 0.8 * added
+
+
+# Written after the labelers and their priors were settled, and never used to set them: lines, and the personal data in each.
+FRESH = [
+    ("Please ring our clinic at (212) 555-0187 before noon.", ["(212) 555-0187"]),
+    ("Her social security number is 219-09-9999 according to the form.", ["219-09-9999"]),
+    ("Transfer the rent to IBAN GB29 NWBK 6016 1331 9268 19 by Friday.", ["GB29 NWBK 6016 1331 9268 19"]),
+    ("Account: FR1420041010050500013M02606, thanks.", ["FR1420041010050500013M02606"]),
+    ("Write to maria dot lopez at example dot org for the slides.", ["maria dot lopez at example dot org"]),
+    ("Sincerely, Mr. Peter Novak", ["Peter Novak"]),
+    ("Dear Mrs. Alice Johnson, your parcel has arrived.", ["Alice Johnson"]),
+    ("Tel: 415-555-2671 ext 4", ["415-555-2671"]),
+    ("My name is Robert Brown and I live in Leeds.", ["Robert Brown"]),
+    ("Contact tom [at] mailbox [dot] net", ["tom [at] mailbox [dot] net"]),
+    ("SSN: 078-05-1120 (employee copy)", ["078-05-1120"]),
+    ("Patient: Mary Smith, phone 303 555 0142", ["Mary Smith", "303 555 0142"]),
+    ("Beneficiary IBAN NL91ABNA0417164300", ["NL91ABNA0417164300"]),
+    ("Call me on 617.555.0199 tonight", ["617.555.0199"]),
+    ("The engine has part number 219-09-9999-B in the catalogue.", []),
+    ("Chapter 12 covers pages 415-555 of the 2671 manuscript.", []),
+    ("We met at noon, dot the i and cross the t at example length.", []),
+    ("Order GB29 was shipped with code NWBK 6016.", []),
+    ("The river Thames and Lake Michigan are long and wide.", []),
+    ("Version 617.555.0199.4 was released in 2019.", []),
+    ("Dear customer, your parcel has arrived.", []),
+    ("New York City won 212 of 555 games.", []),
+    ("Score 123-45-6789 points is not possible in bowling", []),
+    ("ISBN 978-3-16-148410-0 is a sample number.", []),
+    ("He scored at home, dot net is a framework.", []),
+    ("Order no. 303 555 0142 was cancelled.", []),
+]
+
+
+def test_fresh_lines(spark):
+    """Holds the figures of README: 12 of 15 found, 4 reported falsely."""
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FRESH)], "doc_id long, text string")
+    found = false = 0
+    for r in pii.pii_report(docs).collect():
+        text, want = FRESH[r["doc_id"]]
+        got = [text[int(a) : int(b)] for _, a, b in (s.rsplit(":", 2) for s in r["spans"].split(",") if s)]
+        found += sum(any(w in g or (g in w and len(g) >= 0.8 * len(w)) for g in got) for w in want)
+        false += sum(not any(g in w or w in g for w in want) for g in got)
+    assert found >= 12 and false <= 4
