@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprints, neardup, pii, quality, secrets, sharding, wordpieces
+from . import bpe, centroids, chat, decontaminate, fingerprints, lattice, neardup, pii, quality, secrets, sharding, turns, wordpieces
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,8 +66,24 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_segments(rows.union(hard)))
 
 
+def op11_lattice_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("evaluated")
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_report(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_fingerprints, op4_near_duplicates, op5_shard, op6_secrets, op7_byte_bpe, op8_pii, op9_token_counts, op10_chat_format)}
+    operators = (
+        op1_decontaminate, op2_quality, op3_fingerprints, op4_near_duplicates, op5_shard, op6_secrets, op7_byte_bpe, op8_pii, op9_token_counts, op10_chat_format,
+        op11_lattice_duplicates, op12_centroids, op13_turn_repair,
+    )
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in operators}
 
 
 _OP1 = r"""
@@ -119,5 +135,76 @@ FROM e GROUP BY conv_id
 """
 
 
+# Brute force over all pairs, in double precision.
+_OP11 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+f AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS v, vec_id AS m FROM v UNION SELECT r.v, l.b FROM r JOIN l ON r.m = l.a),
+c AS (SELECT v, min(m) AS m FROM r GROUP BY v), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, c.m AS component_id, c.m = vec_id AS kept FROM v JOIN c ON c.v = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
+def _op12() -> str:
+    """All distances in all rounds, without bounds."""
+    apart = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+    nearest = lambda r: f"a{r} AS MATERIALIZED (SELECT vec_id, v, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT vec_id, v, j, CAST({apart} AS BIGINT) AS d FROM k, c{r}) GROUP BY vec_id, v)"
+    moved = lambda r: f"""c{r + 1} AS MATERIALIZED (SELECT j, coalesce(m, c) AS c FROM c{r} LEFT JOIN (SELECT j, list(f ORDER BY i) AS m FROM (
+      SELECT j, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS f FROM a{r}, range(1, 65) t(i) GROUP BY j, i) GROUP BY j) USING (j))"""
+    rounds = ",\n".join(f"{nearest(r)},\n{moved(r)}" for r in range(10))
+    return f"""
+WITH k AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS j, v AS c FROM k ORDER BY sha256('3:' || vec_id) LIMIT 8),
+{rounds},
+{nearest(10)}
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a10 JOIN c10 USING (j)
+"""
+
+
+def _op13() -> str:
+    """The same search, row by row in recursion; a state is one text: its cost in eight digits, its edits, and the repaired rows.
+
+    The third part is less than any edit, and two states of equal cost never have edits of which one begins the other.
+    """
+    bit = "(ascii(substr(s, i // 8 + 1, 1)) >> (i % 8)) & 1"
+    crc = f"xor(list_reduce(list_transform(range(8 * length(s)), lambda i: CAST({bit} AS BIGINT)), lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END), CAST(4294967295 AS BIGINT)), 4294967295)"
+    add = lambda x, cost, edit, row: f"(printf('%08d', CAST(substr({x}, 1, 8) AS BIGINT) + {cost}) || split_part(substr({x}, 9), chr(1), 1) || '{edit}' || chr(1) || split_part({x}, chr(1), 2) || {row})"
+    line = lambda role, text: f"chr(10) || {role} || ':' || {text}"
+    closed = lambda n, s, u, a: (f"least({u}, {add(n, 3, 'I', line(_U, _E))}, {add(s, 3, 'I', line(_U, _E))}, {add(a, 3, 'I', line(_U, _E))})")
+    more = "CASE WHEN cut THEN 3 ELSE 0 END"
+    keep = lambda x, letter: f"CASE WHEN NOT gone AND initial = '{letter}' THEN {add(x, more, 'K', line('role', 'text'))} END"
+    rerole = lambda x, role: f"CASE WHEN NOT gone THEN {add(x, f'3 + {more}', 'R', line(role, 'text'))} END"
+    gone = lambda x: add(x, 4, "D", "''")
+    return f"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
+k AS (SELECT *, {crc} % 20 AS kind FROM raw),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM k, range(2) t(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+o AS (SELECT *, row_number() OVER w AS place, lag(role) OVER w AS before FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 AS seen,
+  coalesce(right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) NOT IN ('.', '!', '?'), false) AS open FROM o),
+g AS (SELECT *, blank OR seen AS gone, open AND NOT blank AND NOT seen AS cut FROM f),
+best(conv_id, place, n, s, u, a) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '00000000' || chr(1), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM g
+  UNION ALL
+  SELECT conv_id, place, {gone('n')}, least({gone('s')}, {keep('n', 's')}), least({gone('u')}, {keep('n', 'u')}, {keep('s', 'u')}, {keep('a', 'u')}, {rerole('n', _U)}, {rerole('s', _U)}, {rerole('a', _U)}),
+    least({gone('a')}, {keep('u', 'a')}, {rerole('u', _A)})
+  FROM (SELECT conv_id, place, role, text, initial, gone, cut, n, s, u, least(a, {add('u', 3, 'I', line(_A, _E))}) AS a FROM
+    (SELECT g.conv_id, g.place, role, text, initial, gone, cut, n, s, a, {closed('n', 's', 'u', 'a')} AS u FROM best JOIN g ON best.conv_id IS NOT DISTINCT FROM g.conv_id AND g.place = best.place + 1))),
+ends AS (SELECT conv_id, n, a, {closed('n', 's', 'u', 'a')} AS u FROM best QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY place DESC) = 1),
+least_ AS (SELECT conv_id, least(n, a, {add('u', 3, 'I', line(_A, _E))}) AS x FROM ends),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE seen AND NOT blank) AS duplicate, count(*) FILTER (WHERE cut) AS truncated,
+  count(*) FILTER (WHERE before IS NOT NULL AND substr(before, 1, 1) || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(substr(x, 1, 8) AS BIGINT), 0) AS cost,
+  coalesce(split_part(substr(x, 9), chr(1), 1), '') AS audit, sha256(coalesce(substr(split_part(x, chr(1), 2), 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN least_ l ON l.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
+_U, _A, _E = "'user'", "'assistant'", "''"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": _OP1, "op4_near_duplicates": _OP4, "op10_chat_format": _OP10}
+    return {"op1_decontaminate": _OP1, "op4_near_duplicates": _OP4, "op10_chat_format": _OP10, "op11_lattice_duplicates": _OP11, "op12_centroids": _op12(), "op13_turn_repair": _op13()}
