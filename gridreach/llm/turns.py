@@ -24,7 +24,6 @@ rows has nothing to edit; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -38,8 +37,8 @@ from .common import pick
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 #: Parts over which the rows of a conversation are spread when repeated texts are marked.
 SALTS = 8
-#: Edits that differ between states are written out when there are so many.
-_LONG = 4096
+#: Edits of a state beyond so many are put aside.
+_LONG = 512
 
 NOTHING, SYSTEM, USER, ASSISTANT = range(4)
 #: What may follow: the initial and the state after it.
@@ -47,21 +46,30 @@ _AFTER = {NOTHING: {"s": SYSTEM, "u": USER}, SYSTEM: {"u": USER}, USER: {"a": AS
 _SPACE = " \t\n\x0b\x0c\r"
 _BLANK = r"^[\x20\x09-\x0D]*$"
 
-Best = list  # of each state, (cost, edits) or None
+#: Of each state None, or its least (cost, rank of the edits' head, the other edits, ...). All heads are equally long.
+Best = list
 
 
 def _less(a, b):
     return b if a is None or b is not None and b < a else a
 
 
+def _then(x: tuple, cost: int, edit: str) -> tuple:
+    return (x[0] + cost, x[1], x[2] + edit, *x[3:])
+
+
+def start(state: int) -> Best:
+    return [(0, 0, "") if s == state else None for s in range(4)]
+
+
 def close(best: Best) -> Best:
     """With empty rows inserted: a user after anything but a user, an assistant after a user."""
     nothing, system, user, assistant = best
     for x in (nothing, system, assistant):
         if x is not None:
-            user = _less(user, (x[0] + INSERT, x[1] + "I", *x[2:]))
+            user = _less(user, _then(x, INSERT, "I"))
     if user is not None:
-        assistant = _less(assistant, (user[0] + INSERT, user[1] + "I", *user[2:]))
+        assistant = _less(assistant, _then(user, INSERT, "I"))
     return [nothing, system, user, assistant]
 
 
@@ -72,15 +80,14 @@ def step(best: Best, initial: str, must_go: bool, truncated: bool) -> Best:
     for state, x in enumerate(close(best)):
         if x is None:
             continue
-        cost, edits = x
-        after[state] = _less(after[state], (cost + DELETE, edits + "D"))
+        after[state] = _less(after[state], _then(x, DELETE, "D"))
         if must_go:
             continue
         for letter, to in _AFTER[state].items():
             if letter == initial:
-                after[to] = _less(after[to], (cost + more, edits + "K"))
+                after[to] = _less(after[to], _then(x, more, "K"))
             elif letter != "s":
-                after[to] = _less(after[to], (cost + REROLE + more, edits + "R"))
+                after[to] = _less(after[to], _then(x, REROLE + more, "R"))
     return _without_hopeless(after)
 
 
@@ -100,40 +107,50 @@ def _without_hopeless(best: Best) -> Best:
     return best
 
 
-class Search:
-    """A search from one state, over rows or over other searches' results; edits that all states share are kept apart."""
+def settle(best: Best, heads: list) -> tuple[Best, list]:
+    """Edits that have grown long move into the heads, of which only the order matters from then on.
 
-    def __init__(self, state: int):
-        self.shared: list[str] = []
-        self.best: Best = [None] * 4
-        self.best[state] = (0, "")
-
-    def _settle(self) -> None:
-        texts = [x[1] for x in self.best if x]
-        if texts and max(map(len, texts)) >= _LONG:
-            same = os.path.commonprefix(texts)
-            if len(same) >= _LONG // 2:
-                self.shared.append(same)
-                self.best = [x and (x[0], x[1][len(same):]) for x in self.best]
+    All states' edits are cut at the same place, so heads stay equally long, and comparing
+    (rank of the head, the other edits) compares the whole.
+    """
+    at = min((len(x[2]) for x in best if x), default=0)
+    if at < _LONG:
+        return best, heads
+    different = sorted({(x[1], x[2][:at]) for x in best if x})
+    rank = {h: k for k, h in enumerate(different)}
+    return [x and (x[0], rank[x[1], x[2][:at]], x[2][at:], *x[3:]) for x in best], [(heads[r], text) for r, text in different]
 
-    def row(self, initial: str, must_go: bool, truncated: bool) -> None:
-        self.best = step(self.best, initial, must_go, truncated)
-        self._settle()
 
-    def whole(self) -> Best:
-        before = "".join(self.shared)
-        return [x and (x[0], before + x[1]) for x in self.best]
+class Search:
+    """A search over rows from one state; ``heads`` are chains of texts."""
 
+    def __init__(self, state: int):
+        self.best, self.heads = start(state), [None]
 
-def _least_ends(matrix: list[Best], best: list) -> list:
-    """The product: best (cost, edits, states at the ranges' starts) after one more range."""
-    after: list = [None] * 4
+    def row(self, initial: str, must_go: bool, truncated: bool) -> None:
+        self.best, self.heads = settle(step(self.best, initial, must_go, truncated), self.heads)
+
+    def whole(self) -> list:
+        """(cost, edits) of each state."""
+        out = []
+        for x in self.best:
+            texts, head = [x[2]] if x else [], self.heads[x[1]] if x else None
+            while head:
+                texts.append(head[1])
+                head = head[0]
+            out.append(x and (x[0], "".join(reversed(texts))))
+        return out
+
+
+def _least_ends(matrix: list, best: Best) -> Best:
+    """The product: the least of each state, with the states at the ranges' starts, after one more range of (cost, edits)."""
+    after: Best = [None] * 4
     for state, x in enumerate(best):
         if x is None or matrix[state] is None:
             continue
         for to, y in enumerate(matrix[state]):
             if y is not None:
-                after[to] = _less(after[to], (x[0] + y[0], x[1] + y[1], (*x[2], state)))
+                after[to] = _less(after[to], (*_then(x, *y)[:3], (x[3], state)))
     return after
 
 
@@ -266,13 +283,13 @@ class _Whole:
 
     def __init__(self, conv_id: int | None):
         self.conv_id, self.counts, self.initial, self.turns = conv_id, [0, 0, 0, 0], None, []
-        self.parts: list[tuple[int, list[Best]]] = []
-        self.best: list = [(0, "", ()), None, None, None]
+        self.parts: list[tuple[int, list]] = []
+        self.best = [x and (*x, None) for x in start(NOTHING)]
 
     def add(self, part: int, costs: list, edits: list, blank: int, duplicate: int, truncated: int, illegal: int, initials: list[str], turns: list[int]) -> None:
         matrix = [[(c, e) if c is not None else None for c, e in zip(costs[4 * s : 4 * s + 4], edits[4 * s : 4 * s + 4], strict=True)] for s in range(4)]
         self.parts.append((part, matrix))
-        self.best = _without_hopeless(_least_ends(matrix, self.best))
+        self.best, _ = settle(_without_hopeless(_least_ends(matrix, self.best)), [None] * 4)  # the texts are in the parts
         broken = self.initial is not None and self.initial + initials[0] not in _LEGAL
         self.counts = [a + b for a, b in zip(self.counts, (blank, duplicate, truncated, illegal + broken), strict=True)]
         self.initial = initials[1]
@@ -281,12 +298,14 @@ class _Whole:
             self.turns = [self.turns[0], last, self.turns[2] + n - (first == self.turns[1])] if self.turns else turns
 
     def row(self) -> tuple:
-        ends = close([x and (*x[:2], (*x[2], state)) for state, x in enumerate(self.best)])
-        cost, edits, states = _less(ends[NOTHING], ends[ASSISTANT])
-        last = edits[len(self.best[states[-1]][1]) :]  # what is inserted at the end
+        ends = close([x and (*x[:3], (x[3], state)) for state, x in enumerate(self.best)])
+        cost, _, edits, path = _less(ends[NOTHING], ends[ASSISTANT])
+        last = edits[len(self.best[path[1]][2]) :]  # what is inserted at the end
         pieces = []
-        for (part, matrix), state, to in zip(self.parts, states[:-1], states[1:], strict=True):
-            pieces.append({"part": part, "state": state, "edits": matrix[state][to][1]})
+        for part, matrix in reversed(self.parts):
+            to, path = path[1], path[0]
+            pieces.append({"part": part, "state": path[1], "edits": matrix[path[1]][to][1]})
+        pieces.reverse()
         pieces[-1]["edits"] += last
         gaps = self.turns[1] - self.turns[0] + 1 - self.turns[2] if self.turns else 0
         return (self.conv_id, gaps, *self.counts, cost, pieces)
