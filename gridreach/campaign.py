@@ -138,10 +138,10 @@ def prepare(method: str, map_: Map, config: Config) -> Callable[[DataFrame], Dat
     """Build a method's index; returns what answers pairs (qid, source, target, reachable)."""
     edges, vertices = map_.edges, map_.cells.select("v")
     if method in ("CsrBfs", "CsrDfs"):
-        return lambda pairs: reach.answer(pairs, reach.frontier(edges, pairs.select(F.col("source").alias("seed")).distinct()).toDF("src", "dst", "depth"))
+        return lambda pairs: reach.answer_by_search(pairs, edges)
     if method in ("SccDagSearch", "SccDagClosure"):
         comps = cut_compact(reach.strong_components(edges))
-        return lambda pairs: reach.answer_by_components(pairs, edges, comps, method == "SccDagClosure", config.memory_cap)
+        return lambda pairs: reach.answer_by_components(pairs, edges, comps, method == "SccDagClosure")
     if method == "FullClosure":
         closed = cut_compact(reach.reflexive(reach.closure(edges, config.memory_cap), vertices), 200_000)
         return lambda pairs: reach.answer(pairs, closed)

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from . import campaign
 from .functions import terrain, text
-from .operators import bits, components, density, generators, grid, measures, reach, tiles
+from .operators import bits, blocks, components, density, generators, grid, measures, reach, tiles
 from .plans.checkpoints import cut_compact
 from .sources import maps, pictures
 
@@ -63,8 +63,8 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def supplies(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers 0, 1, ... and parts from 1000000 on; the part's parity turns the arc."""
-    p, s = F.col("l_partkey") + 1000000, F.col("l_suppkey")
+    """Suppliers have even numbers and parts odd ones; the part's parity turns the arc."""
+    p, s = F.col("l_partkey") * 2 + 1, F.col("l_suppkey") * 2
     li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct()
     return li.select(F.when(F.col("l_partkey") % 2 == 0, s).otherwise(p).alias("src"), F.when(F.col("l_partkey") % 2 == 0, p).otherwise(s).alias("dst"))
 
@@ -73,14 +73,24 @@ def passable(spark: SparkSession, d: str) -> DataFrame:
     return cells(spark, d).filter("passable").select("v")
 
 
-def closed(mode: str, spark: SparkSession, d: str) -> DataFrame:
-    return reach.reflexive(reach.closure(edges(mode, spark, d)), passable(spark, d))
+def searched(mode: str, spark: SparkSession, d: str) -> blocks.Search:
+    """From all passable cells."""
+    return blocks.search(blocks.build(edges(mode, spark, d)), passable(spark, d).select(F.col("v").alias("seed")))
+
+
+def _drawn(k: int, i: str) -> str:
+    """A number below 10^12 for the ``i``-th draw on side ``k``, the same in any engine."""
+    u = f"(({i} * 7919 + {k * 104729}) % {grid.PRIME})"
+    w = f"(({i} * 6007 + {k * 75931 + 12345}) % {grid.PRIME})"
+    return f"((({u} * {u}) % {grid.PRIME}) * {grid.PRIME} + ({w} * {w} + {u}) % {grid.PRIME})"
 
 
 def workload(spark: SparkSession, d: str, n: int = 2000) -> DataFrame:
-    size = cells(spark, d).count()
-    spread = lambda k: (((F.col("id") * 7919 + k * 104729) % 1000003) * ((F.col("id") * 7919 + k * 104729) % 1000003) % 1000003) % size
-    return spark.range(n).select(F.col("id").alias("qid"), spread(1).alias("source"), spread(2).alias("target"))
+    """Pairs of cells with replacement; a cell is met by its rank, so all are."""
+    ranked = cut_compact(components.dense_labels(cells(spark, d).select("v", F.col("v").alias("component"))).select(F.col("label").alias("k"), "v"), 200_000)
+    size = ranked.count()
+    asked = spark.range(n).select(F.col("id").alias("qid"), *[F.expr(f"{_drawn(k, 'id')} % {max(1, size)}").alias(side) for k, side in ((1, "a"), (2, "b"))])
+    return cut_compact(asked.join(ranked.toDF("a", "source"), "a").join(ranked.toDF("b", "target"), "b").select("qid", "source", "target"))
 
 
 _CELLS = f"cells AS (SELECT p_partkey AS v, p_partkey % {W} AS x, p_partkey // {W} AS y, p_size % 4 <> 0 AS passable FROM part)"
@@ -110,9 +120,9 @@ def _reach(mode: str) -> str:
 
 _EVENTS = """s AS (SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events),
   edges AS (SELECT event_id AS src, after AS dst FROM s WHERE after IS NOT NULL UNION ALL SELECT after, event_id FROM s WHERE after IS NOT NULL AND event_id % 3 = 0)"""
-_WORKLOAD = f"""sized AS (SELECT count(*) AS n FROM cells), pairs_ AS (SELECT i AS qid,
-  ((((i * 7919 + 104729) % 1000003) * ((i * 7919 + 104729) % 1000003)) % 1000003) % n AS source, ((((i * 7919 + 209458) % 1000003) * ((i * 7919 + 209458) % 1000003)) % 1000003) % n AS target
-  FROM range(2000) t(i), sized)"""
+_WORKLOAD = f"""ranked AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM cells), sized AS (SELECT count(*) AS n FROM cells),
+  drawn AS (SELECT i AS qid, {_drawn(1, "i")} % n AS a, {_drawn(2, "i")} % n AS b FROM range(2000) t(i), sized),
+  pairs_ AS (SELECT qid, x.v AS source, y.v AS target FROM drawn JOIN ranked x ON x.k = a JOIN ranked y ON y.k = b)"""
 
 
 def _answers(mode: str) -> str:
@@ -227,12 +237,12 @@ _query(name="graph_separate")(lambda spark, d: generators.separate_random_graphs
 
 @_query(f"WITH RECURSIVE {_reach('acyclic')} SELECT src AS seed, count(*) AS reached FROM reach GROUP BY src")
 def reach_count(spark, d):
-    return closed("acyclic", spark, d).groupBy(F.col("src").alias("seed")).agg(F.count("*").alias("reached"))
+    return searched("acyclic", spark, d).counts()
 
 
 @_query(f"WITH RECURSIVE {_reach('random')} SELECT src AS seed, dst AS v FROM reach")
 def reach_set(spark, d):
-    return closed("random", spark, d).select(F.col("src").alias("seed"), F.col("dst").alias("v"))
+    return reach.reached(edges("random", spark, d), passable(spark, d).select(F.col("v").alias("seed")))
 
 
 @_query()
@@ -243,23 +253,19 @@ def hop_depth(spark, d):
 
 
 def _search(mode, spark, d):
-    """By frontier from the sources; the order of the search can't be seen in the answer."""
-    asked = workload(spark, d)
-    sources = asked.select(F.col("source").alias("seed")).distinct()
-    found = reach.frontier(edges(mode, spark, d), sources).select(F.col("seed").alias("src"), F.col("v").alias("dst"))
-    return reach.answer(asked, found)
+    """By a search that ends with the last open pair; its order can't be seen in the answer."""
+    return reach.answer_by_search(workload(spark, d), edges(mode, spark, d))
 
 
 for _name in ("reach_pairs_bfs", "reach_pairs_dfs"):
     _query(_answers("random"), _name)(partial(_search, "random"))
+_query(_answers("acyclic"), "dag_reach")(partial(_search, "acyclic"))
 
 
 def _by_closure(mode, spark, d):
-    return reach.answer(workload(spark, d), reach.reflexive(reach.closure(edges(mode, spark, d)), cells(spark, d).select("v")))
+    return reach.answer_by_closure(workload(spark, d), edges(mode, spark, d))
 
 
-# By closure: a grid's east and south arcs make a level for each step of its diagonal, too many for a search.
-_query(_answers("acyclic"), "dag_reach")(partial(_by_closure, "acyclic"))
 _query(_answers("random"), "pairs_full_closure")(partial(_by_closure, "random"))
 _query(_answers("gradient"), "pairs_full_closure_gradient")(partial(_by_closure, "gradient"))
 
@@ -382,13 +388,15 @@ def closure_squaring(spark, d):
 
 @_query(f"WITH RECURSIVE {_reach('gradient')} SELECT src, count(*) AS reached FROM reach GROUP BY src")
 def closure_scc_compressed(spark, d):
-    return closed("gradient", spark, d).groupBy("src").agg(F.count("*").alias("reached"))
+    return reach.compressed_counts(edges("gradient", spark, d), passable(spark, d)).withColumnRenamed("v", "src")
 
 
 @_query(f"WITH RECURSIVE {_reach('random')} SELECT a.v, a.n AS n_out, b.n AS n_in FROM (SELECT src AS v, count(*) AS n FROM reach GROUP BY src) a JOIN (SELECT dst AS v, count(*) AS n FROM reach GROUP BY dst) b ON a.v = b.v")
 def two_hop_label_sizes(spark, d):
-    out, into = reach.two_hop_labels(closed("random", spark, d))
-    return out.join(into, "v").select("v", F.size("l_out").cast("long").alias("n_out"), F.size("l_in").cast("long").alias("n_in"))
+    """Labels with every vertex as a hub: as many as it reaches, and as reach it."""
+    e, seeds = cut_compact(edges("random", spark, d)), cut_compact(passable(spark, d).select(F.col("v").alias("seed")))
+    out, into = (blocks.search(blocks.build(x), seeds).counts() for x in (e, grid.transpose(e)))
+    return out.toDF("v", "n_out").join(into.toDF("v", "n_in"), "v")
 
 
 @_query(_answers("random"))
@@ -409,12 +417,14 @@ _query("SELECT l_suppkey AS i, count(DISTINCT l_partkey) AS bits FROM lineitem G
 _query("SELECT l_partkey AS j, count(DISTINCT l_suppkey) AS bits FROM lineitem GROUP BY l_partkey", "bit_column_counts")(lambda spark, d: bits.column_counts(edge_dedup(spark, d).toDF("i", "j")))
 
 
-@_query(f"WITH {_RELATION} SELECT i, j FROM m WHERE i % 3 <> 0 UNION SELECT i + 1, j FROM m WHERE (i + 1) % 3 <> 0 AND i + 1 < 100000")
+@_query(f"WITH {_RELATION} SELECT i, j FROM m WHERE i % 3 <> 0 UNION SELECT i + 1, j FROM m WHERE (i + 1) % 3 <> 0")
 def bit_rows_merged(spark, d):
     """Each row's bits are added to the next row; then every third row is cleared."""
     m = _relation(spark, d)
     more = bits.or_rows(m, m.select(F.col("i").alias("source"), (F.col("i") + 1).alias("target")).distinct())
-    return bits.reset_bits(bits.set_bits(m, more, i=100000, j=100), more.filter("i % 3 = 0").select("i").distinct())
+    box = m.agg(F.max("i"), F.max("j")).first()
+    grown = bits.set_bits(m, more, i=(box[0] or 0) + 2, j=(box[1] or 0) + 1)
+    return bits.reset_bits(grown, more.filter("i % 3 = 0").select("i").distinct())
 
 
 # Density and workload -------------------------------------------------------------------------
@@ -423,7 +433,7 @@ def bit_rows_merged(spark, d):
 @_query(f"""WITH RECURSIVE {_reach('random')}, f AS (SELECT count(*) * 1.0 / (SELECT count(*) FROM cells WHERE passable) AS f FROM reach GROUP BY src) SELECT round(avg(f), 9) AS density, count(*) AS sources FROM f""")
 def density_exact(spark, d):
     n = passable(spark, d).count()
-    return closed("random", spark, d).groupBy("src").agg((F.count("*") / n).alias("f")).agg(F.round(F.avg("f"), 9).alias("density"), F.count("*").alias("sources"))
+    return searched("random", spark, d).counts().agg(F.round(F.avg(F.col("reached") / n), 9).alias("density"), F.count("*").alias("sources"))
 
 
 _query(f"WITH {_CELLS}, {_WORKLOAD} SELECT qid, source, target FROM pairs_", "pair_workload")(workload)
@@ -645,8 +655,8 @@ _SHARES = f"""{_reach('random')}, sampled AS (SELECT v FROM cells WHERE passable
 def _sampled(spark, d):
     """By a search from the sampled cells alone."""
     sources = cut_compact(density.sample(passable(spark, d), 512))
-    found = reach.frontier(edges("random", spark, d), sources.select(F.col("v").alias("seed"))).select(F.col("seed").alias("src"), F.col("v").alias("dst"))
-    return density.shares(found, sources, passable(spark, d).count())
+    counts = blocks.search(blocks.build(edges("random", spark, d)), sources.select(F.col("v").alias("seed"))).counts()
+    return counts.select(F.col("seed").alias("v"), (F.col("reached") / passable(spark, d).count()).alias("f"))
 
 
 @_query(f"WITH RECURSIVE {_SHARES} SELECT v, round(f, 9) AS f FROM f")

@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .grid import PRIME, mixed
+
 
 def coin(a: Column, b: Column, seed: int) -> Column:
     """A number from 0 to 999 for two numbers."""
-    u = (a * 7919 + b * 104729 + seed * 1299709) % 1000003
-    return ((u * u) % 1000003) % 1000
+    return mixed((a % PRIME) * 7919 + (b % PRIME) * 104729, seed) % 1000
 
 
 # Mazes ---------------------------------------------------------------------------------------

@@ -55,10 +55,24 @@ def adjacent_pairs(cells: DataFrame, width: int) -> DataFrame:
     return from_.select("a", (F.col("a") + F.col("s.step")).alias("b"), F.col("s.dir").alias("dir")).join(open_.select(F.col("v").alias("b")), "b").select("a", "b", "dir")
 
 
+#: A prime: hashes are squares modulo it, so any engine can repeat them.
+PRIME = 1000003
+
+
+def mixed(u: Column, seed: int) -> Column:
+    """A number below ``PRIME`` from another and every digit of a seed in base ``PRIME``, squared digit by digit."""
+    first, seed = seed % PRIME, seed // PRIME
+    h = (u + first * 1299709 % PRIME) % PRIME
+    h = (h * h) % PRIME
+    while seed:
+        digit, seed = seed % PRIME, seed // PRIME
+        h = ((h + digit) * (h + digit)) % PRIME
+    return h
+
+
 def pair_hash(k: int) -> Column:
-    """A number from 0 to 999 for a pair (a, b): the same integer arithmetic in any engine."""
-    u = (F.col("a") * 7919 + F.col("b") * 104729 + k * 1299709) % 1000003
-    return ((u * u) % 1000003) % 1000
+    """A number from 0 to 999 for a pair (a, b) and any seed from 0 on: the same integer arithmetic in any engine."""
+    return mixed((F.col("a") % PRIME) * 7919 + (F.col("b") % PRIME) * 104729, k) % 1000
 
 
 def _arcs(pairs: DataFrame, kind: Column) -> DataFrame:

@@ -3,18 +3,51 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import fnv1a
+from ..plans.checkpoints import written
 
+#: Bits of a value that a pass over the samples settles.
+DIGIT = 16
 
-def _ranked(samples: DataFrame, by: list[str], value: str) -> DataFrame:
-    """With the place of each sample in its group, 0 first, and the group's size; ties have places in a row."""
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return samples.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("x"), (F.row_number().over(group.orderBy(value)) - 1).alias("place"), F.count("*").over(group).alias("n"))
+
+def select_places(samples: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Per group: n, total, least, most, and for each name the sample at the place (0 first) that its function makes of n.
+
+    ``value`` is an integer; null samples don't count. Values are found digit by digit: a pass counts,
+    in each group, the samples that agree with what is known of a wanted value by their next
+    ``DIGIT`` bits. Counts are combined before they are shuffled, so a group that holds most samples
+    is no task's, nothing is sorted but counts, and there are as many passes as the group's range has digits.
+    """
+    x = samples.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("long").alias("x"))
+    groups = x.groupBy(*by).agg(F.count("*").alias("n"), F.sum("x").alias("total"), F.min("x").alias("least"), F.max("x").alias("most"))
+    groups = written(groups)  # true sizes: a few groups are broadcast, many are joined
+    names = list(places)
+    wide = groups.agg(F.max(F.col("most") - F.col("least"))).first()[0] or 0
+    wanted = groups.select(*by, "least", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), places[k](F.col("n")).cast("long").alias("place")) for k in names])).alias("w"))
+    # known: the leading digits; place: among the samples that have them
+    wanted = wanted.select(*by, "least", F.col("w.name").alias("name"), F.col("w.place").alias("place"), F.lit(0).cast("long").alias("known"))
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by]
+    kept = lambda a: [F.col(f"{a}.{c}").alias(c) for c in by]
+    for level in reversed(range(-(-wide.bit_length() // DIGIT))):
+        asked = wanted.select(*by, "least", "known").distinct()
+        above = F.shiftright(F.col("x") - F.col("least"), DIGIT * level)
+        known = F.lit(0).cast("long") == F.col("known") if DIGIT * (level + 1) > 63 else F.shiftright(F.col("x") - F.col("least"), DIGIT * (level + 1)) == F.col("known")
+        seen = x.alias("x").join(asked.alias("a"), [*same("x", "a"), known])
+        counts = seen.select(*kept("a"), "known", above.bitwiseAND(F.lit((1 << DIGIT) - 1)).alias("digit")).groupBy(*by, "known", "digit").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(*by, "known").orderBy("digit"))
+        ranges = counts.withColumn("end", upto).withColumn("start", F.col("end") - F.col("n")).withColumnRenamed("known", "before")
+        here = wanted.alias("w").join(ranges.alias("r"), [*same("w", "r"), F.col("known") == F.col("before"), F.col("place") >= F.col("start"), F.col("place") < F.col("end")])
+        wanted = written(here.select(*kept("w"), "least", "name", (F.col("place") - F.col("start")).alias("place"), F.shiftleft("known", DIGIT).bitwiseOR(F.col("digit")).alias("known")))
+    values = wanted.groupBy(*by).agg(*[F.max(F.when(F.col("name") == k, F.col("least") + F.col("known"))).alias(k) for k in names])
+    if not by:
+        return groups.crossJoin(values)  # one row each
+    return groups.alias("g").join(values.alias("v"), same("g", "v")).select(*kept("g"), "n", "total", "least", "most", *names)
 
 
 def timing_statistics(samples: DataFrame, by: list[str], ns: str = "ns") -> DataFrame:
@@ -23,19 +56,15 @@ def timing_statistics(samples: DataFrame, by: list[str], ns: str = "ns") -> Data
     The median is the sample at place n / 2, the p95 that at 0.95 n, places from 0, rounded down. Null
     samples don't count; a rate over no time is 0.
     """
-    at = lambda place: F.max(F.when(F.col("place") == place, F.col("x")))
-    n, total = F.count("*"), F.sum("x")
-    return _ranked(samples, by, ns).groupBy(*by).agg(
-        n.alias("count"), total.alias("total_ns"), (total / n).alias("mean_ns"), at(F.floor(F.col("n") / 2)).alias("median_ns"),
-        at(F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))).alias("p95_ns"), F.min("x").alias("min_ns"), F.max("x").alias("max_ns"),
-        F.when(total > 0, n / (total / 1e9)).otherwise(0.0).alias("queries_per_second"),
-    )
+    found = select_places(samples, by, ns, {"median_ns": lambda n: F.floor(n / 2), "p95_ns": lambda n: F.least(n - 1, F.floor(n * 0.95))})
+    n, total = F.col("n"), F.col("total")
+    rate = F.when(total > 0, n / (total / 1e9)).otherwise(0.0)
+    return found.select(*by, n.alias("count"), total.alias("total_ns"), (total / n).alias("mean_ns"), "median_ns", "p95_ns", F.col("least").alias("min_ns"), F.col("most").alias("max_ns"), rate.alias("queries_per_second"))
 
 
 def order_statistics(samples: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Per group, for each name: the sample at place share * (n - 1), rounded down."""
-    at = lambda q: F.max(F.when(F.col("place") == F.floor(F.lit(q) * (F.col("n") - 1)), F.col("x")))
-    return _ranked(samples, by, value).groupBy(*by).agg(*[at(q).alias(name) for name, q in shares.items()])
+    return select_places(samples, by, value, {k: lambda n, q=q: F.floor(F.lit(q) * (n - 1)) for k, q in shares.items()}).select(*by, *shares)
 
 
 def speedups(runs: DataFrame, by: list[str], method: str = "method", reference: str = "CsrBfs") -> DataFrame:
@@ -81,8 +110,8 @@ def remaining(jobs: DataFrame, results: DataFrame, key: tuple[str, ...] = ("map_
 def best_by_class(results: DataFrame) -> DataFrame:
     """Per map class, the completed run without mismatches that answers most queries a second; ties by map, method and configuration."""
     good = results.filter("status = 'Completed' AND correctness_mismatches = 0").withColumn("map_class", F.when(F.coalesce("map_class", F.lit("")) == "", "unknown").otherwise(F.col("map_class")))
-    order = Window.partitionBy("map_class").orderBy(F.desc("queries_per_second"), "map_id", "method", "config_id")
-    return good.withColumn("__r", F.row_number().over(order)).filter("__r = 1").select("map_class", "map_id", "method", "config_id", "queries_per_second")
+    best = F.struct(F.coalesce(-F.col("queries_per_second"), F.lit(float("inf"))).alias("slow"), "map_id", "method", "config_id", "queries_per_second")
+    return good.groupBy("map_class").agg(F.min(best).alias("best")).select("map_class", "best.map_id", "best.method", "best.config_id", "best.queries_per_second")
 
 
 def map_class(generator: Column, extra_openings: Column, orientation: Column) -> Column:

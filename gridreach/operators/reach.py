@@ -1,4 +1,4 @@
-"""Reachability: frontiers for any graph, closures and components by independent parts."""
+"""Reachability: searches, closures, labels and components, and answers by each of them."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..plans.checkpoints import cut_compact
+from ..plans.checkpoints import cut_compact, written
 from ..plans.shipping import ship
+from . import blocks
 from .components import connected_components
 
 #: A part's closure as bit rows may take so many bytes in a task.
@@ -191,21 +192,49 @@ def bit_rows(n: int) -> int:
     return n * -(-n // 64) * 8
 
 
-def closure(edges: DataFrame, memory_cap: int = MEMORY_CAP) -> DataFrame:
-    """(src, dst): all pairs of different vertices with a path, each weakly connected part in a task of its own.
+def closure(edges: DataFrame, memory_cap: int | None = None) -> DataFrame:
+    """(src, dst): all pairs of different vertices with a path, from the blocks of the closure's bit matrix.
 
-    Before anything is closed, the largest part is counted; ``SkippedByPolicy`` if its bit rows don't fit.
+    With a ``memory_cap``, ``SkippedByPolicy`` is raised before anything is closed if the bit rows of
+    the largest weakly connected part don't fit it.
     """
-    edges = cut_compact(edges.select("src", "dst").filter("src <> dst"), 200_000)
-    parts = connected_components(edges)
-    largest = parts.groupBy("component").count().agg(F.max("count")).first()[0] or 0
-    if bit_rows(largest) > memory_cap:
-        raise SkippedByPolicy(f"a part of {largest} vertices needs more than {memory_cap} bytes")
+    graph = blocks.build(edges)
+    if memory_cap is not None:
+        largest = connected_components(graph.arcs).groupBy("component").count().agg(F.max("count")).first()[0] or 0
+        if bit_rows(largest) > memory_cap:
+            raise SkippedByPolicy(f"a part of {largest} vertices needs more than {memory_cap} bytes")
+    return blocks.search(graph, graph.arcs.select(F.col("src").alias("seed"))).pairs()
+
+
+def reached(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, v): what each seed (seed) reaches, itself included."""
+    seeds = cut_compact(seeds.select("seed").distinct())
+    found = blocks.search(blocks.build(edges), seeds).pairs().toDF("seed", "v")
+    return found.union(seeds.select("seed", F.col("seed").alias("v")))
+
+
+def answer_by_search(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(qid, source, target, reachable) by a search from the sources that ends where all pairs are decided."""
+    pairs = cut_compact(pairs.select("qid", "source", "target"))
+    return blocks.search(blocks.build(edges), pairs.select(F.col("source").alias("seed")), pairs).answer(pairs)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from closure_of(pd.concat(batches), memory_cap)
+def answer_by_closure(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(qid, source, target, reachable), read off the closure's bit rows, which are made for all vertices with an arc."""
+    pairs = cut_compact(pairs.select("qid", "source", "target"))
+    graph = blocks.build(edges)
+    return blocks.search(graph, graph.arcs.select(F.col("src").alias("seed"))).answer(pairs)
 
-    return _by_part(edges, run, "src long, dst long", parts)
+
+def compressed_counts(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(v, reached): how many vertices each of ``vertices`` (v) reaches, itself included, by the closure of the strong components alone."""
+    edges = cut_compact(edges.select("src", "dst"), 200_000)
+    comps = cut_compact(strong_components(edges), 200_000)
+    sizes = cut_compact(comps.groupBy(F.col("comp").alias("v")).agg(F.count("*").alias("weight")), 200_000)
+    graph = blocks.build(condensation(edges, comps).toDF("src", "dst"), sizes)
+    counts = blocks.search(graph, sizes.select(F.col("v").alias("seed"))).counts(sizes)
+    of = vertices.select("v").join(comps, "v", "left").join(counts.withColumnRenamed("seed", "comp"), "comp", "left")
+    return of.select("v", F.coalesce("reached", F.lit(1)).alias("reached"))
 
 
 def interval_labels(edges: DataFrame, trees: int = 5, seed: int = 0, task_edges: int = TASK_EDGES) -> DataFrame:
@@ -275,16 +304,42 @@ def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("src", F.col("dst").alias("m")).join(b.select(F.col("src").alias("m"), "dst"), "m").select("src", "dst").distinct()
 
 
-def squaring(relation: DataFrame, rounds: int = 64) -> DataFrame:
-    """The closure of a reflexive relation by repeated squaring, until nothing is added."""
-    relation = cut_compact(relation.distinct(), 200_000)
-    size = relation.count()
+def squaring(relation: DataFrame, rounds: int = 64, steps: list[dict] | None = None) -> DataFrame:
+    """The closure of a reflexive relation by repeated squaring, until nothing is added.
+
+    A round only joins pairs that the last one added, once as the first and once as the second half of
+    a path, with all pairs; what two older pairs make is there already. A pair (v, v) makes nothing.
+    A middle vertex with many pairs on one side is split by a salt. ``steps`` gets, of each round, how
+    many pairs were joined (``joined``) and how many were new (``added``).
+    """
+    arcs = relation.select("src", "dst").distinct()
+    loops = written(arcs.filter("src = dst"))
+    known = new = written(arcs.filter("src <> dst"))
     for _ in range(rounds):
-        relation = cut_compact(multiply(relation, relation), 200_000)
-        size, before = relation.count(), size
-        if size == before:
+        seen, joined = Observation(), Observation()
+        first = _halves(new, known).observe(joined, F.count(F.lit(1)).alias("n"))
+        made = first if new is known else first.union(_halves(known, new, turned=True))
+        fresh = made.filter("src <> dst").distinct().join(known, ["src", "dst"], "left_anti")
+        new = written(fresh.observe(seen, F.count(F.lit(1)).alias("n")))
+        if steps is not None:
+            steps.append({"joined": joined.get["n"], "added": seen.get["n"]})
+        if not seen.get["n"]:
             break
-    return relation
+        known = written(known.union(new))
+    return loops.union(known)
+
+
+#: Into so many parts the pairs around a middle vertex are split.
+MIDDLES = 4
+
+
+def _halves(a: DataFrame, b: DataFrame, turned: bool = False) -> DataFrame:
+    """(src, dst) of paths from a pair of ``a`` over a pair of ``b``; the first relation is salted, or with ``turned`` the second."""
+    salt = lambda end: F.pmod(F.xxhash64(end), F.lit(MIDDLES)).cast("int").alias("salt")
+    every = F.explode(F.array(*map(F.lit, range(MIDDLES)))).alias("salt")
+    left = a.select("src", F.col("dst").alias("m"), every if turned else salt("src"))
+    right = b.select(F.col("src").alias("m"), "dst", salt("dst") if turned else every)
+    return left.join(right, ["m", "salt"]).select("src", "dst")
 
 
 def two_hop_labels(reach: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -313,17 +368,13 @@ def _componentwise(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return ends.select("qid", "source", "target", F.coalesce("a", "source").alias("a"), F.coalesce("b", "target").alias("b"))
 
 
-def answer_by_components(pairs: DataFrame, edges: DataFrame, comps: DataFrame, closed: bool = False, memory_cap: int = MEMORY_CAP) -> DataFrame:
+def answer_by_components(pairs: DataFrame, edges: DataFrame, comps: DataFrame, closed: bool = False) -> DataFrame:
     """(qid, source, target, reachable) over the graph of strong components: by a search from the sources' components, or by its closure."""
     arcs = condensation(edges, comps).toDF("src", "dst")
     asked = cut_compact(_componentwise(pairs, comps))
-    if closed:
-        found = closure(arcs, memory_cap).toDF("a", "b")
-    else:
-        found = frontier(arcs, asked.filter("a <> b").select(F.col("a").alias("seed")).distinct()).select(F.col("seed").alias("a"), F.col("v").alias("b"))
-    hit = found.join(asked.select("a", "b").distinct(), ["a", "b"], "left_semi").distinct().withColumn("hit", F.lit(True))
-    known = asked.join(hit, ["a", "b"], "left")
-    return known.select("qid", "source", "target", ((F.col("a") == F.col("b")) | F.coalesce("hit", F.lit(False))).alias("reachable"))
+    by = answer_by_closure if closed else answer_by_search
+    found = by(asked.select("qid", F.col("a").alias("source"), F.col("b").alias("target")), arcs).select("qid", "reachable")
+    return asked.select("qid", "source", "target").join(found, "qid")
 
 
 def squarings(n: int) -> int:

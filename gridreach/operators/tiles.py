@@ -71,7 +71,7 @@ def _entries(pairs: DataFrame, local: DataFrame, ports: DataFrame) -> tuple[Data
 def flat_search(pairs: DataFrame, local: DataFrame, ports: DataFrame, graph: DataFrame) -> DataFrame:
     """Pairs by a search on the port graph from the ports that the sources reach inside their tiles."""
     hits, up, down = _entries(pairs, local, ports)
-    found = reach.frontier(graph.select("src", "dst"), up.select(F.col("p").alias("seed")).distinct())
+    found = reach.reached(graph.select("src", "dst"), up.select(F.col("p").alias("seed")))
     return _answered(pairs, hits.union(_met(up, found.select(F.col("seed").alias("p"), F.col("v").alias("q")), down)))
 
 

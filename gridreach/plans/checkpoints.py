@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: as ``cut``, but with its true size for the plans that read it.
+
+    A checkpoint keeps the size that was estimated for its plan, and the estimate of a join is a
+    product: in a loop of joins its digits would double with every round.
+    """
+    path = f"{shared_dir(df.sparkSession)}/table_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """``cut``, then read back in partitions of about ``rows`` rows: no swarm of tiny shuffle files."""
     done = cut(df)

@@ -102,4 +102,4 @@ def graph(spark: SparkSession, root: str, recipe: Recipe) -> tuple[DataFrame, Da
     open_cells = maps.layout(cells, POLICY_NAMES[recipe.policy]).select("v", "x", "y", "passable")
     p = grid.sanitized(recipe.p_bidirectional, recipe.p_one_way, recipe.p_against_gradient, recipe.gradient_angle_degrees)
     pairs = grid.adjacent_pairs(open_cells, box[0])
-    return open_cells, grid.orient(pairs, MODE_NAMES[recipe.mode], p.both, p.one, p.against, recipe.seed % 1000, p.angle), box[0], box[1]
+    return open_cells, grid.orient(pairs, MODE_NAMES[recipe.mode], p.both, p.one, p.against, recipe.seed, p.angle), box[0], box[1]
