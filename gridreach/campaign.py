@@ -146,8 +146,8 @@ def prepare(method: str, map_: Map, config: Config) -> Callable[[DataFrame], Dat
         closed = cut_compact(reach.reflexive(reach.closure(edges, config.memory_cap), vertices), 200_000)
         return lambda pairs: reach.answer(pairs, closed)
     if method == "TwoHop":
-        out, into = map(cut_compact, reach.two_hop_labels(reach.reflexive(reach.closure(edges, config.memory_cap), vertices)))
-        return lambda pairs: pairs.join(out.toDF("source", "l_out"), "source").join(into.toDF("target", "l_in"), "target").select("qid", "source", "target", F.arrays_overlap("l_out", "l_in").alias("reachable"))
+        labels = reach.landmark_labels(edges, memory_cap=config.memory_cap)
+        return lambda pairs: reach.answer_by_labels(pairs, *labels)
     if method == "Grail":
         labels = cut_compact(reach.interval_labels(edges))
         return lambda pairs: reach.answer_by_intervals(pairs, labels, edges)

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from . import campaign
 from .functions import terrain, text
 from .operators import bits, blocks, components, density, generators, grid, measures, reach, tiles
-from .plans.checkpoints import cut_compact
+from .plans.checkpoints import cut_compact, written
 from .sources import maps, pictures
 
 W, TILE = 50, 4
@@ -401,9 +401,8 @@ def two_hop_label_sizes(spark, d):
 
 @_query(_answers("random"))
 def pairs_two_hop(spark, d):
-    out, into = reach.two_hop_labels(reach.reflexive(reach.closure(edges("random", spark, d)), cells(spark, d).select("v")))
-    asked = workload(spark, d).join(out.withColumnRenamed("v", "source"), "source").join(into.withColumnRenamed("v", "target"), "target")
-    return asked.select("qid", "source", "target", F.arrays_overlap("l_out", "l_in").alias("reachable"))
+    """By labels of hubs in the order of their degrees, pruned where earlier ones answer."""
+    return reach.answer_by_labels(workload(spark, d), *reach.landmark_labels(edges("random", spark, d)))
 
 
 _RELATION = "m AS (SELECT DISTINCT l_suppkey AS i, l_linenumber AS j FROM lineitem)"
@@ -556,9 +555,9 @@ def seam_edges(spark, d):
 
 def _index(spark, d):
     """Edges, tiled cells, ports, closures inside tiles, port graph."""
-    e, t = edges("random", spark, d), tiled(spark, d)
-    ports, local = grid.ports_of(t), tiles.local_closure(e, t)
-    return e, t, ports, local, tiles.port_graph(local, ports, grid.seams_of(e, t))
+    e, t = written(edges("random", spark, d)), written(tiled(spark, d))
+    ports, local = written(grid.ports_of(t)), written(tiles.local_closure(e, t))
+    return e, t, ports, local, written(tiles.port_graph(local, ports, grid.seams_of(e, t)))
 
 
 #: Closures of the edges inside regions of ``r(v, region, x, y, passable)``.

@@ -142,8 +142,9 @@ class _Block:
         np.bitwise_or.at(rows, (at[here], word[here]), bits.view(_U)[here])
         return rows
 
-    def spread(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the bits get inside the block, and what gets to the vertices outside that it leads to."""
+    def spread(self, rows: np.ndarray, walls: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Where the bits get inside the block, and what gets to the vertices outside that it leads to; ``walls`` hold bits that a vertex doesn't let in."""
+        rows = rows if walls is None else rows & ~walls
         found, out, fresh = rows.copy(), np.zeros((len(self.far), self.words), dtype=_U), rows.copy()
         active = np.flatnonzero(fresh.any(1))
         while len(active):
@@ -155,7 +156,7 @@ class _Block:
                 to, of = self.targets[edge[at : at + _STEP]], source[at : at + _STEP]
                 for inside, into, index in ((to >= 0, reached, to), (to < 0, out, -1 - to)):
                     _merge(into, index[inside], fresh, of[inside])
-            fresh = reached & ~found
+            fresh = reached & ~found if walls is None else reached & ~found & ~walls
             found |= fresh
             active = np.flatnonzero(fresh.any(1))
         return found, out
@@ -179,15 +180,17 @@ def _structs(column: pa.Array) -> list[list[np.ndarray]]:
 
 
 def _units(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple]:
-    """(block, group, the block unpacked, bit rows that arrive, asked bits or None, weights or None, row) of joined rows."""
+    """(group, the block unpacked, where the bits get in it, what leaves it, bits that arrived, asked bits or None, weights or None, row) of joined rows."""
     for b in batches:
         names = b.schema.names
         col = {n: b.column(i) for i, n in enumerate(names)}
         arrivals = _structs(col["arrivals"])
-        asked, weights = (_structs(col[n]) if n in col else None for n in ("asked", "weights"))
+        asked, weights, walls = (_structs(col[n]) if n in col else None for n in ("asked", "weights", "walls"))
         for i in range(b.num_rows):
             block = _Block(*(col[n][i].as_py() for n in ("ids", "ends", "targets", "far")), words)
-            yield col["block"][i].as_py(), col["group"][i].as_py(), block, block.place(*arrivals[i]), asked and asked[i], weights and weights[i], col["pieces"][i].as_py()
+            rows = block.place(*arrivals[i])
+            found, out = block.spread(rows, walls and block.place(*walls[i]))
+            yield col["group"][i].as_py(), block, found, out, rows, asked and asked[i], weights and weights[i], {n: col[n][i].as_py() for n in ("block", "pieces")}
 
 
 _BITS = "block long, group long, v long, word int, bits long"
@@ -208,10 +211,9 @@ _TRAVELS, _FOUND = 0, 1
 
 def _step(words: int, final: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group, block, rows, asked, _, pieces in _units(batches, words):
-            found, out = block.spread(rows)
+        for group, block, found, out, rows, asked, _, row in _units(batches, words):
             made = [] if final else [_flat(_TRAVELS, group, block.far, out)]
-            if pieces > 1 and not final:
+            if row["pieces"] > 1 and not final:
                 made.append(_flat(_TRAVELS, group, block.ids, found & ~rows))  # for the block's other pieces
             if asked is not None:
                 made.append(_flat(_FOUND, group, block.ids, found & block.place(*asked)))
@@ -222,8 +224,7 @@ def _step(words: int, final: bool = False):
 
 def _count(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group, block, rows, _, weights, _ in _units(batches, words):
-            found, _ = block.spread(rows)
+        for group, block, found, _, _, _, weights, _ in _units(batches, words):
             total = np.zeros(words * 64, dtype=np.int64)
             weight = np.ones(len(block.ids), dtype=np.int64)
             if weights is not None and len(weights[0]):
@@ -241,8 +242,7 @@ def _count(words: int):
 
 def _pairs(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group, block, rows, *_ in _units(batches, words):
-            found, _ = block.spread(rows)
+        for group, block, found, *_ in _units(batches, words):
             step = max(1, _BATCH // (words * 64))
             for at in range(0, len(found), step):
                 v, bit = np.nonzero(np.unpackbits(found[at : at + step].view(np.uint8), axis=1, bitorder="little"))
@@ -254,14 +254,13 @@ def _pairs(words: int):
 
 def _matrix(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, group, block, rows, *_ in _units(batches, words):
-            found, _ = block.spread(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([group]), pa.array([block.ids.tobytes()], pa.binary()), pa.array([found.tobytes()], pa.binary())], ["block", "group", "ids", "rows"])
+        for group, block, found, *_, row in _units(batches, words):
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([group]), pa.array([block.ids.tobytes()], pa.binary()), pa.array([found.tobytes()], pa.binary())], ["block", "group", "ids", "rows"])
 
     return run
 
 
-def _word(bit: str) -> tuple[Column, Column]:
+def word_of(bit: str) -> tuple[Column, Column]:
     """The word that a bit is in, and a long with only that bit."""
     return F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col(bit) % 64).alias("bits")
 
@@ -285,9 +284,11 @@ class Search:
     arrived: DataFrame
     found: DataFrame | None
     frontiers: list[int] = field(default_factory=list)
+    walls: DataFrame | None = None
 
     def _whole(self) -> DataFrame:
-        return self.graph.rows.filter("piece = 0").join(_listed(_merged(self.arrived), "arrivals"), "block")
+        whole = self.graph.rows.filter("piece = 0").join(_listed(_merged(self.arrived), "arrivals"), "block")
+        return whole if self.walls is None else whole.join(self.walls, ["block", "group"], "left")
 
     def matrix(self) -> DataFrame:
         """(block, group, ids, rows): the closure's bit rows, a bit for each source of the group, of the vertices ``ids``."""
@@ -316,7 +317,7 @@ class Search:
         if found is None:
             asked = _listed(_asked(self.graph, self.numbers, pairs), "asked")
             found = self._whole().join(asked, ["block", "group"]).mapInArrow(_step(self.words, final=True), "kind int, group long, v long, word int, bits long").filter(F.col("kind") == _FOUND)
-        word, bits = _word("bit")
+        word, bits = word_of("bit")
         numbered = pairs.select("qid", "source", "target").join(self.numbers.select(F.col("seed").alias("source"), "group", "bit"), "source", "left").select("*", word, bits)
         hit = found.groupBy("group", F.col("v").alias("target"), "word").agg(F.bit_or("bits").alias("hit"))
         out = numbered.join(hit, ["group", "target", "word"], "left")
@@ -342,14 +343,19 @@ def _numbered(graph: Graph, seeds: DataFrame, sources: int) -> tuple[DataFrame,
 def _asked(graph: Graph, numbers: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs' bits: (block, group, v, word, bits) of their targets."""
     ends = pairs.filter("source <> target").select(F.col("source").alias("seed"), F.col("target").cast("long").alias("v")).distinct().join(numbers, "seed")
-    word, bits = _word("bit")
+    word, bits = word_of("bit")
     return _merged(ends.select(graph.of("v").alias("block"), "group", "v", word, bits))
 
 
-def search(graph: Graph, seeds: DataFrame, pairs: DataFrame | None = None, sources: int = SOURCES) -> Search:
-    """What the seeds (seed) reach; with ``pairs`` (source, target) only until all are answered, and from those of their sources still open."""
+def search(graph: Graph, seeds: DataFrame, pairs: DataFrame | None = None, sources: int = SOURCES, walls: Callable[[DataFrame], DataFrame] | None = None) -> Search:
+    """What the seeds (seed) reach; with ``pairs`` (source, target) only until all are answered, and from those of their sources still open.
+
+    ``walls`` makes, of the sources' numbers (seed, group, bit), rows (group, v, word, bits): the
+    sources that a vertex doesn't let in, so that they neither reach it nor pass it.
+    """
     numbers, words = _numbered(graph, seeds, sources)
-    word, bits = _word("bit")
+    shut = None if walls is None else written(_listed(_merged(walls(numbers).withColumn("block", graph.of("v"))), "walls"))
+    word, bits = word_of("bit")
     new = numbers.select(graph.of("seed").alias("block"), "group", F.col("seed").alias("v"), word, bits)
     new = written(_merged(new))
     arrived, found, frontiers = new, None, []
@@ -359,6 +365,8 @@ def search(graph: Graph, seeds: DataFrame, pairs: DataFrame | None = None, sourc
         units = graph.rows.join(_listed(new, "arrivals"), "block")
         if asked is not None:
             units = units.join(_listed(open_, "asked"), ["block", "group"], "left")
+        if shut is not None:
+            units = units.join(shut, ["block", "group"], "left")
         out = units.mapInArrow(_step(words), "kind int, group long, v long, word int, bits long")
         out = _merged(out.withColumn("block", graph.of("v")), "kind")
         fresh = out.join(_merged(arrived).withColumnRenamed("bits", "old"), keys, "left")
@@ -384,4 +392,4 @@ def search(graph: Graph, seeds: DataFrame, pairs: DataFrame | None = None, sourc
         arrived = arrived.union(new)
         if turn % MERGE == 0:
             arrived = written(_merged(arrived))
-    return Search(graph, numbers, words, arrived, found, frontiers)
+    return Search(graph, numbers, words, arrived, found, frontiers, shut)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.checkpoints import cut_compact, written
 from ..plans.shipping import ship
@@ -349,6 +350,57 @@ def two_hop_labels(reach: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, into
 
 
+def landmark_labels(edges: DataFrame, first: int = 64, growth: int = 4, memory_cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(v, hub) of hubs that v reaches, and of those that reach it: two vertices are connected where they share a hub.
+
+    Vertices become hubs by falling product of their degrees, in batches of about ``first``,
+    ``first * growth`` and so on, so there are logarithmically many. A hub's search, forward and
+    backward, doesn't enter a vertex whose connection with it earlier batches' hubs tell already; the
+    hub of the earliest batch on all paths between two vertices is never kept from either. Only
+    vertices with an arc have labels. With a ``memory_cap``, ``SkippedByPolicy`` is raised after a
+    batch if the labels' bytes (24 for each list, 8 for each hub) are more.
+    """
+    graph = blocks.build(edges)
+    back = blocks.build(graph.arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    ends = lambda c, name: graph.arcs.groupBy(F.col(c).alias("v")).agg((F.count("*") + 1).alias(name))
+    degrees = ends("src", "o").join(ends("dst", "i"), "v", "full").select("v", (F.coalesce("o", F.lit(1)) * F.coalesce("i", F.lit(1))).alias("score"))
+    degrees = written(degrees)
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = degrees.groupBy("score").agg(F.count("*").alias("n")).withColumn("before", before)  # a row for each different score
+    batch = F.floor(F.log(float(growth), F.col("before") * (growth - 1) / first + 1)).cast("int")
+    hubs = written(degrees.join(counts.select("score", batch.alias("batch")), "score").select("v", "batch"))
+    out = into = written(hubs.filter("false").select("v", F.col("v").alias("hub")))
+    for k in [r[0] for r in hubs.select("batch").distinct().orderBy("batch").collect()]:
+        seeds = hubs.filter(F.col("batch") == k).select(F.col("v").alias("seed"))
+        word, bits = blocks.word_of("bit")
+
+        def walls(own: DataFrame, others: DataFrame) -> Callable[[DataFrame], DataFrame]:
+            def made(numbers: DataFrame) -> DataFrame:
+                known = own.withColumnRenamed("v", "seed").join(numbers, "seed").select("hub", "group", word, bits)
+                known = known.groupBy("hub", "group", "word").agg(F.bit_or("bits").alias("bits"))
+                return others.join(known, "hub").groupBy("group", "v", "word").agg(F.bit_or("bits").alias("bits"))
+
+            return made
+
+        forth = blocks.search(graph, seeds, walls=walls(out, into)).pairs().select(F.col("dst").alias("v"), F.col("src").alias("hub"))
+        to = blocks.search(back, seeds, walls=walls(into, out)).pairs().select(F.col("dst").alias("v"), F.col("src").alias("hub"))
+        itself = seeds.select(F.col("seed").alias("v"), F.col("seed").alias("hub"))
+        into, out = written(into.union(forth).union(itself)), written(out.union(to).union(itself))
+        if memory_cap is not None and (size := 48 * degrees.count() + 8 * (into.count() + out.count())) > memory_cap:
+            raise SkippedByPolicy(f"labels of {size} bytes, more than {memory_cap}")
+    return out, into
+
+
+def answer_by_labels(pairs: DataFrame, out: DataFrame, into: DataFrame) -> DataFrame:
+    """(qid, source, target, reachable): a vertex reaches itself, and those with which it shares a hub."""
+    pairs = cut_compact(pairs.select("qid", "source", "target"))
+    up = pairs.join(out.withColumnRenamed("v", "source"), "source").select("qid", "hub")
+    down = pairs.join(into.withColumnRenamed("v", "target"), "target").select("qid", "hub")
+    hit = up.join(down, ["qid", "hub"], "left_semi").select("qid").distinct().withColumn("hit", F.lit(True))
+    found = pairs.join(hit, "qid", "left")
+    return found.select("qid", "source", "target", F.coalesce(F.col("hit"), F.col("source") == F.col("target"), F.lit(False)).alias("reachable"))
+
+
 def answer(pairs: DataFrame, reach: DataFrame) -> DataFrame:
     """(qid, source, target) -> with reachable, by a reflexive closure or the part of it that holds the sources."""
     asked = pairs.select("source", "target").distinct()
