@@ -8,6 +8,7 @@ tables, or where there is nothing to compute it from, a query has none and is te
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 from . import campaign
 from .functions import terrain, text
 from .operators import bits, blocks, components, density, generators, grid, measures, reach, tiles
-from .plans.checkpoints import cut_compact, written
+from .plans.checkpoints import cut_compact, shared_dir, written
 from .sources import maps, pictures
 
 W, TILE = 50, 4
@@ -663,11 +664,25 @@ def density_sample(spark, d):
     return _sampled(spark, d).select("v", F.round("f", 9).alias("f"))
 
 
-@_query(f"""WITH RECURSIVE {_SHARES}, run AS (SELECT row_number() OVER o AS n, avg(f) OVER o AS mean, var_pop(f) OVER o AS var FROM f
-  WINDOW o AS (ORDER BY ((v * 7919) % 1000003) * ((v * 7919) % 1000003) % 1000003, v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT n, round(mean, 6) AS mean, round(sqrt(var / n), 6) AS error FROM run WHERE n >= 64 AND (n - 64) % 32 = 0""")
+_ROUNDS = f"""{_SHARES}, run AS (SELECT row_number() OVER o AS n, avg(f) OVER o AS mean, var_pop(f) OVER o AS var FROM f
+  WINDOW o AS (ORDER BY ((v * 7919) % 1000003) * ((v * 7919) % 1000003) % 1000003, v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  r AS (SELECT n, mean, sqrt(var / n) AS error FROM run WHERE n >= {density.FIRST} AND (n - {density.FIRST}) % {density.STEP} = 0),
+  b AS (SELECT *, lag(mean) OVER (ORDER BY n) AS m, lag(error) OVER (ORDER BY n) AS e FROM r),
+  c AS (SELECT *, abs(mean - m) <= greatest({density.MEAN_FLOOR}, {density.MEAN_SHARE} * greatest(mean, m)) AND abs(error - e) <= greatest({density.ERROR_FLOOR}, {density.ERROR_SHARE} * greatest(error, e)) AS calm FROM b),
+  s AS (SELECT n, mean, error, coalesce(sum(CASE WHEN calm THEN 1 ELSE 0 END) OVER (ORDER BY n ROWS BETWEEN {density.STABLE_ROUNDS - 1} PRECEDING AND CURRENT ROW), 0) >= {density.STABLE_ROUNDS} AS stable FROM c)"""
+
+
+@_query(f"WITH RECURSIVE {_ROUNDS} SELECT n, round(mean, 6) AS mean, round(error, 6) AS error, stable FROM s")
 def density_rounds(spark, d):
-    return density.rounds(_sampled(spark, d)).select(F.col("n").cast("long").alias("n"), F.round("mean", 6).alias("mean"), F.round("error", 6).alias("error"))
+    return density.rounds(_sampled(spark, d)).select(F.col("n").cast("long").alias("n"), F.round("mean", 6).alias("mean"), F.round("error", 6).alias("error"), "stable")
+
+
+@_query(f"WITH RECURSIVE {_ROUNDS} SELECT n, round(mean, 6) AS mean, round(error, 6) AS error, stable FROM s ORDER BY stable DESC, CASE WHEN stable THEN n ELSE -n END LIMIT 1")
+def density_stepwise(spark, d):
+    """Searched batch by batch until the estimate is stable; later sources are never searched from."""
+    steps = density.Steps.begin(edges("random", spark, d), passable(spark, d), f"{shared_dir(spark)}/density_{uuid.uuid4().hex}")
+    now = steps.run()
+    return spark.createDataFrame([(now.estimate.sources, round(now.estimate.mean, 6), round(now.estimate.error, 6), now.stable)], "n long, mean double, error double, stable boolean")
 
 
 # Text of maps and pictures ---------------------------------------------------------------------

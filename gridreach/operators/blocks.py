@@ -357,7 +357,7 @@ def search(graph: Graph, seeds: DataFrame, pairs: DataFrame | None = None, sourc
     shut = None if walls is None else written(_listed(_merged(walls(numbers).withColumn("block", graph.of("v"))), "walls"))
     word, bits = word_of("bit")
     new = numbers.select(graph.of("seed").alias("block"), "group", F.col("seed").alias("v"), word, bits)
-    new = written(_merged(new))
+    new = _merged(new)
     arrived, found, frontiers = new, None, []
     open_ = asked = written(_asked(graph, numbers, pairs)) if pairs is not None else None
     keys = ["block", "group", "v", "word"]
