@@ -13,7 +13,8 @@ by the rows. They cover all rows.
 
 Defined results: a null text is an empty one, which has no spans; repeated rows give their result
 again and count again; of spans that start together the kind listed first comes first; very long texts
-are searched whole, in time that grows with their length; an empty table gives no rows; other columns,
+are searched whole, in time that grows with their length and with the square of their candidates' number
+(each wider span is compared with all others); an empty table gives no rows; other columns,
 whatever their names, are ignored, or kept by ``mask``.
 """
 

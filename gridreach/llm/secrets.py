@@ -21,9 +21,11 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -333,7 +335,9 @@ def find_spans(text: str, field: Field) -> list[tuple[int, int, str]]:
     if not labels:
         return base
     # Words that touch a base span are left out of a decoded span; what is left on either side stays.
-    touches = lambda a, b: any(s < b and a < e for s, e, _ in base)
+    # Of the base spans that start before b, one goes beyond a if the farthest does.
+    starts, farthest = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
+    touches = lambda a, b: (k := bisect_left(starts, b)) > 0 and farthest[k - 1] > a
     added: list[list[int]] = []
     last = -1
     for i, m in enumerate(_WORDS.finditer(text)):

@@ -10,8 +10,9 @@ The driver holds one row of counts per partition: numbers that grow with the par
 the rows. Where a shard's blocks start is counted in a table.
 
 Defined results: null ids and texts are rows like any other; repeated rows each get a slot; an
-empty table gives no rows; other columns are kept or ignored as the caller selects them, except
-that ``shard`` and ``slot`` are replaced.
+empty table gives no rows; other columns, whatever their names, are kept as they are, except that
+``shard`` and ``slot``, in whatever case, are replaced; rows whose random keys are equal (some 1 in
+10^18) have slots in the order in which they are met.
 """
 
 from __future__ import annotations
@@ -74,7 +75,8 @@ def deal(docs: DataFrame, shards: int, seed: int = 0, block_rows: int = BLOCK_RO
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(*[c for c in docs.columns if c not in ("shard", "slot")])
+    kept = [(i, c) for i, c in enumerate(docs.columns) if c.lower() not in ("shard", "slot")]
+    docs = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))]).select(*[f"__c{i}" for i, _ in kept])  # by position, so no name clashes
     # Fixed files: a recomputed task meets the same partitions and the same order of rows.
     fixed = cut(docs)
     counts = {r["p"]: r["n"] for r in fixed.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
@@ -107,4 +109,4 @@ def deal(docs: DataFrame, shards: int, seed: int = 0, block_rows: int = BLOCK_RO
     first = dealt.groupBy("shard", "__block").agg(F.count("*").alias("n")).select("shard", "__block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("__start"))
     dealt = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("shard", "__block").orderBy("__key")))
     placed = dealt.join(first, ["shard", "__block"])
-    return placed.select(*docs.columns, "shard", (F.col("__start") + F.col("__rank") - 1).alias("slot"))
+    return placed.select(*[F.col(f"__c{i}").alias(c) for i, c in kept], "shard", (F.col("__start") + F.col("__rank") - 1).alias("slot"))
