@@ -246,11 +246,16 @@ def reach_set(spark, d):
     return reach.reached(edges("random", spark, d), passable(spark, d).select(F.col("v").alias("seed")))
 
 
-@_query()
+_SUPPLIES = """arcs AS (SELECT DISTINCT CASE WHEN l_partkey % 2 = 0 THEN l_suppkey * 2 ELSE l_partkey * 2 + 1 END AS src, CASE WHEN l_partkey % 2 = 0 THEN l_partkey * 2 + 1 ELSE l_suppkey * 2 END AS dst FROM lineitem)"""
+
+
+# A depth beyond 12 in this graph would show as rows that only the query has.
+@_query(f"""WITH RECURSIVE {_SUPPLIES}, h AS (SELECT DISTINCT src AS seed, src AS v, 0 AS depth FROM arcs WHERE src % 20 = 0
+  UNION SELECT seed, dst, depth + 1 FROM h JOIN arcs ON v = src WHERE depth < 12) SELECT seed, v, min(depth) AS depth FROM h GROUP BY seed, v""")
 def hop_depth(spark, d):
-    """Hops from every vertex with arcs. SQL would keep every depth of a cyclic graph."""
+    """Hops from every vertex with arcs whose id is divisible by 20."""
     e = supplies(spark, d)
-    return reach.frontier(e, e.select(F.col("src").alias("seed")).distinct())
+    return reach.frontier(e, e.filter("src % 20 = 0").select(F.col("src").alias("seed")).distinct())
 
 
 def _search(mode, spark, d):
@@ -313,6 +318,13 @@ def cc_members(spark, d):
     return components.members(labels, labels.filter("v % 100 < 3"))
 
 
+@_query(f"""WITH RECURSIVE {_edges('random')}, u AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), c AS (SELECT a AS v, a AS m FROM u UNION SELECT c.v, u.b FROM c JOIN u ON c.m = u.a)
+SELECT v, min(m) AS component FROM c GROUP BY v""")
+def cc_grid(spark, d):
+    """Of a graph with branches and cycles, each vertex with the smallest one that it is connected with."""
+    return components.connected_components(edges("random", spark, d))
+
+
 @_query(f"WITH RECURSIVE {_reach('bidirectional')}, c AS (SELECT src, min(dst) AS component FROM reach GROUP BY src) SELECT count(*) AS components, max(n) AS largest FROM (SELECT count(*) AS n FROM c GROUP BY component)")
 def cc_passable(spark, d):
     """Connected passable areas, single cells among them."""

@@ -31,6 +31,7 @@ class SkippedByPolicy(RuntimeError):
 
 def frontier(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, v, depth): what each seed reaches, itself included, and in how many hops at least."""
+    edges = written(edges.select("src", "dst"))  # read once, not on every level
     found = cut_compact(seeds.select("seed", F.col("seed").alias("v"), F.lit(0).alias("depth")).distinct())
     front, depth = found, 0
     while not front.isEmpty():
@@ -238,48 +239,63 @@ def compressed_counts(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return of.select("v", F.coalesce("reached", F.lit(1)).alias("reached"))
 
 
-def interval_labels(edges: DataFrame, trees: int = 5, seed: int = 0, task_edges: int = TASK_EDGES) -> DataFrame:
-    """(v, tree, part, pre, post): visits of ``trees`` depth-first forests, each in a random order of its own.
+def _jumped(rows: DataFrame, join: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Rows (tree, v, up, ...) with ``up`` doubled until it is null everywhere; ``join`` makes the next rows of these and of those at ``up``."""
+    left = -1
+    while left:
+        seen = Observation()
+        rows = written(rows.observe(seen, F.count("up").alias("left")))
+        left = seen.get["left"]
+        if left:
+            rows = join(rows, rows.select("tree", *[F.col(c).alias(f"{c}_" if c != "v" else "up") for c in rows.columns if c != "tree"]))
+    return rows
 
-    An interval inside another of the same tree and part is a descendant's: a certain path. Nothing
-    follows from intervals apart. A depth-first visit is one task's for a weakly connected part, so
-    the largest part's edges are counted first; ``SkippedByPolicy`` if they are more than ``task_edges``.
+
+def spanning_forests(arcs: DataFrame, nodes: DataFrame, trees: int, seed: int) -> DataFrame:
+    """(tree, v, root, pre, post): random spanning forests of an acyclic graph, as intervals of their depth-first visits.
+
+    Each vertex takes a random one of its predecessors as its parent, so nothing is searched. Sizes of
+    subtrees and sums of offsets along the ways to the roots come by pointer jumping: there are as many
+    rounds as the depth has binary digits. A vertex's interval is [pre, post), the root's starts at 0,
+    and holds just its descendants'.
     """
-    edges = cut_compact(edges.select("src", "dst").filter("src <> dst"), 200_000)
-    parts = connected_components(edges)
-    largest = _large_parts(edges, parts, task_edges).agg(F.max("count")).first()[0]
-    if largest:
-        raise SkippedByPolicy(f"a part of {largest} edges, above {task_edges}")
+    tree = F.explode(F.array(*map(F.lit, range(trees)))).alias("tree")
+    chosen = arcs.select("src", "dst", tree).groupBy("tree", F.col("dst").alias("v")).agg(F.min_by("src", F.xxhash64("tree", "src", "dst", F.lit(seed))).alias("parent"))
+    all_ = written(nodes.select("v", tree).join(chosen, ["tree", "v"], "left"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, src, dst = _local(pdf)
-        n, part = len(ids), pdf["component"].iloc[0]
-        out = []
-        for tree in range(trees):
-            order = np.random.default_rng([seed, tree, int(part) & 0x7FFFFFFF]).permutation(n)
-            place = np.argsort(order)
-            after: list[list[int]] = [[] for _ in range(n)]
-            for k in np.argsort(place[dst], kind="stable"):
-                after[src[k]].append(int(dst[k]))
-            pre, post, clock = np.full(n, -1), np.zeros(n, dtype=np.int64), 0
-            for root in order.tolist():
-                if pre[root] >= 0:
-                    continue
-                pre[root], clock = clock, clock + 1
-                work = [(root, iter(after[root]))]
-                while work:
-                    v, rest = work[-1]
-                    w = next((w for w in rest if pre[w] < 0), None)
-                    if w is None:
-                        work.pop()
-                        post[v], clock = clock, clock + 1
-                    else:
-                        pre[w], clock = clock, clock + 1
-                        work.append((w, iter(after[w])))
-            out.append(pd.DataFrame({"v": ids, "tree": tree, "part": part, "pre": pre, "post": post}))
-        return pd.concat(out)
-
-    return _by_part(edges, run, "v long, tree int, part long, pre long, post long", parts)
+    def grown(rows: DataFrame, above: DataFrame) -> DataFrame:
+        more = rows.filter("up IS NOT NULL").groupBy("tree", F.col("up").alias("v")).agg(F.sum("size").alias("more"))
+        further = rows.join(above.select("tree", "up", "up_"), ["tree", "up"], "left").select("tree", "v", F.col("up_").alias("up"), "size")
+        return further.join(more, ["tree", "v"], "left").select("tree", "v", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+
+    sizes = _jumped(all_.select("tree", "v", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")), grown).select("tree", "v", "size")
+    # a child starts after its parent and the siblings before it; siblings are dealt so that a hub's are many tasks'
+    born = written(all_.join(sizes, ["tree", "v"]).withColumn("deal", F.pmod(F.xxhash64("v", "tree"), F.lit(256)).cast("int")))
+    before = lambda *keys: Window.partitionBy("tree", "parent", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    children = born.filter("parent IS NOT NULL")
+    deals = children.groupBy("tree", "parent", "deal").agg(F.sum("size").alias("n")).select("tree", "parent", "deal", F.coalesce(F.sum("n").over(before("deal")), F.lit(0)).alias("first"))
+    inner = children.select("tree", "v", "parent", "deal", F.coalesce(F.sum("size").over(before("deal", "v")), F.lit(0)).alias("here")).join(deals, ["tree", "parent", "deal"])
+    offsets = inner.select("tree", "v", (F.col("here") + F.col("first") + 1).alias("pre"))
+    start = born.join(offsets, ["tree", "v"], "left").select("tree", "v", F.col("parent").alias("up"), F.coalesce("pre", F.lit(0)).alias("pre"), F.coalesce("parent", "v").alias("root"))
+
+    def summed(rows: DataFrame, above: DataFrame) -> DataFrame:
+        both = rows.join(above, ["tree", "up"], "left")
+        return both.select("tree", "v", F.col("up_").alias("up"), (F.col("pre") + F.coalesce("pre_", F.lit(0))).alias("pre"), F.coalesce("root_", "root").alias("root"))
+
+    placed = _jumped(start, summed)
+    return placed.join(sizes, ["tree", "v"]).select("tree", "v", "root", "pre", (F.col("pre") + F.col("size")).alias("post"))
+
+
+def interval_labels(edges: DataFrame, trees: int = 5, seed: int = 0) -> DataFrame:
+    """(v, tree, part, pre, post): intervals of ``trees`` spanning forests of the graph of strong components, each random in its own way.
+
+    An interval inside another of the same tree and part is a descendant's: a certain path. Nothing
+    follows from intervals apart. Vertices of a strong component share its interval.
+    """
+    edges = written(edges.select("src", "dst").filter("src <> dst").distinct())
+    comps = written(strong_components(edges))
+    forests = spanning_forests(written(condensation(edges, comps).toDF("src", "dst")), comps.select(F.col("comp").alias("v")).distinct(), trees, seed)
+    return comps.join(forests.withColumnRenamed("v", "comp"), "comp").select("v", "tree", F.col("root").alias("part"), "pre", "post")
 
 
 def answer_by_intervals(pairs: DataFrame, labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -290,8 +306,7 @@ def answer_by_intervals(pairs: DataFrame, labels: DataFrame, edges: DataFrame) -
     sure = both.select("qid").distinct().withColumn("sure", F.lit(True))
     known = cut_compact(pairs.join(sure, "qid", "left").withColumn("certified", F.coalesce("sure", F.lit(False)) | (F.col("source") == F.col("target"))).drop("sure"))
     left = known.filter("NOT certified")
-    found = frontier(edges, left.select(F.col("source").alias("seed")).distinct()).select(F.col("seed").alias("source"), F.col("v").alias("target"), F.lit(True).alias("hit"))
-    searched = left.join(found, ["source", "target"], "left").select("qid", "source", "target", F.coalesce("hit", F.lit(False)).alias("reachable"), "certified")
+    searched = answer_by_search(left, edges).withColumn("certified", F.lit(False))
     return known.filter("certified").select("qid", "source", "target", F.lit(True).alias("reachable"), "certified").union(searched)
 
 

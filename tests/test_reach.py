@@ -53,13 +53,33 @@ def test_memory_cap(spark):
 
 
 def test_large_parts(spark):
-    """Coloured by all executors beside parts that tasks hold; loops and repeated edges change nothing; intervals are refused."""
+    """Coloured by all executors beside parts that tasks hold; loops and repeated edges change nothing."""
     edges = [(1, 2), (2, 1), (2, 2), (5, 6), (6, 7), (7, 8), (8, 5), (8, 9), (9, 10), (10, 9), (4, 5), (4, 5)]
     df = spark.createDataFrame(edges, "src long, dst long")
     got = {r["v"]: r["comp"] for r in reach.strong_components(df, task_edges=4).collect()}
     assert got == {1: 1, 2: 1, 4: 4, 5: 5, 6: 5, 7: 5, 8: 5, 9: 9, 10: 9}
-    with pytest.raises(reach.SkippedByPolicy):
-        reach.interval_labels(df, task_edges=4)
+
+
+@pytest.mark.parametrize("name", ["diamond", "two_cycles_in_a_chain", "random"])
+def test_intervals_are_certificates(spark, name):
+    """Inside one another only where there is a path, laminar, and as wide as their subtrees."""
+    want = brute(GRAPHS[name])
+    labels = reach.interval_labels(spark.createDataFrame(GRAPHS[name], "src long, dst long"), trees=3)
+    rows = [tuple(r) for r in labels.collect()]
+    assert len(rows) == 3 * len([v for v in want if any(v in e and e[0] != e[1] for e in GRAPHS[name])])
+    certain = 0
+    for s, tree, part, a, b in rows:
+        for t, other, same, c, d in rows:
+            if (tree, part) == (other, same):
+                assert b <= c or d <= a or a <= c and d <= b or c <= a and b <= d
+                if s != t and a <= c and d <= b:
+                    certain += 1
+                    assert t in want[s]
+    assert certain
+    star = spark.range(1, 300).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    chain = spark.range(300, 340).select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"))
+    got = {r["v"]: (r["pre"], r["post"]) for r in reach.interval_labels(star.union(chain), trees=1).collect()}
+    assert got[0] == (0, 340) and got[299][1] - got[299][0] == 41 and sorted(p for p, _ in got.values()) == list(range(340))
 
 
 @pytest.mark.parametrize(("size", "tile", "want"), [(8, 4, 2), (9, 4, 2), (10, 4, 3), (5, 4, 1), (3, 4, 1)])
