@@ -649,11 +649,32 @@ def region_tree(spark, d):
     return tiles.region_tree(_levels(spark, d))
 
 
-@_query()
+#: All levels at once: cells' regions, closures inside regions, ports on regions' edges, and the ports that a level's closure runs over (all cells on level 0).
+_ALL_LEVELS = f"""{_edges('random')}, tiled AS (SELECT *, {_tile_of('x', 'y')} AS tile FROM cells), levels AS (SELECT 0 AS level, 1 AS side, {_ACROSS} AS wide, {_LAST} + 1 AS high UNION ALL SELECT level + 1, side * 2, (wide + 1) // 2, (high + 1) // 2 FROM levels WHERE wide * high > 1),
+  r AS (SELECT level, v, x, y, passable, (tile // {_ACROSS} // side) * wide + (tile % {_ACROSS}) // side AS region FROM tiled, levels),
+  inner_edges AS (SELECT a.level, src, dst FROM edges JOIN r a ON a.v = src JOIN r b ON b.v = dst AND b.level = a.level AND b.region = a.region),
+  loc AS (SELECT level, region, v AS src, v AS dst FROM r WHERE passable UNION SELECT l.level, l.region, l.src, e.dst FROM loc l JOIN inner_edges e ON e.level = l.level AND e.src = l.dst),
+  box AS (SELECT level, region, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM r GROUP BY level, region),
+  ports AS (SELECT level, region, v FROM r JOIN box USING (level, region) WHERE passable AND (x IN (x0, x1) OR y IN (y0, y1))),
+  inner_ports AS (SELECT 0 AS level, v FROM cells WHERE passable UNION ALL SELECT p.level + 1, v FROM ports p JOIN levels l ON l.level = p.level + 1)"""
+
+
+@_query(f"""WITH RECURSIVE {_ALL_LEVELS},
+  n AS (SELECT level, region, count(*) AS n FROM inner_ports JOIN r USING (level, v) GROUP BY level, region),
+  c AS (SELECT l.level, count(*) AS pairs FROM loc l JOIN inner_ports a ON a.level = l.level AND a.v = l.src JOIN inner_ports b ON b.level = l.level AND b.v = l.dst GROUP BY l.level)
+SELECT level, (SELECT count(DISTINCT region) FROM r WHERE r.level = levels.level) AS regions, (SELECT count(*) FROM ports p WHERE p.level = levels.level) AS ports, pairs,
+  (SELECT CAST(sum(n * ((n + 63) // 64) * 8) AS BIGINT) FROM n WHERE n.level = levels.level) AS bytes FROM levels JOIN c USING (level)""")
 def level_statistics(spark, d):
     return tiles.level_statistics(_levels(spark, d))
 
 
+@_query(f"""WITH RECURSIVE {_ALL_LEVELS}, c AS (SELECT l.level, count(*) AS n FROM loc l JOIN ports a ON a.level = l.level AND a.v = l.src JOIN ports b ON b.level = l.level AND b.v = l.dst WHERE l.src <> l.dst GROUP BY l.level)
+SELECT level, coalesce(n, 0) AS composed, coalesce(n, 0) AS flat, 0 AS differences FROM levels LEFT JOIN c USING (level)""")
+def summary_check(spark, d):
+    """Each level's composed summary beside the one cut from the flat port graph."""
+    return tiles.composition_check(_levels(spark, d), _index(spark, d)[4])
+
+
 @_query(_answers("random"))
 def pairs_intervals(spark, d):
     e = edges("random", spark, d)

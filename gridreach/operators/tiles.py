@@ -202,6 +202,27 @@ def differences(level: Level, edges: DataFrame) -> DataFrame:
     return mine.exceptAll(both).union(both.exceptAll(mine))
 
 
+def flat_summary(level: Level, graph: DataFrame, memory_cap: int = reach.MEMORY_CAP) -> DataFrame:
+    """(region, src, dst): a level's summary cut from the flat port graph (src, dst), without the levels below: the closure of each region's own arcs at its exterior ports."""
+    region = level.cells.toDF("src", "region")
+    inside = graph.select("src", "dst").join(region, "src").join(level.cells.toDF("dst", "__r"), "dst").filter("region = __r AND src <> dst")
+    closed = _closed_by(inside.select("src", "dst", "region").distinct(), "region", memory_cap)
+    edge = level.exterior.select("v")
+    return closed.join(edge.toDF("src"), "src", "left_semi").join(edge.toDF("dst"), "dst", "left_semi").select("region", "src", "dst")
+
+
+def composition_check(levels: list[Level], graph: DataFrame) -> DataFrame:
+    """(level, composed, flat, differences): how many pairs each level hands up, how many the flat port graph has there, and how many are in one of them only."""
+    out = None
+    for k, level in enumerate(levels):
+        mark = lambda df, c: df.select("region", "src", "dst", F.lit(1 - c).alias("composed"), F.lit(c).alias("flat"))
+        both = mark(summary(level), 0).union(mark(flat_summary(level, graph), 1)).groupBy("region", "src", "dst").agg(F.sum("composed").alias("composed"), F.sum("flat").alias("flat"))
+        sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in ((F.col("composed"), "composed"), (F.col("flat"), "flat"), (F.abs(F.col("composed") - F.col("flat")), "differences"))]
+        part = both.agg(*sums).select(F.lit(k).alias("level"), "*")
+        out = part if out is None else out.union(part)
+    return out
+
+
 class Ledger:
     """Bytes charged against a cap; ``cap`` None: no limit."""
 
