@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from gridreach import catalogue
-from gridreach.operators import reach
+from gridreach.operators import grid, reach
 
 from .test_reach import brute
 
@@ -59,18 +60,31 @@ def test_whole_workload(spark, parts):
     assert got == {(v, v) for v in range(N) if passable(v)} | {(s, t) for s, ts in around.items() for t in ts}
     asked = {tuple(r) for r in run("pair_workload").collect()}
     right = {(q, s, t): s == t or t in around.get(s, ()) for q, s, t in asked}
-    assert len(right) == 2000 and any(v and s != t for (_, s, t), v in right.items())
+    assert len(right) == 2000 and max(t for _, _, t in right) >= N - 20 and max(s for _, s, _ in right) >= N - 20  # all cells may be met
     for name in ("reach_pairs_bfs", "reach_pairs_dfs", "pairs_tile_search", "pairs_intervals"):
         assert {(r["qid"], r["source"], r["target"]): r["reachable"] for r in run(name).collect()} == right, name
 
 
+def test_large_ids_and_seeds(spark, tmp_path):
+    """Parts beyond a million keep apart from suppliers, rows of a relation aren't cut, and whole seeds count."""
+    rows = [(1, 10**7, 4 * 10**6 + 1, 3), (1, 10**7 + 1, 2 * 10**7, 2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    run = lambda name: {tuple(r) for r in catalogue.queries()[name](spark, str(tmp_path)).collect()}
+    assert {tuple(r) for r in catalogue.supplies(spark, str(tmp_path)).collect()} == {(8 * 10**6 + 2, 2 * 10**7 + 1), (2 * 10**7 + 3, 4 * 10**7)}
+    merged = {(i, j) for _, _, s, j in rows for i in (s, s + 1) if i % 3}
+    assert run("bit_rows_merged") == merged
+    pairs = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(0).alias("dir"))
+    turned = [frozenset(tuple(r) for r in grid.orient(pairs, "random", seed=s).collect()) for s in (7, 1007, 7 + grid.PRIME, 7 + (1 << 63))]
+    assert len(set(turned)) == 4
+
+
 def test_all_hops(spark, tmp_path):
-    """Every order's arcs, every seed; a part's parity turns its arc."""
+    """Every order's arcs, every seed divisible by 20; a part's parity turns its arc."""
     rows = [(i, (i * 7) % 23, (i * i) % 13) for i in range(60)]
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
-    arcs = {(s, p + 1000000) if p % 2 == 0 else (p + 1000000, s) for _, p, s in rows}
+    arcs = {(2 * s, 2 * p + 1) if p % 2 == 0 else (2 * p + 1, 2 * s) for _, p, s in rows}
     want = set()
-    for seed in {a for a, _ in arcs}:
+    for seed in {a for a, _ in arcs if a % 20 == 0}:
         seen, front, depth = {seed}, {seed}, 0
         while front:
             want |= {(seed, v, depth) for v in front}
