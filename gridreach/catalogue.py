@@ -210,6 +210,12 @@ def maze_perfect(spark, d):
     return generators.perfect_maze(spark, _suppliers(spark, d), 30)
 
 
+@_query()
+def maze_spanning(spark, d):
+    """A room for each part, joined by a minimum spanning forest of hashed walls."""
+    return generators.spanning_maze(cells(spark, d), W)
+
+
 @_query()
 def maze_opened(spark, d):
     """The maze with 100 further openings."""

@@ -5,10 +5,12 @@ Coins are ``coin``: the same integer arithmetic in any engine. Sizes below 1 giv
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .grid import PRIME, mixed
+from ..plans.checkpoints import written
+from .components import connected_components
+from .grid import PRIME, adjacent_pairs, mixed
 
 
 def coin(a: Column, b: Column, seed: int) -> Column:
@@ -53,6 +55,37 @@ def open_walls(cells: DataFrame, extra: int, seed: int = 0) -> DataFrame:
     return cells.join(chosen, "v", "left").select("v", "x", "y", (F.col("passable") | F.coalesce("__open", F.lit(False))).alias("passable"))
 
 
+def spanning_maze(rooms: DataFrame, width: int, seed: int = 0) -> DataFrame:
+    """(x, y): the open cells of a maze over given rooms (v, x, y; ``width`` a row), joined by a minimum spanning forest of hashed walls.
+
+    Room (x, y) is cell (2 x + 1, 2 y + 1), and an opened wall the cell between two rooms. Every round,
+    each connected set of rooms opens its lightest wall to another set, so the sets halve at least and
+    no task holds a set; weights are different by the walls' ends, so a round opens no circle. Any two
+    connected rooms have exactly one path, and no row or column is treated apart.
+    """
+    cells = written(rooms.select("v", "x", "y"))
+    weight = F.struct(F.xxhash64("a", "b", F.lit(seed)).alias("h"), "a", "b")
+    walls = written(adjacent_pairs(cells.withColumn("passable", F.lit(True)), width).select("a", "b", weight.alias("weight")))
+    sets, opened = cells.select("v", F.col("v").alias("s")), None
+    while True:
+        seen = Observation()
+        ends = walls.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").filter("sa <> sb").select("sa", "sb", "weight")
+        both = ends.union(ends.select("sb", "sa", "weight"))
+        lightest = both.groupBy("sa").agg(F.min(F.struct("weight", "sb")).alias("m")).select("sa", "m.sb", "m.weight")
+        lightest = written(lightest.observe(seen, F.count(F.lit(1)).alias("n")))
+        if not seen.get["n"]:
+            break
+        chosen = lightest.select("weight.a", "weight.b").distinct()
+        opened = chosen if opened is None else opened.union(chosen)
+        joined = connected_components(lightest, "sa", "sb").toDF("s", "joined")
+        sets = written(sets.join(joined, "s", "left").select("v", F.coalesce("joined", "s").alias("s")))
+    out = cells.select((F.col("x") * 2 + 1).alias("x"), (F.col("y") * 2 + 1).alias("y"))
+    if opened is None:
+        return out
+    a, b = cells.toDF("a", "xa", "ya"), cells.toDF("b", "xb", "yb")
+    return out.union(opened.join(a, "a").join(b, "b").select((F.col("xa") + F.col("xb") + 1).alias("x"), (F.col("ya") + F.col("yb") + 1).alias("y")))
+
+
 # Graphs --------------------------------------------------------------------------------------
 
 
