@@ -14,6 +14,11 @@ last answer.
 
 What has arrived decides all the rest: spread once more, it gives a block's rows of the boolean
 closure matrix (``matrix``), of which counts, pairs or answers are read inside the task.
+
+``least`` goes the same way with numbers in place of bits: the smallest value, grown by a step on
+every arc, that gets to a vertex. Hop distances (``distances``) and colours are such values. A value
+that isn't below what had arrived at its vertex is not sent on; rounds are the most blocks that a
+least path passes through one after the other, and again for corrections.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ BLOCK, SOURCES = 4096, 4096
 PIECE_EDGES = 2_000_000
 #: Ranges of ids make blocks where ids are at most so many times more than edges; else hashes do.
 SPARSE = 64
+#: Sources of a group where numbers travel: a task holds as many bytes as with ``SOURCES`` bits.
+COLUMNS = 64
 #: Rounds whose arrivals are merged into one table.
 MERGE = 8
 #: Edges that are followed together, and pairs that leave a task together.
@@ -161,14 +168,47 @@ class _Block:
             active = np.flatnonzero(fresh.any(1))
         return found, out
 
+    def place_least(self, v: np.ndarray, bit: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Rows of values, one for each vertex here, ``_FAR`` where there is none."""
+        rows = np.full((len(self.ids), self.words), _FAR)
+        at = np.minimum(np.searchsorted(self.ids, v), len(self.ids) - 1)
+        here = self.ids[at] == v
+        np.minimum.at(rows, (at[here], bit[here]), value[here])
+        return rows
 
-def _merge(into: np.ndarray, index: np.ndarray, rows: np.ndarray, of: np.ndarray) -> None:
-    """``into[index] |= rows[of]``, where an index may come again."""
+    def spread_least(self, rows: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """The smallest values that get about inside the block, and to the vertices outside that it leads to."""
+        found, out, fresh = rows.copy(), np.full((len(self.far), self.words), _FAR), rows
+        active = np.flatnonzero((fresh < _FAR).any(1))
+        while len(active):
+            reached, left = np.full_like(found, _FAR), np.full_like(out, _FAR)
+            sizes = self.ends[active] - self.starts[active]
+            edge = np.repeat(self.starts[active] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+            source = np.repeat(active, sizes)
+            for at in range(0, len(edge), _STEP):
+                to, of = self.targets[edge[at : at + _STEP]], source[at : at + _STEP]
+                for inside, into, index in ((to >= 0, reached, to), (to < 0, left, -1 - to)):
+                    _merge(into, index[inside], fresh, of[inside], np.minimum)
+            for made in (reached, left):
+                made[made < _FAR] += step
+            np.minimum(out, left, out=out)
+            fresh = np.where(reached < found, reached, _FAR)
+            np.minimum(found, reached, out=found)
+            active = np.flatnonzero((fresh < _FAR).any(1))
+        return found, out
+
+
+#: No value.
+_FAR = np.iinfo(np.int64).max
+
+
+def _merge(into: np.ndarray, index: np.ndarray, rows: np.ndarray, of: np.ndarray, join: np.ufunc = np.bitwise_or) -> None:
+    """``into[index] |= rows[of]``, or joined otherwise, where an index may come again."""
     if len(index):
         order = np.argsort(index, kind="stable")
         index = index[order]
         starts = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
-        into[index[starts]] |= np.bitwise_or.reduceat(rows[of[order]], starts, axis=0)
+        into[index[starts]] = join(into[index[starts]], join.reduceat(rows[of[order]], starts, axis=0))
 
 
 def _structs(column: pa.Array) -> list[list[np.ndarray]]:
@@ -269,9 +309,9 @@ def _merged(bits: DataFrame, *also: str) -> DataFrame:
     return bits.groupBy(*also, "block", "group", "v", "word").agg(F.bit_or("bits").alias("bits"))
 
 
-def _listed(bits: DataFrame, name: str) -> DataFrame:
+def _listed(bits: DataFrame, name: str, columns: tuple[str, ...] = ("v", "word", "bits")) -> DataFrame:
     """A row of each block and group, at most a block's bit rows."""
-    return bits.groupBy("block", "group").agg(F.collect_list(F.struct("v", "word", "bits")).alias(name))
+    return bits.groupBy("block", "group").agg(F.collect_list(F.struct(*columns)).alias(name))
 
 
 @dataclass
@@ -393,3 +433,70 @@ def search(graph: Graph, seeds: DataFrame, pairs: DataFrame | None = None, sourc
         if turn % MERGE == 0:
             arrived = written(_merged(arrived))
     return Search(graph, numbers, words, arrived, found, frontiers, shut)
+
+
+_VALUES = "group long, v long, bit int, value long"
+
+
+def _values(group: int, ids: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    step = max(1, _BATCH // rows.shape[1])
+    for start in range(0, len(rows), step):
+        at, bit = np.nonzero(rows[start : start + step] < _FAR)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), group)), pa.array(ids[start + at]), pa.array(bit.astype(np.int32)), pa.array(rows[start + at, bit])], ["group", "v", "bit", "value"])
+
+
+def _relax(columns: int, step: int, final: bool):
+    """What leaves each block (and, of a split one, what changed inside), or at last all that is in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = dict(zip(b.schema.names, b.columns, strict=True))
+            for i, arrived in enumerate(_structs(col["arrivals"])):
+                block, group = _Block(*(col[n][i].as_py() for n in ("ids", "ends", "targets", "far")), columns), col["group"][i].as_py()
+                rows = block.place_least(*arrived)
+                found, out = block.spread_least(rows, step)
+                if final:
+                    yield from _values(group, block.ids, found)
+                    continue
+                yield from _values(group, block.far, out)
+                if col["pieces"][i].as_py() > 1:
+                    yield from _values(group, block.ids, np.where(found < rows, found, _FAR))
+
+    return run
+
+
+def least(graph: Graph, starts: DataFrame, step: int, columns: int = 1, rounds: list[int] | None = None) -> DataFrame:
+    """(group, v, bit, value): the smallest value that gets to each vertex of the graph, for every group and bit.
+
+    ``starts`` (group, v, bit, value) are values below 2**63 - 1 at vertices, bits below ``columns``;
+    ``step``, not negative, is added on every arc. ``rounds`` takes the rows that each round sent on.
+    """
+    keys, fields = ["block", "group", "v", "bit"], ("v", "bit", "value")
+    smallest = lambda df, name="value": df.groupBy(*keys).agg(F.min("value").alias(name))
+    placed = starts.select(graph.of("v").alias("block"), F.col("group").cast("long").alias("group"), F.col("v").cast("long").alias("v"), F.col("bit").cast("int").alias("bit"), F.col("value").cast("long").alias("value"))
+    arrived = new = written(smallest(placed))
+    for turn in range(1, 1 << 30):
+        out = graph.rows.join(_listed(new, "arrivals", fields), "block").mapInArrow(_relax(columns, step, False), _VALUES)
+        fresh = smallest(out.withColumn("block", graph.of("v"))).join(smallest(arrived, "old"), keys, "left").filter("old IS NULL OR value < old")
+        seen = Observation()
+        new = written(fresh.select(*keys, "value").observe(seen, F.count(F.lit(1)).alias("n")))
+        sent = seen.get["n"] or 0
+        if rounds is not None:
+            rounds.append(sent)
+        if not sent:
+            break
+        arrived = arrived.union(new)
+        if turn % MERGE == 0:
+            arrived = written(smallest(arrived))
+    whole = graph.rows.filter("piece = 0").join(_listed(smallest(arrived), "arrivals", fields), "block")
+    return whole.mapInArrow(_relax(columns, step, True), _VALUES)
+
+
+def distances(graph: Graph, seeds: DataFrame, columns: int = COLUMNS, rounds: list[int] | None = None) -> DataFrame:
+    """(seed, v, depth): what each seed reaches, itself included, and in how many hops at least."""
+    numbers, _ = _numbered(graph, seeds, columns)
+    starts = numbers.select("group", F.col("seed").alias("v"), "bit", F.lit(0).alias("value"))
+    found = least(graph, starts, 1, columns, rounds).join(numbers, ["group", "bit"]).filter("v <> seed")
+    own = numbers.select("seed", F.col("seed").alias("v"), F.lit(0).alias("depth"))  # also of seeds outside the graph
+    return own.union(found.select("seed", "v", F.col("value").cast("int").alias("depth")))

@@ -19,8 +19,6 @@ from .components import connected_components
 MEMORY_CAP = 512 << 20
 #: Edges of a weakly connected part that a task may hold, with their lists some 0.5 GB at most.
 TASK_EDGES = 2_000_000
-#: Levels of a search that are merged into one table.
-MERGE = 8
 #: Pairs of a closure that leave a task at once.
 BATCH = 1 << 20
 
@@ -30,18 +28,11 @@ class SkippedByPolicy(RuntimeError):
 
 
 def frontier(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, v, depth): what each seed reaches, itself included, and in how many hops at least."""
-    edges = written(edges.select("src", "dst"))  # read once, not on every level
-    found = cut_compact(seeds.select("seed", F.col("seed").alias("v"), F.lit(0).alias("depth")).distinct())
-    front, depth = found, 0
-    while not front.isEmpty():
-        depth += 1
-        step = front.join(edges.withColumnRenamed("src", "v"), "v").select("seed", F.col("dst").alias("v")).distinct()
-        front = cut_compact(step.join(found, ["seed", "v"], "left_anti").withColumn("depth", F.lit(depth)))
-        found = found.union(front)
-        if depth % MERGE == 0:  # many levels would make a long plan over many files
-            found = cut_compact(found, 200_000)
-    return found
+    """(seed, v, depth): what each seed reaches, itself included, and in how many hops at least.
+
+    Distances are settled inside blocks, so there is a round for each block that a path crosses, not for each hop.
+    """
+    return blocks.distances(blocks.build(edges), seeds)
 
 
 def _strong(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[list[int], list[list[int]]]:
@@ -130,7 +121,8 @@ def coloured_components(arcs: DataFrame) -> DataFrame:
     A vertex takes the first colour, in a random order of all vertices, that reaches it; what
     reaches a colour's own vertex under that colour is that vertex's strong component. It goes, as
     do the arcs between colours, and the rest is coloured anew. The random order makes the rounds
-    few; the joins of a round are as many as its longest shortest path, and no task holds a part.
+    few; colours and searches settle inside blocks, so a round has as many joins as blocks on a
+    path, not hops, and no task holds a part.
     """
     left = cut_compact(arcs.select("src", "dst").filter("src <> dst").distinct(), 200_000)
     vertices = cut_compact(left.select(F.explode(F.array("src", "dst")).alias("v")).distinct(), 200_000)
@@ -140,15 +132,15 @@ def coloured_components(arcs: DataFrame) -> DataFrame:
         left = cut_compact(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"), 200_000)
         if left.isEmpty():
             break
-        colours = left.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
-        colours = cut_compact(colours.select("v", F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v").alias("c"), F.lit(True).alias("fresh")), 200_000)
-        while not colours.filter("fresh").isEmpty():
-            offers = left.join(colours.filter("fresh").select(F.col("v").alias("src"), "c"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("c").alias("offer"))
-            colours = colours.join(offers, "v", "left").select("v", F.least("c", "offer").alias("c"), F.coalesce(F.col("offer") < F.col("c"), F.lit(False)).alias("fresh"))
-            colours = cut_compact(colours, 200_000)
-        of = colours.select("v", F.col("c.v").alias("root"))
+        own = left.select(F.explode(F.array("src", "dst")).alias("v")).distinct().select("v", F.xxhash64(F.col("v").cast("long"), F.lit(turn)).alias("value"))
+        own = written(own)  # of a long, this hash is one to one
+        colours = blocks.least(blocks.build(left), own.select(F.lit(0).alias("group"), "v", F.lit(0).alias("bit"), "value"), 0)
+        of = written(colours.select("v", "value").join(own.withColumnRenamed("v", "root"), "value").select("v", "root"))
         inner = cut_compact(left.join(of.toDF("src", "root"), "src").join(of.toDF("dst", "root"), ["dst", "root"]).select("src", "dst"), 200_000)
-        reached = frontier(inner.toDF("dst", "src"), of.filter("v = root").select(F.col("v").alias("seed"))).select(F.col("seed").alias("root"), "v")
+        # arcs join one colour's vertices only, so whatever comes to a vertex is of its own colour
+        roots = of.filter("v = root").select(F.lit(0).alias("group"), "v", F.lit(0).alias("bit"), F.lit(0).alias("value"))
+        back = blocks.least(blocks.build(inner.toDF("dst", "src")), roots, 0).select("v").union(roots.select("v")).distinct()
+        reached = written(back.join(of, "v").select("root", "v"))
         found = cut_compact(found.union(reached), 200_000)
         done = reached.select("v")
         left = inner.join(done.toDF("src"), "src", "left_anti").join(done.toDF("dst"), "dst", "left_anti")

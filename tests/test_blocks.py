@@ -96,3 +96,58 @@ def test_no_edges(spark):
     found = blocks.search(graph, spark.range(4).select(F.col("id").alias("seed")))
     assert {tuple(r) for r in found.counts().collect()} == {(i, 1) for i in range(4)} and found.pairs().count() == 0
     assert blocks.search(graph, spark.range(0).select(F.col("id").alias("seed"))).counts().count() == 0
+
+
+def hops(edges):
+    """Breadth-first distances from every vertex."""
+    after, out = {}, {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+        after.setdefault(b, set())
+    for s in after:
+        depth, todo = {s: 0}, [s]
+        for v in todo:
+            for w in after[v] - depth.keys():
+                depth[w] = depth[v] + 1
+                todo.append(w)
+        out[s] = depth
+    return out
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+def test_distances_as_brute_force(spark, name):
+    """Over tiny blocks, groups of a few seeds and split blocks; a seed outside the graph is at no hop from itself."""
+    want = {(s, v, d) for s, found in hops(GRAPHS[name]).items() for v, d in found.items()}
+    graph = blocks.build(spark.createDataFrame(GRAPHS[name], "src long, dst long"), block=8, piece_edges=20)
+    seeds = spark.createDataFrame([(v,) for v, w, _ in want if v == w] + [(10**17,), (None,)], "seed long")
+    got = [tuple(r) for r in blocks.distances(graph, seeds, columns=5).collect()]
+    assert len(got) == len(set(got)) and set(got) == want | {(10**17, 10**17, 0)}
+
+
+def test_distances_are_corrected(spark):
+    """A long way through low blocks comes first, a short one through a far block later."""
+    way = [(i, i + 1) for i in range(30)] + [(0, 100), (100, 200), (200, 15), (31, 0)]
+    graph = blocks.build(spark.createDataFrame(way, "src long, dst long"), block=8)
+    want = {(0, v, d) for v, d in hops(way)[0].items()}
+    assert {tuple(r) for r in blocks.distances(graph, spark.range(1).select(F.col("id").alias("seed"))).collect()} == want
+
+
+def test_rounds_of_distances_are_blocks(spark):
+    path = spark.range(4000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    rounds = []
+    found = blocks.distances(blocks.build(path, block=1024), spark.range(1).select(F.col("id").alias("seed")), rounds=rounds)
+    assert len(rounds) == 4 and found.filter("v = depth").count() == 4001
+
+
+def test_least_of_nothing(spark):
+    graph = blocks.build(spark.createDataFrame([], "src long, dst long"))
+    assert [tuple(r) for r in blocks.distances(graph, spark.range(1).select(F.col("id").alias("seed"))).collect()] == [(0, 0, 0)]
+    assert blocks.distances(graph, spark.range(0).select(F.col("id").alias("seed"))).count() == 0
+
+
+def test_colours_on_a_long_cycle(spark):
+    """One cycle of 3000 vertices with a chain behind it: components by colours, whatever the number of hops."""
+    ring = spark.range(3000).select(F.col("id").alias("src"), ((F.col("id") + 1) % 3000).alias("dst"))
+    chain = spark.range(2999, 3100).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = {r["v"]: r["comp"] for r in reach.coloured_components(ring.union(chain)).collect()}
+    assert got == {v: 0 if v < 3000 else v for v in range(3101)}
