@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from gridreach.llm import pii
 
 TEXTS = [
@@ -182,3 +185,42 @@ def test_fresh_lines(spark):
         found += sum(any(w in g or (g in w and len(g) >= 0.8 * len(w)) for g in got) for w in want)
         false += sum(not any(g in w or w in g for w in want) for g in got)
     assert found >= 12 and false <= 4
+
+
+def test_overlaps_as_brute_force(spark):
+    """Lists of many candidates, long and short ones, against all pairs."""
+    r = random.Random(5)
+    lists = [[]]
+    for n in (1, 2, 3, 30, 64, 65, 300):
+        for base in (0.0, 0.3, 1.0):
+            made = []
+            for _ in range(n):
+                start, long = r.randrange(n * 12), r.random() < 0.03
+                made.append((start, r.randrange(9), start + (r.randrange(1, 500) if long else r.randrange(1, 12)), "k", r.random() < base, r.choice(["good", "bad"])))
+            lists.append(sorted(made))
+    kind = "start: int, rank: int, end: int, kind: string, base: boolean, features: string"
+    df = spark.createDataFrame(list(enumerate(lists)), f"i int, found array<struct<{kind}>>")
+    got = {x["i"]: [tuple(s) for s in x["out"]] for x in pii._with_accepted(df, {"": 0.0, "good": 1.0, "bad": -1.0}, "out").collect()}
+    for i, found in enumerate(lists):
+        assert got[i] == [s for s in found if s[4] or s[5] == "good" and not any(b[4] and b[0] < s[2] and s[0] < b[2] for b in found)]
+
+
+def test_many_spans_in_one_text(spark):
+    """Some thousands of spans, many overlapping: masked as by a plain reading of the spans, in a text without and one with more behind."""
+    r = random.Random(6)
+    parts = ["x@mail.org", "10.0.0.1", "+1 212 555 0147", "call (212) 555-0147", "4111 1111 1111 1111", "Dr. Maria Lopez", "+4111 1111 1111 1111", "1.2.3.4@host.com", "anna [at] mail [dot] com", "word", "\U0001f600"]
+    texts = [" ".join(r.choice(parts) for _ in range(n)) for n in (3000, 200, 5, 1)] + ["x@mail.org", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    spans = {x["doc_id"]: x["found"] for x in pii.find_spans(docs).collect()}
+    assert len(spans[0]) > 2000
+    for row in pii.mask(docs).collect():
+        text, out, end = texts[row["doc_id"]], "", 0
+        merged = []
+        for s in spans[row["doc_id"]]:
+            if merged and s["start"] < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], s["end"])
+            else:
+                merged.append([s["start"], s["end"], s["kind"]])
+        for start, stop, kind in merged:
+            out, end = out + text[end:start] + f"<{kind.upper()}>", stop
+        assert row["text"] == out + text[end:] and row["n_chars"] == len(row["text"])
