@@ -15,31 +15,61 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.checkpoints import cut_compact
+from ..plans.checkpoints import cut_compact, written
 from ..plans.shipping import ship
 from . import grid, reach
+from .components import connected_components
 
 
-def _closed_by(edges: DataFrame, group: str, memory_cap: int) -> DataFrame:
-    """(group, src, dst): pairs of different cells with a path over the group's own edges."""
+#: Edges that are closed together, if their group isn't larger.
+CHUNK = 1 << 16
+
+
+def _closed_by(edges: DataFrame, group: str, memory_cap: int, part: str | None = None) -> DataFrame:
+    """(group, src, dst): pairs of different cells with a path over the group's own edges.
+
+    A cell belongs to one group. Small groups are closed together; with ``part``, a column of which
+    connected cells have the same value, a group's parts may be different tasks'.
+    """
     ship(edges.sparkSession)
+    keys = [group] if part is None else [group, part]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(batches)
+    def closed(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(held)
+        ids, first = np.unique(pdf["src"].to_numpy(), return_index=True)
+        own = pdf[group].to_numpy()[first]
         for pairs in reach.closure_of(pdf, memory_cap):
-            yield pairs.assign(**{group: pdf[group].iloc[0]})
+            yield pairs.assign(**{group: own[np.searchsorted(ids, pairs["src"].to_numpy())]})
 
-    return edges.select("src", "dst", group).groupBy(group).applyInPandas(run, f"src long, dst long, {group} long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for pdf in batches:
+            if held and n >= CHUNK:
+                last = (pdf[keys] == held[-1][keys].iloc[-1]).all(axis=1).to_numpy()
+                more = len(pdf) if last.all() else int(np.argmin(last))
+                held.append(pdf[:more])
+                if more == len(pdf):
+                    continue
+                yield from closed(held)
+                held, n, pdf = [], 0, pdf[more:]
+            held.append(pdf)
+            n += len(pdf)
+        if held:
+            yield from closed(held)
+
+    dealt = edges.select("src", "dst", *keys).repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInPandas(run, f"src long, dst long, {group} long")
 
 
 def local_closure(edges: DataFrame, tiled: DataFrame, memory_cap: int = reach.MEMORY_CAP) -> DataFrame:
     """(tile, src, dst): the reflexive closure of each tile's own edges, over its passable cells."""
     tile = tiled.filter("passable").select("v", "tile")
-    inside = edges.join(tile.toDF("src", "tile"), "src").join(tile.toDF("dst", "__t"), "dst").filter("tile = __t")
+    inside = edges.hint("merge").join(tile.toDF("src", "tile"), "src").hint("merge").join(tile.toDF("dst", "__t"), "dst").filter("tile = __t")
     pairs = _closed_by(inside.filter("src <> dst"), "tile", memory_cap).select("tile", "src", "dst")
     return pairs.union(tile.select("tile", F.col("v").alias("src"), F.col("v").alias("dst")))
 
@@ -47,7 +77,7 @@ def local_closure(edges: DataFrame, tiled: DataFrame, memory_cap: int = reach.ME
 def port_graph(local: DataFrame, ports: DataFrame, seams: DataFrame) -> DataFrame:
     """(src, dst, seam): arcs inside tiles between different ports, and the seams between tiles."""
     port = ports.select("v").distinct()
-    ends = lambda df: df.join(port.toDF("src"), "src", "left_semi").join(port.toDF("dst"), "dst", "left_semi")
+    ends = lambda df: df.hint("merge").join(port.toDF("src"), "src", "left_semi").hint("merge").join(port.toDF("dst"), "dst", "left_semi")
     inner = ends(local.filter("src <> dst")).select("src", "dst", F.lit(False).alias("seam"))
     return inner.union(ends(seams).select("src", "dst", F.lit(True).alias("seam")))
 
@@ -63,8 +93,8 @@ def _entries(pairs: DataFrame, local: DataFrame, ports: DataFrame) -> tuple[Data
     """Queries that hit inside a tile; (qid, p) ports that the source reaches there; (qid, q) ports that reach the target."""
     port = ports.select("v").distinct()
     hits = pairs.join(local.select(F.col("src").alias("source"), F.col("dst").alias("target")), ["source", "target"]).select("qid")
-    out = local.select(F.col("src").alias("source"), F.col("dst").alias("p")).join(port.toDF("p"), "p", "left_semi")
-    into = local.select(F.col("dst").alias("target"), F.col("src").alias("q")).join(port.toDF("q"), "q", "left_semi")
+    out = local.select(F.col("src").alias("source"), F.col("dst").alias("p")).hint("merge").join(port.toDF("p"), "p", "left_semi")
+    into = local.select(F.col("dst").alias("target"), F.col("src").alias("q")).hint("merge").join(port.toDF("q"), "q", "left_semi")
     return hits, pairs.join(out, "source").select("qid", "p"), pairs.join(into, "target").select("qid", "q")
 
 
@@ -97,10 +127,28 @@ class Level:
 
 
 def _exterior(cells: DataFrame, ports: DataFrame) -> DataFrame:
-    """The ports on their region's edge; ``cells``: v, x, y, region of all cells."""
+    """The ports on their region's edge; ``cells``: x, y, region of all cells, ``ports``: x, y, region and more."""
     box = cells.groupBy("region").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     on_edge = F.col("x").isin(F.col("x0"), F.col("x1")) | F.col("y").isin(F.col("y0"), F.col("y1"))
-    return cells.join(ports.select("v").distinct(), "v", "left_semi").join(box, "region").filter(on_edge).select("v", "region")
+    return ports.hint("merge").join(box, "region").filter(on_edge).select(*ports.columns)
+
+
+def _sizes(wide: int, high: int, group: tuple[int, int], max_depth: int) -> Iterator[tuple[int, int, int, int]]:
+    """Of each level from the tiles up: regions in a row and in a column, and how many tiles a region is wide and high."""
+    gw, gh = group
+    if gw < 1 or gh < 1:
+        raise ValueError("a group has a region at least each way")
+    w = h = depth = 1
+    yield wide, high, w, h
+    while wide * high > 1 and depth < max_depth and (-(-wide // gw), -(-high // gh)) != (wide, high):
+        wide, high, w, h, depth = -(-wide // gw), -(-high // gh), w * gw, h * gh, depth + 1
+        yield wide, high, w, h
+
+
+def _region(i: str, j: str, size: tuple[int, int, int, int]) -> Column:
+    """The number of the region that tile (i, j) belongs to."""
+    wide, _, w, h = size
+    return F.expr(f"CAST(({j} DIV {h}) * {wide} + {i} DIV {w} AS BIGINT)")
 
 
 def hierarchy(edges: DataFrame, tiled: DataFrame, across: int, group: tuple[int, int] = (2, 2), max_depth: int = 64, memory_cap: int = reach.MEMORY_CAP) -> list[Level]:
@@ -108,37 +156,48 @@ def hierarchy(edges: DataFrame, tiled: DataFrame, across: int, group: tuple[int,
 
     ``across``: tiles in a row. Groups are ``group`` regions wide and high. A level's closure runs
     over its children's summaries and the seams between them, so its size follows ports, not cells.
+    Seams are placed once; a region's number gives its parent's, so no level looks up its cells.
     """
-    gw, gh = group
-    if gw < 1 or gh < 1:
-        raise ValueError("a group has a region at least each way")
-    cells = cut_compact(tiled.select("v", "x", "y", "passable", F.col("tile").alias("region"), (F.col("tile") % across).alias("i"), F.floor(F.col("tile") / across).alias("j")))
-    ports = cut_compact(grid.ports_of(tiled).select("v"))
-    local = cut_compact(local_closure(edges, tiled, memory_cap), 200_000)
-    levels = [Level(cells.select("v", "region"), local.select(F.col("tile").alias("region"), "src", "dst"), cut_compact(_exterior(cells, ports)))]
-    regions = cells.agg(F.max("i"), F.max("j")).first()
-    wide, high = (regions[0] or 0) + 1, (regions[1] or 0) + 1
-    while wide * high > 1 and len(levels) < max_depth and (gw > 1 or gh > 1):
-        if (-(-wide // gw), -(-high // gh)) == (wide, high):
-            break
-        wide, high = -(-wide // gw), -(-high // gh)
-        below = levels[-1]
-        cells = cut_compact(cells.withColumn("i", F.floor(F.col("i") / gw)).withColumn("j", F.floor(F.col("j") / gh)).withColumn("region", (F.col("j") * wide + F.col("i")).cast("long")))
-        region = cells.select("v", "region")
-        between = below.cells
-        seams = edges.join(between.toDF("src", "a"), "src").join(between.toDF("dst", "b"), "dst").filter("a <> b").select("src", "dst")
-        arcs = summary(below).select("src", "dst").union(seams).join(region.toDF("src", "region"), "src").join(region.toDF("dst", "__r"), "dst").filter("region = __r")
-        pairs = _closed_by(arcs.select("src", "dst", "region").distinct(), "region", memory_cap).select("region", "src", "dst")
-        own = below.exterior.select("v").join(region, "v").select("region", F.col("v").alias("src"), F.col("v").alias("dst"))
-        closed = cut_compact(pairs.union(own), 200_000)
-        levels.append(Level(region, closed, cut_compact(_exterior(cells, below.exterior))))
+    next(_sizes(1, 1, group, max_depth))
+    cells = written(tiled.select("v", "x", "y", "passable", "tile", (F.col("tile") % across).alias("i"), F.floor(F.col("tile") / across).alias("j")))
+    most = cells.agg(F.max("i"), F.max("j")).first()
+    sizes = list(_sizes((most[0] or 0) + 1, (most[1] or 0) + 1, group, max_depth))
+    local = written(local_closure(edges, tiled, memory_cap))
+    place = cells.select("v", "i", "j")
+    between = edges.select("src", "dst").hint("merge").join(place.toDF("src", "si", "sj"), "src").hint("merge").join(place.toDF("dst", "di", "dj"), "dst")
+    seams = written(between.filter("si <> di OR sj <> dj"))
+    on = lambda size: (cells.withColumn("region", _region("i", "j", size)))
+    ports = cells.filter("passable")
+    levels: list[Level] = []
+    for k, size in enumerate(sizes):
+        region = _region("i", "j", size)
+        if k:
+            below = sizes[k - 1]
+            apart, together = _region("si", "sj", below) != _region("di", "dj", below), _region("si", "sj", size) == _region("di", "dj", size)
+            inner = seams.filter(apart & together).select(_region("si", "sj", size).alias("region"), "src", "dst")
+            parent = F.expr(f"CAST((region DIV {below[0]} DIV {group[1]}) * {size[0]} + (region % {below[0]}) DIV {group[0]} AS BIGINT)")
+            pairs = _closed_by(summary(levels[-1]).select(parent.alias("region"), "src", "dst").union(inner), "region", memory_cap).select("region", "src", "dst")
+            closed = written(pairs.union(ports.select(region.alias("region"), F.col("v").alias("src"), F.col("v").alias("dst"))))
+        else:
+            closed = local.select(F.col("tile").alias("region"), "src", "dst")
+        ports = written(_exterior(on(size).select("x", "y", "region"), ports.select("v", "x", "y", "i", "j", region.alias("region"))))
+        levels.append(Level(on(size).select("v", "region"), closed, ports.select("v", "region")))
     return levels
 
 
+def tree(tiled: DataFrame, across: int, group: tuple[int, int] = (2, 2), max_depth: int = 64) -> DataFrame:
+    """(level, region, parent) as ``region_tree`` of ``hierarchy``; places of tiles alone decide it, so nothing is closed."""
+    places = written(tiled.select((F.col("tile") % across).alias("i"), F.floor(F.col("tile") / across).alias("j")).distinct())
+    most = places.agg(F.max("i"), F.max("j")).first()
+    sizes = list(_sizes((most[0] or 0) + 1, (most[1] or 0) + 1, group, max_depth))
+    own = [F.struct(F.lit(k).alias("level"), _region("i", "j", size).alias("region"), (_region("i", "j", sizes[k + 1]) if k + 1 < len(sizes) else F.lit(None).cast("long")).alias("parent")) for k, size in enumerate(sizes)]
+    return places.select(F.explode(F.array(*own)).alias("r")).select("r.level", "r.region", "r.parent").distinct()
+
+
 def summary(level: Level) -> DataFrame:
     """(region, src, dst): what a level hands up, its closure between different exterior ports."""
     edge = level.exterior.select("v")
-    return level.closed.filter("src <> dst").join(edge.toDF("src"), "src", "left_semi").join(edge.toDF("dst"), "dst", "left_semi").select("region", "src", "dst")
+    return level.closed.filter("src <> dst").hint("merge").join(edge.toDF("src"), "src", "left_semi").hint("merge").join(edge.toDF("dst"), "dst", "left_semi").select("region", "src", "dst")
 
 
 def hierarchical(pairs: DataFrame, levels: list[Level], flat: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -155,8 +214,8 @@ def hierarchical(pairs: DataFrame, levels: list[Level], flat: tuple[DataFrame, D
         here = _met(up, closed, down)
         hits = here if hits is None else hits.union(here)
         edge = level.exterior.select("v")
-        up = cut_compact(up.join(closed, "p").select("qid", F.col("q").alias("p")).join(edge.toDF("p"), "p", "left_semi").distinct())
-        down = cut_compact(down.join(closed, "q").select("qid", F.col("p").alias("q")).join(edge.toDF("q"), "q", "left_semi").distinct())
+        up = cut_compact(up.join(closed, "p").select("qid", F.col("q").alias("p")).hint("merge").join(edge.toDF("p"), "p", "left_semi").distinct())
+        down = cut_compact(down.join(closed, "q").select("qid", F.col("p").alias("q")).hint("merge").join(edge.toDF("q"), "q", "left_semi").distinct())
     known = _answered(pairs, hits)
     if levels[-1].cells.select("region").distinct().limit(2).count() < 2:
         return known
@@ -203,22 +262,29 @@ def differences(level: Level, edges: DataFrame) -> DataFrame:
 
 
 def flat_summary(level: Level, graph: DataFrame, memory_cap: int = reach.MEMORY_CAP) -> DataFrame:
-    """(region, src, dst): a level's summary cut from the flat port graph (src, dst), without the levels below: the closure of each region's own arcs at its exterior ports."""
+    """(region, src, dst): a level's summary cut from the flat port graph (src, dst), without the levels below: the closure of each region's own arcs at its exterior ports.
+
+    ``graph`` may have a column ``part``, the same for connected ports: then a region's parts are closed apart.
+    """
+    part = "part" if "part" in graph.columns else None
+    keys = ["src", "dst"] if part is None else ["src", "dst", part]
     region = level.cells.toDF("src", "region")
-    inside = graph.select("src", "dst").join(region, "src").join(level.cells.toDF("dst", "__r"), "dst").filter("region = __r AND src <> dst")
-    closed = _closed_by(inside.select("src", "dst", "region").distinct(), "region", memory_cap)
+    inside = graph.select(*keys).hint("merge").join(region, "src").hint("merge").join(level.cells.toDF("dst", "__r"), "dst").filter("region = __r AND src <> dst")
+    closed = _closed_by(inside.select(*keys, "region"), "region", memory_cap, part)
     edge = level.exterior.select("v")
-    return closed.join(edge.toDF("src"), "src", "left_semi").join(edge.toDF("dst"), "dst", "left_semi").select("region", "src", "dst")
+    return closed.hint("merge").join(edge.toDF("src"), "src", "left_semi").hint("merge").join(edge.toDF("dst"), "dst", "left_semi").select("region", "src", "dst")
 
 
 def composition_check(levels: list[Level], graph: DataFrame) -> DataFrame:
     """(level, composed, flat, differences): how many pairs each level hands up, how many the flat port graph has there, and how many are in one of them only."""
     out = None
+    parts = connected_components(graph).toDF("src", "part")
+    graph = written(graph.select("src", "dst").hint("merge").join(parts, "src"))
     for k, level in enumerate(levels):
         mark = lambda df, c: df.select("region", "src", "dst", F.lit(1 - c).alias("composed"), F.lit(c).alias("flat"))
         both = mark(summary(level), 0).union(mark(flat_summary(level, graph), 1)).groupBy("region", "src", "dst").agg(F.sum("composed").alias("composed"), F.sum("flat").alias("flat"))
         sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in ((F.col("composed"), "composed"), (F.col("flat"), "flat"), (F.abs(F.col("composed") - F.col("flat")), "differences"))]
-        part = both.agg(*sums).select(F.lit(k).alias("level"), "*")
+        part = written(both.agg(*sums).select(F.lit(k).alias("level"), "*"))  # level by level: the driver never holds all their plans
         out = part if out is None else out.union(part)
     return out
 
