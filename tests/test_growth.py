@@ -3,7 +3,7 @@
 import pandas as pd
 import pytest
 
-from gridreach.operators import reach, tiles
+from gridreach.operators import generators, reach, tiles
 
 from .test_tiles import make, random_arcs
 
@@ -31,3 +31,16 @@ def test_level_sides_are_not_broadcast(spark):
     tiled, edges = make(spark, 16, 12, random_arcs(16, 12, set(), 3), set())
     levels = tiles.hierarchy(edges, tiled, 4)
     assert all("Broadcast" not in plan(tiles.summary(level)) for level in levels)
+
+
+def test_complete_in_strips(spark):
+    for n in (0, 1, 2, 1023, 1025):
+        got = generators.complete(spark, n)
+        assert got.count() == n * max(0, n - 1) == got.filter(f"src BETWEEN 0 AND {n - 1} AND dst BETWEEN 0 AND {n - 1} AND src <> dst").distinct().count()
+    first = generators.complete(spark, 1500).limit(2048).collect()
+    assert len({r.src for r in first}) == 3 and max(r.dst for r in first) < 1024
+
+
+def test_search_sides_are_not_broadcast(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "src long, dst long")
+    assert "BroadcastHashJoin" not in plan(reach.reached(edges, edges.select(edges.src.alias("seed"))))
