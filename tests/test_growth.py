@@ -1,9 +1,11 @@
 """What must not grow with the tables: plans without broadcasts of them, closures by connected parts, trees without closures."""
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
-from gridreach.operators import generators, reach, tiles
+from gridreach.operators import blocks, generators, reach, tiles
 
 from .test_tiles import make, random_arcs
 
@@ -44,3 +46,16 @@ def test_complete_in_strips(spark):
 def test_search_sides_are_not_broadcast(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "src long, dst long")
     assert "BroadcastHashJoin" not in plan(reach.reached(edges, edges.select(edges.src.alias("seed"))))
+
+
+def test_numbers_of_a_large_block_take_turns(monkeypatch):
+    monkeypatch.setattr(blocks, "_ROWS", 8 * 5 * 3)  # three sources of five vertices
+    widths = []
+    spread = blocks._Block.spread_least
+    monkeypatch.setattr(blocks._Block, "spread_least", lambda self, rows, step: widths.append(rows.shape[1]) or spread(self, rows, step))
+    packed = [np.array([0, 1, 2]), np.array([1, 3, 3], np.int32), np.array([1, 2, -1], np.int32), np.array([7])]
+    arrivals = [{"v": b % 3, "bit": b, "value": 10 * b} for b in range(8)]
+    row = {"group": [5], "pieces": [1], **{k: [x.tobytes()] for k, x in zip(("ids", "ends", "targets", "far"), packed, strict=True)}, "arrivals": pa.array([arrivals], pa.list_(pa.struct([("v", pa.int64()), ("bit", pa.int32()), ("value", pa.int64())])))}
+    batch = pa.RecordBatch.from_pydict(row)
+    found = {(r["v"], r["bit"], r["value"]) for b in blocks._relax(8, 1, False)([batch]) for r in b.to_pylist()}
+    assert found == {(7, b, 10 * b + 2 - b % 3 if b % 3 < 1 else 10 * b + 1) for b in range(8) if b % 3 < 2} and max(widths) <= 3
