@@ -3,8 +3,8 @@
 A path between two tiles leaves the first and enters the last by ports (passable cells on a tile's
 edge), so closures inside tiles and a closure over ports answer every query. In the hierarchy a
 region's ports are those of its children; its summary, which the next level uses, is the closure over
-them at the cells on the region's own edge. Each tile or region is closed in a task of its own,
-under the same cap as ``reach.closure``.
+them at the cells on the region's own edge. A tile or region is closed in one task, by its connected
+parts, each under the same cap as ``reach.closure``.
 
 This holds for edges between neighbouring cells; any edge list between cells of a grid can be
 given to ``flat_closure`` and ``flat_search`` if both ends of its seams are ports.
