@@ -5,7 +5,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from gridreach.operators import blocks, generators, reach, tiles
+from gridreach.operators import blocks, components, generators, reach, tiles
 
 from .test_tiles import make, random_arcs
 
@@ -59,3 +59,44 @@ def test_numbers_of_a_large_block_take_turns(monkeypatch):
     batch = pa.RecordBatch.from_pydict(row)
     found = {(r["v"], r["bit"], r["value"]) for b in blocks._relax(8, 1, False)([batch]) for r in b.to_pylist()}
     assert found == {(7, b, 10 * b + 2 - b % 3 if b % 3 < 1 else 10 * b + 1) for b in range(8) if b % 3 < 2} and max(widths) <= 3
+
+
+def jobs(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    out = run()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)), out
+
+
+def test_jobs_of_components_follow_ranges_not_hops(spark):
+    """A chain of any length is as many jobs."""
+    for k, found in enumerate((reach.strong_components, components.near_components)):
+        few, many = (jobs(spark, f"{k}-{n}", lambda n=n: found(spark.range(n).selectExpr("id AS src", "id + 1 AS dst")).count()) for n in (200, 60_000))
+        assert (few[1], many[1]) == (201, 60_001) and many[0] <= few[0] + 12
+
+
+def test_components_by_ranges(spark):
+    """Ranges of 8 ids, short arcs and a few long ones, a full range, and what one task isn't to connect."""
+    draw = np.random.default_rng(5)
+    src = draw.integers(0, 200, 230)
+    arcs = {(int(a), int(a + d)) for a, d in zip(src, draw.integers(-3, 4, 230), strict=True)} | {(3, 190), (191, 2), (150, 20), (60, 61), (61, 60)}
+    after = {}
+    for a, b in arcs:
+        after.setdefault(a, set()).add(b)
+
+    def all_from(v, step):
+        seen, left = {v}, [v]
+        while left:
+            fresh = step.get(left.pop(), set()) - seen
+            seen |= fresh
+            left += fresh
+        return seen
+
+    named = {v for a, b in arcs if a != b for v in (a, b)}
+    reached = {v: all_from(v, after) for v in named}
+    df = spark.createDataFrame(sorted(arcs), "src long, dst long")
+    for task_edges in (5, 1000):
+        assert dict(map(tuple, reach.strong_components(df, task_edges, 8).collect())) == {v: min(w for w in reached[v] if v in reached[w]) for v in named}
+    both = {v: {w for a, b in arcs for w, x in ((a, b), (b, a)) if x == v} for v in named}
+    for rest in (0, 1000):
+        got = components.near_components(df, size=8, rest=rest).collect()
+        assert len(got) == len(named) and dict(map(tuple, got)) == {v: min(all_from(v, both)) for v in named}
