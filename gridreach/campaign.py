@@ -124,7 +124,7 @@ def profile(map_: Map) -> DataFrame:
     """One row of a manifest: size, passable cells, edges, undirected and strong components, condensation."""
     cells, edges = map_.cells, map_.edges
     open_ = cells.filter("passable").select("v")
-    together = components.with_isolated(components.connected_components(grid.adjacent_pairs(cells, map_.width).toDF("src", "dst", "dir")), open_)
+    together = components.with_isolated(components.near_components(grid.adjacent_pairs(cells, map_.width).toDF("src", "dst", "dir")), open_)
     strong = cut_compact(cells.select("v").join(reach.strong_components(edges), "v", "left").select("v", F.coalesce("comp", "v").alias("comp")))
     parts = together.groupBy("component").agg(F.count("*").alias("n")).agg(F.count("*").alias("undirected_component_count"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_undirected_component"))
     sccs = strong.groupBy("comp").agg(F.count("*").alias("n")).agg(F.count("*").alias("num_sccs"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_scc"))

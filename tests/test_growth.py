@@ -5,7 +5,8 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from gridreach.operators import blocks, components, generators, reach, tiles
+from gridreach import campaign
+from gridreach.operators import blocks, components, generators, grid, reach, tiles
 
 from .test_tiles import make, random_arcs
 
@@ -100,3 +101,12 @@ def test_components_by_ranges(spark):
     for rest in (0, 1000):
         got = components.near_components(df, size=8, rest=rest).collect()
         assert len(got) == len(named) and dict(map(tuple, got)) == {v: min(all_from(v, both)) for v in named}
+
+
+def test_jobs_of_a_profile_do_not_follow_the_map(spark):
+    def row(high):
+        cells = grid.with_coordinates(spark.range(2 * high).selectExpr("id AS v", "true AS passable"), 2)
+        return campaign.profile(campaign.Map("m", cells, grid.orient(grid.adjacent_pairs(cells, 2), "acyclic"), 2, high)).first()
+
+    few, many = (jobs(spark, f"profile-{high}", lambda high=high: row(high)) for high in (50, 20_000))
+    assert (many[1].largest_undirected_component, many[1].num_sccs, many[1].condensation_edges) == (40_000, 40_000, 59_998) and many[0] <= few[0] + 20
