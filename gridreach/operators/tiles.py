@@ -20,10 +20,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.checkpoints import cut_compact, written
+from ..plans.checkpoints import cut_compact, few, written
 from ..plans.shipping import ship
 from . import grid, reach
-from .components import connected_components
+from .components import near_components
 
 
 #: Edges that are closed together, if their group isn't larger.
@@ -91,11 +91,11 @@ def _answered(pairs: DataFrame, hits: DataFrame) -> DataFrame:
 
 def _entries(pairs: DataFrame, local: DataFrame, ports: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Queries that hit inside a tile; (qid, p) ports that the source reaches there; (qid, q) ports that reach the target."""
-    port = ports.select("v").distinct()
+    port, pairs = ports.select("v").distinct(), few(pairs.select("qid", "source", "target"))
     hits = pairs.join(local.select(F.col("src").alias("source"), F.col("dst").alias("target")), ["source", "target"]).select("qid")
     out = local.select(F.col("src").alias("source"), F.col("dst").alias("p")).hint("merge").join(port.toDF("p"), "p", "left_semi")
     into = local.select(F.col("dst").alias("target"), F.col("src").alias("q")).hint("merge").join(port.toDF("q"), "q", "left_semi")
-    return hits, pairs.join(out, "source").select("qid", "p"), pairs.join(into, "target").select("qid", "q")
+    return hits, few(pairs.join(out, "source").select("qid", "p")), few(pairs.join(into, "target").select("qid", "q"))
 
 
 def flat_search(pairs: DataFrame, local: DataFrame, ports: DataFrame, graph: DataFrame) -> DataFrame:
@@ -206,16 +206,16 @@ def hierarchical(pairs: DataFrame, levels: list[Level], flat: tuple[DataFrame, D
     Exact with a single region on top. With fewer levels, pairs without a hit are open: they are asked of
     ``flat_search`` over ``flat`` (closures inside tiles, ports, port graph), or null without it.
     """
-    up = pairs.select("qid", F.col("source").alias("p"))
-    down = pairs.select("qid", F.col("target").alias("q"))
+    up = few(pairs.select("qid", F.col("source").alias("p")))
+    down = few(pairs.select("qid", F.col("target").alias("q")))
     hits = None
     for level in levels:
         closed = level.closed.select(F.col("src").alias("p"), F.col("dst").alias("q"))
         here = _met(up, closed, down)
         hits = here if hits is None else hits.union(here)
         edge = level.exterior.select("v")
-        up = cut_compact(up.join(closed, "p").select("qid", F.col("q").alias("p")).hint("merge").join(edge.toDF("p"), "p", "left_semi").distinct())
-        down = cut_compact(down.join(closed, "q").select("qid", F.col("p").alias("q")).hint("merge").join(edge.toDF("q"), "q", "left_semi").distinct())
+        up = few(up.join(closed, "p").select("qid", F.col("q").alias("p")).hint("merge").join(edge.toDF("p"), "p", "left_semi").distinct())
+        down = few(down.join(closed, "q").select("qid", F.col("p").alias("q")).hint("merge").join(edge.toDF("q"), "q", "left_semi").distinct())
     known = _answered(pairs, hits)
     if levels[-1].cells.select("region").distinct().limit(2).count() < 2:
         return known
@@ -278,7 +278,7 @@ def flat_summary(level: Level, graph: DataFrame, memory_cap: int = reach.MEMORY_
 def composition_check(levels: list[Level], graph: DataFrame) -> DataFrame:
     """(level, composed, flat, differences): how many pairs each level hands up, how many the flat port graph has there, and how many are in one of them only."""
     out = None
-    parts = connected_components(graph).toDF("src", "part")
+    parts = near_components(graph).toDF("src", "part")
     graph = written(graph.select("src", "dst").hint("merge").join(parts, "src"))
     for k, level in enumerate(levels):
         mark = lambda df, c: df.select("region", "src", "dst", F.lit(1 - c).alias("composed"), F.lit(c).alias("flat"))

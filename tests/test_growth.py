@@ -7,6 +7,7 @@ import pytest
 
 from gridreach import campaign
 from gridreach.operators import blocks, components, generators, grid, reach, tiles
+from gridreach.plans.checkpoints import written
 
 from .test_tiles import make, random_arcs
 
@@ -110,3 +111,17 @@ def test_jobs_of_a_profile_do_not_follow_the_map(spark):
 
     few, many = (jobs(spark, f"profile-{high}", lambda high=high: row(high)) for high in (50, 20_000))
     assert (many[1].largest_undirected_component, many[1].num_sccs, many[1].condensation_edges) == (40_000, 40_000, 59_998) and many[0] <= few[0] + 20
+
+
+def test_closures_are_not_broadcast_to_pairs(spark):
+    """The asked pairs go to the tasks, however large their plan's estimate; the index stays where it is."""
+    tiled, edges = make(spark, 16, 12, random_arcs(16, 12, set(), 3), set())
+    index = tiles.build(edges, tiled, 16, 4)
+    asked = spark.range(60).selectExpr("id AS qid", "id AS source", "(id * 7) % 192 AS target")
+    asked = asked.join(asked.select("qid"), "qid").checkpoint()
+    local, ports = written(index.local), written(index.ports)
+    for df in (*tiles._entries(asked, local, ports), reach.answer_by_labels(asked, *map(written, reach.landmark_labels(edges)))):
+        for line in plan(df).splitlines():
+            assert "BroadcastHashJoin" not in line or "Inner, BuildLeft" in line or "LeftOuter" in line
+    up = tiles._entries(asked, local, ports)[1]
+    assert up.join(local.withColumnRenamed("src", "p"), "p")._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 1
