@@ -1,11 +1,12 @@
 """What must not grow with the tables: plans without broadcasts of them, closures by connected parts, trees without closures."""
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
 
-from gridreach import campaign
+from gridreach import campaign, catalogue
 from gridreach.operators import blocks, components, generators, grid, reach, tiles
 from gridreach.plans.checkpoints import written
 
@@ -125,3 +126,23 @@ def test_closures_are_not_broadcast_to_pairs(spark):
             assert "BroadcastHashJoin" not in line or "Inner, BuildLeft" in line or "LeftOuter" in line
     up = tiles._entries(asked, local, ports)[1]
     assert up.join(local.withColumnRenamed("src", "p"), "p")._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 1
+
+
+def broadcasts(spark, since):
+    """Plans that ran after execution ``since`` with a side of a join broadcast by key, and the last execution's number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = spark._jsparkSession.sharedState().statusStore().executionsList()
+    ran = [x for x in map(ran.apply, range(ran.size())) if x.executionId() > since]
+    return [x.physicalPlanDescription() for x in ran if "BroadcastHashJoin" in x.physicalPlanDescription()], max((x.executionId() for x in ran), default=since)
+
+
+def test_level_statistics_broadcasts_no_side(spark, tmp_path):
+    """In none of the plans that run for the query, from its edges to its counts; small sides are what would be broadcast."""
+    rows = [(v, 4 if v * v % 11 in (1, 9) else 1) for v in range(600)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    _, before = broadcasts(spark, -1)
+    got = catalogue.queries()["level_statistics"](spark, str(tmp_path)).orderBy("level").collect()
+    sent, last = broadcasts(spark, before)
+    assert not sent and last > before
+    part = duckdb.read_parquet(f"{tmp_path}/part.parquet/*.parquet")  # noqa: F841 named in the SQL
+    assert list(map(tuple, got)) == sorted(duckdb.sql(catalogue.oracle_sql()["level_statistics"]).fetchall()) and len(got) == 5
