@@ -126,17 +126,23 @@ def cycle(spark: SparkSession, n: int) -> DataFrame:
     return _edges(spark.range(max(0, n)), F.col("id"), (F.col("id") + 1) % max(1, n))
 
 
-#: Targets that the rows of a complete graph go through before the source changes.
-STRIP = 1024
+#: Targets that the rows of a complete graph go through before the source changes, 2 ** 10, and the places that a task goes through.
+STRIP_BITS, TASK_ROWS = 10, 1 << 26
 
 
 def complete(spark: SparkSession, n: int) -> DataFrame:
-    """All arcs, in strips of ``STRIP`` targets: neighbouring rows have few different ends, so files take far less than the numbers themselves."""
-    n = max(0, n)
-    t = f"(id DIV {max(1, n * STRIP)})"
-    left, wide = f"(id % {max(1, n * STRIP)})", f"least({STRIP}, {n} - {t} * {STRIP})"
-    rows = spark.range(n * n).select(F.expr(f"{left} DIV {wide}").alias("a"), F.expr(f"{t} * {STRIP} + {left} % {wide}").alias("b"))
-    return _edges(rows.filter("a <> b"), F.col("a"), F.col("b"))
+    """All arcs, in strips of 1024 targets: neighbouring rows have few different ends, so files take far less than the numbers themselves.
+
+    The last strip is as wide as the others, with places left empty: so an arc's ends are shifts and
+    divisions by constants, which cost far less than by numbers that change. A task goes through
+    ``TASK_ROWS`` places at most, whatever the size, so that there are always tasks to share out.
+    """
+    n, strip = max(0, n), 1 << STRIP_BITS
+    places = n * -(-n // strip) * strip
+    rows = spark.range(0, places, 1, max(spark.sparkContext.defaultParallelism, -(-places // TASK_ROWS)))
+    a, t = f"shiftright(id, {STRIP_BITS}) % {max(1, n)}", f"id DIV {max(1, n * strip)}"
+    arcs = rows.select(F.expr(a).alias("a"), F.expr(f"({t}) * {strip} + (id & {strip - 1})").alias("b"))
+    return _edges(arcs.filter(f"a <> b AND b < {n}"), F.col("a"), F.col("b"))
 
 
 def star(spark: SparkSession, n: int, outward: bool = True) -> DataFrame:

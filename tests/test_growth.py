@@ -46,6 +46,18 @@ def test_complete_in_strips(spark):
     assert len({r.src for r in first}) == 3 and max(r.dst for r in first) < 1024
 
 
+def test_complete_is_many_tasks(spark):
+    """More arcs are more tasks, none of them longer, and no arc divides by a number that changes."""
+    for n in (3, 20_000, 360_000):
+        got = generators.complete(spark, n)
+        assert got.rdd.getNumPartitions() >= n * n >> 26
+        assert "least(" not in plan(got)
+    for n in (1024, 2047, 2049):
+        got = generators.complete(spark, n)
+        row = got.selectExpr("count(*)", "sum(src)", "sum(dst)", "count(DISTINCT src * 4096 + dst)", "count_if(src = dst)", "max(src)", "max(dst)").first()
+        assert tuple(row) == (n * (n - 1), n * (n - 1) // 2 * (n - 1), n * (n - 1) // 2 * (n - 1), n * (n - 1), 0, n - 1, n - 1)
+
+
 def test_search_sides_are_not_broadcast(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "src long, dst long")
     assert "BroadcastHashJoin" not in plan(reach.reached(edges, edges.select(edges.src.alias("seed"))))
