@@ -10,6 +10,7 @@ from gridreach import campaign, catalogue
 from gridreach.operators import blocks, components, generators, grid, reach, tiles
 from gridreach.plans.checkpoints import written
 
+from .test_blocks import hops
 from .test_tiles import make, random_arcs
 
 
@@ -158,3 +159,27 @@ def test_level_statistics_broadcasts_no_side(spark, tmp_path):
     assert not sent and last > before
     part = duckdb.read_parquet(f"{tmp_path}/part.parquet/*.parquet")  # noqa: F841 named in the SQL
     assert list(map(tuple, got)) == sorted(duckdb.sql(catalogue.oracle_sql()["level_statistics"]).fetchall()) and len(got) == 5
+
+
+def test_short_searches_pack_nothing(spark, tmp_path, monkeypatch):
+    """A search that ends after few hops is joins alone, repeated arcs and all; equal to SQL."""
+    rows = [(i, (i * 7) % 23, (i * i) % 13) for i in range(60)] * 2
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(blocks, "build", None)
+    got = catalogue.queries()["hop_depth"](spark, str(tmp_path)).collect()
+    lineitem = duckdb.read_parquet(f"{tmp_path}/lineitem.parquet/*.parquet")  # noqa: F841 named in the SQL
+    assert sorted(map(tuple, got)) == sorted(duckdb.sql(catalogue.oracle_sql()["hop_depth"]).fetchall()) and len(got) > 2
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_searches_go_on_after_joins(spark, monkeypatch, few):
+    """What the joined hops leave open is found by blocks, also where a long way is met before a short one; sides are sent to all tasks or not."""
+    monkeypatch.setattr(reach, "FEW", few)
+    draw = np.random.default_rng(3)
+    arcs = [(i, i + 1) for i in range(40)] + [(0, 100), (100, 101), (101, 102), (102, 200), (200, 25), (39, 0), (7, 7), (50, 3), (3, 4)]
+    arcs += [(int(a), int(b)) for a, b in draw.integers(300, 340, (45, 2))]
+    seeds = sorted({v for arc in arcs for v in arc})[::3]
+    want = {(s, v, d) for s in seeds for v, d in hops([(a, b) for a, b in arcs if a != b])[s].items()} | {(10**17, 10**17, 0)}
+    got = reach.frontier(spark.createDataFrame(arcs, "src long, dst long"), spark.createDataFrame([(s,) for s in [*seeds, 10**17, None]], "seed long")).collect()
+    assert max(d for *_, d in want) > 2 * reach.HOPS
+    assert len(got) == len(want) and set(map(tuple, got)) == want
